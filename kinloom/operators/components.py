@@ -28,9 +28,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(lowest.select("u", F.col("m").alias("v")))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("u", "v"), 24)).alias("s")).first()
-    return row["n"], row["s"]
+def _is_star(edges: DataFrame) -> bool:
+    """Whether every node has one edge to a smaller one, or is such a smaller one, and none is both."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    per = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
+    return per.where((F.col("child") + F.col("root")) > 1).isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -40,17 +42,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges with a null end are ignored; repeated edges change nothing. Raises if max_rounds do not
     suffice, rather than return labels that are not final.
     """
-    star = (
-        edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"), F.col(src).isNotNull().alias("p"), F.col(dst).isNotNull().alias("q"))
-        .where("p AND q AND u <> v").select("u", "v").distinct()
-    )
-    star = written(star, "edges")
-    seen = _signature(star)
+    star = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    star = written(star.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).distinct(), "edges")
     for _ in range(max_rounds):
-        star = written(_small_star(_large_star(star).distinct()).distinct(), "star")
-        now = _signature(star)
-        if now == seen:
+        if _is_star(star):
             roots = star.select(F.col("v").alias("node")).distinct()
             return star.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
-        seen = now
+        star = written(_small_star(_large_star(star).distinct()).distinct(), "star")
     raise RuntimeError(f"components not final after {max_rounds} rounds")

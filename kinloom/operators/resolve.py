@@ -144,7 +144,8 @@ def resolve(records: DataFrame) -> Resolution:
     both_rows = F.concat_ws(", ", _where("src_"), _where("dst_"))
     # Tier 1: every edge joins, as a record has one email.
     by_email = written(star_edges(records, "email"), "email-edges")
-    tier1 = written(labelled(records, by_email, name="c1"), "tier1")
+    tier1 = records.select("record_id").join(by_email.select(F.col("dst").alias("record_id"), F.col("src").alias("_c")), "record_id", "left").select("record_id", F.coalesce("_c", "record_id").alias("c1"))
+    tier1 = written(tier1, "tier1")
     renamed = ends(by_email).where(~F.col("src_name").eqNullSafe(F.col("dst_name")))
     issues = _issues(renamed, "duplicate_person_same_email", "high", F.concat_ws(" / ", "src_name", "dst_name"), "merged on the shared email", F.concat(F.lit("two names for "), F.col("value"), F.lit(": "), both_rows))
     # Tier 2: the edges that join something, in the order of phones as first seen.

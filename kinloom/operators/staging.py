@@ -61,7 +61,11 @@ def stage_source(rows: DataFrame, spec: SourceSpec, ordinal: int) -> DataFrame:
     if "rate_per_hour" in fields:
         made["rate_raw"] = F.coalesce("_rate_per_hour.raw", F.try_element_at("data", F.lit("rate")))
     made["skills"] = F.coalesce(value("skills").cast(SKILLS_TYPE), F.array().cast(SKILLS_TYPE))
-    own = [F.transform(f"_{f}.issues", lambda i, c=c: F.struct(F.lit(c).alias("column_name"), *[i[x].alias(x) for x in ("issue_type", "severity", "raw_value", "action_taken", "detail")])) for f, (c, _) in fields.items()]
+
+    def at(column: str):
+        return lambda i: F.struct(F.lit(column).alias("column_name"), *[i[x].alias(x) for x in ("issue_type", "severity", "raw_value", "action_taken", "detail")])
+
+    own = [F.transform(f"_{f}.issues", at(c)) for f, (c, _) in fields.items()]
     nobody = made["email"].isNull() & made["phone"].isNull()
     none = F.when(nobody, F.array(F.struct(
         F.lit(None).cast("string").alias("column_name"), F.lit("no_identifier").alias("issue_type"), F.lit("high").alias("severity"), value("name").alias("raw_value"),

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.operators.resolve import resolve
+from kinloom.operators.resolve import Resolution, resolve
 from kinloom.operators.staging import stage_all, staged_issues
 from kinloom.operators.structural import clean_source
 from kinloom.operators.survivorship import build_golden
@@ -22,6 +22,7 @@ class Merged:
     records: DataFrame
     tables: dict[str, DataFrame]
     review: DataFrame
+    resolution: Resolution
 
     def summary(self) -> DataFrame:
         return report.summary(self.records, self.tables, self.review)
@@ -39,7 +40,7 @@ def merge_staged(staged: DataFrame, structural_issues: DataFrame | None = None)
         "people": golden.people, "person_identifiers": golden.identifiers, "person_sources": golden.sources, "skills": golden.skills,
         "person_skills": golden.person_skills, "data_issues": written(issues, "issues"),
     }
-    return Merged(staged, tables, written(found.review, "review"))
+    return Merged(staged, tables, written(found.review, "review"), found)
 
 
 def merge_files(spark: SparkSession, paths: dict[str, str], specs: tuple[SourceSpec, ...] = SOURCES) -> Merged:

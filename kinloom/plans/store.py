@@ -53,6 +53,12 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def constraints() -> list[tuple[str, str, str]]:
+    """(kind, table, key) of every constraint."""
+    out = [("check", t, c) for t, columns in ENUMS.items() for c in columns] + [("unique", t, ",".join(k)) for t, keys in UNIQUE.items() for k in keys]
+    return out + [("foreign", t, c) for t, c, _ in FOREIGN]
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,0 +1,248 @@
+"""The engine's operators on invented rows."""
+
+import io
+import random
+import wave
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from kinloom.functions import normalise as N
+from kinloom.operators import audio, linkage
+from kinloom.operators.components import connected_components
+from kinloom.operators.ranking import numbered
+from kinloom.operators.resolve import spanning_forest
+from kinloom.plans import merge, report, store
+from kinloom.sources.ragged import read_ragged, records
+
+
+def one(spark, builder, *values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, raw string")
+    rows = df.select("i", builder(F.col("raw")).alias("r")).orderBy("i").collect()
+    return [(r["r"]["value"], [x["issue_type"] for x in r["r"]["issues"]]) for r in rows]
+
+
+def test_phone(spark):
+    got = one(spark, N.phone, "+919123456789", "9123456789", "09123456789", "919123456789", "+91-9123456789", "12345", "", None, "00919123456789", "1123456789", "\t9123456789 ")
+    assert [g[0] for g in got] == ["+919123456789"] * 5 + [None] * 4 + ["+911123456789", "+919123456789"]
+    assert [g[1] for g in got[:8]] == [[], ["phone_format"], ["phone_format"], ["phone_format"], ["phone_format"], ["phone_invalid"], [], []]
+    assert got[9][1] == ["phone_suspicious", "phone_format"]
+
+
+def test_dates(spark):
+    got = one(spark, N.applied_date, "2026-08-08", "24-07-2026", "07/13/2026", "7 Jul 2026", "03/04/2026", "03-04-2026", "7/3/2026", "2026-02-30", "07 Jul 2026", "7 jul 2026", " ")
+    assert [str(g[0]) for g in got] == ["2026-08-08", "2026-07-24", "2026-07-13", "2026-07-07", "2026-03-04", "2026-04-03", "None", "None", "None", "None", "None"]
+    assert got[4][1] == ["date_ambiguous", "date_format"] and got[6][1] == ["date_ambiguous", "date_unparseable"] and got[10][1] == []
+
+
+def test_names_and_cities(spark):
+    df = spark.createDataFrame([("RAVI  KUMAR ",), ("R. Kumar",), ("R.K. Kumar",), ("o'neil mary-jane",), ("",), (None,)], "raw string")
+    got = [r["r"] for r in df.select(N.name(F.col("raw")).alias("r")).collect()]
+    assert [(g["value"], g["key"], g["has_initial"]) for g in got] == [("Ravi Kumar", "kumar ravi", False), ("R. Kumar", "kumar", True), ("R.k. Kumar", "kumar rk", False), ("O'neil Mary-jane", "mary-jane o'neil", False), (None, None, None), (None, None, None)]
+    assert one(spark, N.city, "NOIDA", "Gurgaon ", "delhi ncr", "new york", None) == [("Noida", []), ("Gurugram", ["city_whitespace", "city_variant"]), ("Delhi", ["city_variant"]), ("New York", ["city_unknown"]), (None, [])]
+
+
+def test_numbers(spark):
+    assert one(spark, N.ctc, "4,17,964", "4.2", "-1", "abc", "1e5", "0x10", "₹ 500") == [(417964, []), (420000, ["ctc_mixed_units"]), (-100000, ["ctc_mixed_units"]), (None, ["ctc_unparseable"]), (100000, []), (None, ["ctc_unparseable"]), (500, [])]
+    assert one(spark, N.rate, "1415/hr", "15k/month", "2K / mo", "1.2.3/hr", "soon", "") == [(1415.0, []), (85.23, ["rate_mixed_units"]), (11.36, ["rate_mixed_units"]), (None, ["rate_unparseable"]), (None, ["rate_unparseable"]), (None, [])]
+    assert one(spark, lambda c: N.integer(c, "n"), "5.0", "5.5", "x", "-3") == [(5, []), (None, ["integer_unparseable"]), (None, ["integer_unparseable"]), (-3, [])]
+    assert one(spark, lambda c: N.real(c, "n"), "NaN", "12d", "Infinity", "1e999", ".5") == [(None, ["float_unparseable"])] * 4 + [(0.5, [])]
+
+
+def test_enums_and_skills(spark):
+    assert one(spark, N.status, "Active", "", "gone", "paused") == [("active", ["status_case"]), ("unknown", []), ("unknown", ["status_unknown"]), ("paused", [])]
+    assert one(spark, N.verified, "Y", "no", "perhaps", None) == [(1, ["boolean_inconsistent"]), (0, ["boolean_inconsistent"]), (None, ["verified_unparseable"]), (None, [])]
+    (value, issues), (none, _) = one(spark, N.skills, "rest  apis, Cobol,REST APIs,,sql", None)
+    assert [(s["canonical_name"], s["match_key"]) for s in value] == [("REST APIs", "rest apis"), ("Cobol", "cobol"), ("SQL", "sql")]
+    assert issues == ["skill_unknown", "skill_duplicate"] and none == []
+
+
+def test_ragged_records():
+    text = 'a,"b, ""c""\nd",e\r\n\r\nx\n"q"uo,te"d\n'
+    assert list(records([text])) == [["a", 'b, "c"\nd', "e"], [""], ["x"], ["quo", 'te"d']]
+    assert list(records(list(text))) == list(records([text])) and list(records([""])) == []
+
+
+FILES = {
+    "applicants.csv": """Full Name,Email,Phone,City,Experience (Years),Current CTC,Applied Date,Skills
+Asha Rao,asha@ex.org,9000000001,Pune,3,400000,2026-07-01,"Python, SQL"
+A. Rao,ASHA@ex.org,9000000001,Pune,3,4.0,02-03-2026,Python
+Ravi Das,ravi@ex.org,+91-9000000002,GURGAON,5,500000,2026-07-02,React
+Ravi Das,alt.ravi@ex.org,9000000002,Gurugram,6,500000,2026-07-02,React
+Short Row,short@ex.org,9000000003
+Nobody Here,,9000000004,Pune,1,1,2026-01-01,SQL
+Extra Cells,extra@ex.org,9000000005,Noida,1,100,2026-01-01,SQL,more,yet
+""",
+    "gig_workers.csv": """email_id,worker_name,rate,location,status,skill_tags
+asha@ex.org,asha rao,100/hr,pune,Active,python
+meena@ex.org,Meena Iyer,15k/month,Noida,paused,docker
+,,,,,
+
+sql,meena2@ex.org,Meena Iyer,10/hr,Delhi,active
+kiran@ex.org,Kiran Bose,10/hr,Pune,active,sql
+kiran2@ex.org,Kiran Bose,10/hr,Pune,active,sql
+asha2@ex.org,Asha Rao,10/hr,Pune,active,"python,sql"
+""",
+    "contacts.csv": """Name,Phone Number,City,Verified,Projects Completed
+Meena Iyer,9000000011,noida,Y,4
+Name,Phone Number,City,Verified,Projects Completed
+Ravi Das,09000000002,Gurugram,no,2
+Kiran Bose,9000000012,Pune,yes,x
+Meena Iyer,9000000011,NOIDA,y,4
+Asha Rao,9000000013,Pune,n,1
+""",
+}
+
+
+@pytest.fixture(scope="module")
+def merged(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("files")
+    for n, text in FILES.items():
+        (d / n).write_text(text)
+    return merge.merge_files(spark, {n: f"{d}/{n}" for n in FILES})
+
+
+def test_ragged_source(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("h\n\na,b\n")
+    rows = [tuple(r) for r in read_ragged(spark, f"{tmp_path}/x.csv").orderBy("source_row").collect()]
+    assert rows == [("x.csv", 1, ["h"]), ("x.csv", 2, [""]), ("x.csv", 3, ["a", "b"])]
+
+
+def test_merge(spark, merged, tmp_path):
+    sources = merged.tables["person_sources"].toPandas()
+    assert len(sources) == merged.records.count() == sources[["source_file", "source_row"]].drop_duplicates().shape[0]
+    people = {r["person_id"]: r for r in merged.tables["people"].collect()}
+    whose = {(r.source_file, r.source_row): r.person_id for r in sources.itertuples()}
+    asha = people[whose["applicants.csv", 2]]
+    assert whose["applicants.csv", 3] == whose["gig_workers.csv", 2] == asha["person_id"] == 1
+    assert (asha["full_name"], asha["match_confidence"], asha["gig_status"], asha["current_ctc_inr"]) == ("Asha Rao", "high", "active", 400000)
+    ravi = people[whose["applicants.csv", 4]]
+    assert whose["applicants.csv", 5] == whose["contacts.csv", 4] == ravi["person_id"]
+    assert ravi["primary_email"] == "ravi@ex.org" and ravi["experience_years"] == 5.0
+    meena = people[whose["gig_workers.csv", 3]]
+    # Two clusters with an email only share name, but the second lives elsewhere.
+    assert meena["person_id"] == whose["contacts.csv", 2] == whose["contacts.csv", 6] and meena["match_confidence"] == "high"
+    assert whose["gig_workers.csv", 7] != whose["contacts.csv", 5]  # ambiguous: two with an email only
+    assert whose["gig_workers.csv", 9] != whose["contacts.csv", 7]  # claimed by the complete cluster of equal skills
+    kinds = {(r["issue_type"], r["source_file"], r["source_row"]) for r in merged.tables["data_issues"].collect()}
+    for want in [
+        ("column_count_mismatch", "applicants.csv", 6), ("column_shift_unrepairable", "applicants.csv", 7), ("extra_fields", "applicants.csv", 8), ("blank_row", "gig_workers.csv", 4),
+        ("blank_row", "gig_workers.csv", 5), ("column_shift", "gig_workers.csv", 6), ("repeated_header", "contacts.csv", 3), ("integer_unparseable", "contacts.csv", 5),
+        ("duplicate_person_same_email", "applicants.csv", 3), ("same_person_two_emails", "applicants.csv", 5), ("matched_on_name_and_city", "contacts.csv", 2),
+        ("field_conflict", "applicants.csv", 4), ("multiple_emails_one_person", "applicants.csv", 4), ("name_variants_merged", "applicants.csv", 2),
+    ]:
+        assert want in kinds, want
+    columns = {r["column_name"] for r in merged.tables["data_issues"].where("issue_type = 'phone_format'").collect()}
+    assert columns == {"Phone", "Phone Number"}
+    review = {r["reason"] for r in merged.review.collect()}
+    assert review == {"ambiguous_name_match", "complete_cluster_may_own_row", "same_name_different_city"}
+    assert store.violations(merged.tables).where("n > 0").count() == 0
+    first = store.rebuild(spark, f"file://{tmp_path}/s", merged.tables)
+    second = store.rebuild(spark, f"file://{tmp_path}/s", merged.tables)
+    assert first != second and store.current(spark, f"file://{tmp_path}/s", "people").count() == len(people)
+    with pytest.raises(ValueError):
+        store.rebuild(spark, f"file://{tmp_path}/s", {"people": merged.tables["people"].unionByName(merged.tables["people"])})
+    text = report.markdown(merged.tables["data_issues"], merged.tables["people"], merged.tables["person_sources"])
+    assert "## High severity" in text and "ambiguous_name_match: 2" in text
+
+
+def test_components_against_union_find(spark):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(300)] + [(5, 5), (5, None)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if b is not None and a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
+    assert got == {n: find(n) for n in parent}
+
+
+def test_forest_is_that_of_ordered_unions(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(40), rng.randrange(40), i) for i in range(120)]
+    parent, want = list(range(40)), set()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b, i in edges:
+        if find(a) != find(b):
+            parent[find(a)] = find(b)
+            want.add(i)
+    got = {r["i"] for r in spanning_forest(spark.createDataFrame(edges, "a int, b int, i int"), ["i"]).collect()}
+    assert got == want
+
+
+def test_numbered(spark):
+    df = spark.range(1000).withColumn("v", (F.col("id") * 7919) % 1009)
+    got = numbered(df, "v", "n").orderBy("v").collect()
+    assert [r["n"] for r in got] == list(range(1, 1001))
+
+
+def test_linkage(spark):
+    people = spark.createDataFrame([(1, "A B"), (2, "C D")], "person_id long, full_name string")
+    ids = spark.createDataFrame([(1, "phone", "+919000000001")], "person_id long, id_type string, value string")
+    subs = spark.createDataFrame([(10, "a b", "0 90000-00001"), (11, "new one", "9000000002"), (12, "NEW ONE", "+919000000002"), (13, "x", "bad")], "submission_id long, name string, phone string")
+    linked, fresh, new_ids = linkage.link_submissions(subs, people, ids)
+    assert sorted((r["submission_id"], r["person_id"], r["created"]) for r in linked.collect()) == [(10, 1, False), (11, 3, True), (12, 3, False), (13, 4, True)]
+    assert sorted((r["person_id"], r["full_name"]) for r in fresh.collect()) == [(3, "New One"), (4, "X")] and new_ids.count() == 1
+    assert [linkage.clamp_limit(x) for x in ("7", None, "x", 0, 900, -1)] == [7, 100, 100, 100, 500, None]
+    said = spark.createDataFrame([("Data.",), ("database",), ("`web-dev`",), ("none",), (None,)], "r string").select(linkage.sanitise_reply(F.col("r")).alias("c"))
+    assert [r["c"] for r in said.collect()] == ["data", "data", "web-dev", None, None]
+    out = linkage.tag_outcomes(spark.createDataFrame([(1, "data"), (9, "data"), (9, "art")], "person_id long, skill_category string"), people)
+    assert sorted(r["outcome"] for r in out.collect()) == ["invalid", "missing", "updated"]
+    tagged = linkage.apply_tags(people.withColumn("skill_category", F.lit(None).cast("string")), out)
+    assert {r["person_id"]: r["skill_category"] for r in tagged.collect()} == {1: "data", 2: None}
+    listed = linkage.classify_untagged(people.withColumn("skills", F.lit("SQL")), lambda pdf: pdf["full_name"].map(lambda n: "data" if n == "A B" else "?"))
+    assert {r["person_id"]: r["valid"] for r in listed.collect()} == {1: True, 2: False}
+
+
+def tone(seconds, rate, amplitude, noise=0.0, bursts=False, channels=1):
+    t = np.arange(int(seconds * rate)) / rate
+    x = amplitude * np.sin(2 * np.pi * 440 * t) * ((t % 1 < 0.5) if bursts else 1) + noise * np.random.default_rng(1).normal(size=len(t))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.repeat(np.clip(np.round(x * 32767), -32768, 32767).astype("<i2"), channels).tobytes())
+    return out.getvalue()
+
+
+def test_audio(spark, tmp_path):
+    files = {"tone": tone(3, 44100, 0.5, channels=2), "clip": tone(2, 16000, 5), "quiet": tone(4, 16000, 0.5, 0.004, True), "loud": tone(4, 16000, 0.5, 0.12, True), "bad": b"not audio", "none": tone(0, 16000, 1)}
+    for n, b in files.items():
+        (tmp_path / n).write_bytes(b)
+    rows = audio.analyse_files(spark.read.format("binaryFile").load(f"file://{tmp_path}")).collect()
+    got = {r["path"].rpartition("/")[2]: r for r in rows}
+    t = got["tone"]
+    assert t["bitrate_kbps"] == 1411.2 and t["duration_sec"] == 3.0 and abs(t["peak_dbfs"] - t["loudness_dbfs"] - 3.01) < 0.05 and t["quality_label"].startswith("unknown")
+    assert abs(t["loudness_lufs"] + 6.7) < 0.5  # a stereo tone of -6 dBFS at 440 Hz
+    assert got["clip"]["clipping_pct"] > 1 and got["clip"]["quality_label"].startswith("poor (clipped")
+    assert got["quiet"]["quality_label"] == "good" and got["quiet"]["snr_db"] > 25
+    assert got["loud"]["snr_db"] < 10 * 2 and "good" not in got["loud"]["quality_label"]
+    assert got["bad"]["analysis_error"].startswith("probe failed") and got["bad"]["quality_label"] is None and got["none"]["analysis_error"] == "decoded to no samples"
+
+
+def test_stream(spark, tmp_path):
+    from kinloom.streaming.submissions import link_stream
+
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    src.mkdir()
+    spark.createDataFrame([(1, "A", "+919000000001", "high", "x")], "person_id long, full_name string, primary_phone string, match_confidence string, match_reason string").write.parquet(f"{out}/people/epoch=-1")
+    spark.createDataFrame([(1, "phone", "+919000000001", "f", 1)], "person_id long, id_type string, value string, source_file string, is_primary int").write.parquet(f"{out}/identifiers/epoch=-1")
+    for i, phone in enumerate(("9000000001", "9000000007", "09000000007")):
+        (src / f"{i}.json").write_text(f'{{"submission_id": {i}, "name": "n", "phone": "{phone}"}}')
+        link_stream(spark, str(src), out, f"{tmp_path}/ck").awaitTermination()
+    got = sorted((r["submission_id"], r["person_id"], r["created"]) for r in spark.read.parquet(f"{out}/submissions").collect())
+    assert got == [(0, 1, False), (1, 2, True), (2, 2, False)]
