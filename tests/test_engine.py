@@ -89,7 +89,7 @@ Meena Iyer,9000000011,noida,Y,4
 Name,Phone Number,City,Verified,Projects Completed
 Ravi Das,09000000002,Gurugram,no,2
 Kiran Bose,9000000012,Pune,yes,x
-Meena Iyer,9000000011,NOIDA,y,4
+Meena Iyer,9000000011,NOIDA,y,5
 Asha Rao,9000000013,Pune,n,1
 """,
 }
