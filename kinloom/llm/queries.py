@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, fingerprint, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, toxicity, warc
+from kinloom.llm import bpe, fingerprint, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, sql, toxicity, warc
 from kinloom.llm.common import table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_quality": sql.QUALITY_RULES, "op7_warc_bundles": sql.WARC, "op9_line_windows": sql.LINE_DEDUP}
