@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.functions import display as D
 from kinloom.functions import normalise as N
 from kinloom.functions.values import is_blank, ws_collapse, ws_trim
 from kinloom.operators.ranking import numbered
@@ -61,6 +62,24 @@ def list_submissions(submissions: DataFrame, people: DataFrame) -> DataFrame:
     return submissions.join(people.select("person_id", F.col("full_name").alias("matched_name"), "city", "match_confidence"), "person_id", "left").orderBy(F.desc("submission_id"))
 
 
+def get_submission(submissions: DataFrame, submission_id: int) -> DataFrame:
+    """A point lookup; the filter reaches the scan."""
+    return submissions.where(F.col("submission_id") == submission_id)
+
+
+def insert_submission(row: DataFrame, path: str) -> None:
+    """K5: append rows to the table of submissions."""
+    row.write.mode("append").parquet(path)
+
+
+def display_submissions(listed: DataFrame) -> DataFrame:
+    """P10: a listing (J5) with its measures as text."""
+    return listed.select(
+        "submission_id", F.coalesce(F.concat("matched_name", F.lit(" #"), F.col("person_id").cast("string")), F.lit("unlinked")).alias("person"),
+        D.kilohertz(F.col("sample_rate_hz")).alias("rate"), D.measure(F.col("snr_db")).alias("snr"), D.kilobytes(F.col("size_bytes")).alias("size"), D.pill(F.col("quality_label")).alias("pill"),
+    )
+
+
 def with_skills(people: DataFrame, person_skills: DataFrame, skills: DataFrame) -> DataFrame:
     """People with `skills`, their canonical names joined in the order of skill_id; '' for none."""
     named = person_skills.join(skills, "skill_id").groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skill_id", "canonical_name"))), lambda s: s["canonical_name"]), ", ").alias("skills"))

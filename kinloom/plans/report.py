@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.functions.display import short_file
+
 SEVERITIES = ("high", "medium", "low")
 
 
@@ -36,7 +38,7 @@ def examples(issues: DataFrame, n: int = 3) -> DataFrame:
     """The first n issues of each type by file and row, shortened for a table."""
     order = Window.partitionBy("issue_type").orderBy("source_file", "source_row", "column_name", "raw_value")
     short = lambda c, size: F.substring(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), 1, size)
-    where = F.concat(F.regexp_replace("source_file", r"\.csv$", ""), F.coalesce(F.concat(F.lit(":"), F.col("source_row").cast("string")), F.lit("")), F.coalesce(F.concat(F.lit(" · "), "column_name"), F.lit("")))
+    where = F.concat(short_file(F.col("source_file")), F.coalesce(F.concat(F.lit(":"), F.col("source_row").cast("string")), F.lit("")), F.coalesce(F.concat(F.lit(" · "), "column_name"), F.lit("")))
     top = issues.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return top.select("issue_type", "rank", where.alias("place"), short(F.col("raw_value"), 70).alias("value"), short(F.col("action_taken"), 90).alias("action"))
 

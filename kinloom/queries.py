@@ -493,6 +493,22 @@ def upload_checks(spark, sf_dir):
 _UPLOADS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'audio/wav' WHEN 1 THEN 'video/webm' WHEN 2 THEN 'image/png' WHEN 3 THEN NULL ELSE 'audio/flac' END AS mime, CAST(event_id % 31 * 1000000 AS BIGINT) AS size, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'Asha' END AS name, CASE WHEN event_id % 13 = 0 THEN NULL ELSE '1' END AS phone FROM events"
 
 
+_SHOWN = """SELECT o_orderkey AS submission_id, o_custkey AS person_id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 44100 ELSE 16000 END AS sample_rate_hz, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 80) / 2.0 END AS snr_db,
+CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 3000 * 100 END AS size_bytes, CASE o_orderkey % 5 WHEN 0 THEN 'good' WHEN 1 THEN 'poor (clipped)' WHEN 2 THEN 'unknown (x)' WHEN 3 THEN NULL ELSE 'fair' END AS quality_label FROM orders"""
+
+
+def submissions_display(spark, sf_dir):
+    """P10."""
+    subs = _sql(spark, sf_dir, _SHOWN, ("orders",))
+    return linkage.display_submissions(linkage.list_submissions(subs, _people(spark, sf_dir).withColumn("match_confidence", F.lit("high"))))
+
+
+_DISPLAY_SQL = f"""WITH s AS ({_SHOWN}), people AS ({_PEOPLE}) SELECT submission_id, CASE WHEN full_name IS NULL THEN 'unlinked' ELSE full_name || ' #' || s.person_id END AS person,
+CASE sample_rate_hz WHEN 44100 THEN '44.1 kHz' WHEN 16000 THEN '16 kHz' ELSE '—' END AS rate, CASE WHEN snr_db IS NULL THEN '—' WHEN snr_db = floor(snr_db) THEN CAST(CAST(snr_db AS BIGINT) AS VARCHAR) ELSE CAST(CAST(snr_db AS DECIMAL(9, 1)) AS VARCHAR) END AS snr,
+CASE WHEN coalesce(size_bytes, 0) = 0 THEN '—' ELSE CAST(CAST(floor(size_bytes / 1024.0 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' END AS size,
+CASE WHEN quality_label LIKE 'good%' THEN 'good' WHEN quality_label LIKE 'poor%' THEN 'poor' WHEN quality_label LIKE 'unknown%' THEN 'unk' ELSE 'fair' END AS pill FROM s LEFT JOIN people USING (person_id)"""
+
+
 def unique_violations(spark, sf_dir):
     return store.repeated_keys(_table(spark, sf_dir, "orders"), ("o_custkey", "o_orderpriority"))
 
@@ -547,7 +563,7 @@ def queries() -> dict:
     for f in (
         confidence_counts, issue_log, issue_counts, issue_topk, severity_pivot, issue_severity_sort, clean_rows, structural_issues, dup_first_wins, union_staged, tier1_edges, tier2_edges, components,
         person_ids, match_reasons, bridge_guards, near_miss, match_issues, golden_people, golden_identifiers, golden_skills, lineage, constraint_violations, submissions_left_join, find_or_create,
-        people_skills_agg, untagged_people, tag_outcome, tag_update, reply_sanitise, stats_row, summary_text, upload_checks, unique_violations, foreign_orphans, check_violations, sample_measures,
+        people_skills_agg, untagged_people, tag_outcome, tag_update, reply_sanitise, stats_row, summary_text, upload_checks, submissions_display, unique_violations, foreign_orphans, check_violations, sample_measures,
         quality_labels, customer_components,
     ):
         own[f.__name__] = f
@@ -582,6 +598,7 @@ UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WH
         "reply_sanitise": _REPLY_SQL, "stats_row": f"SELECT people, submissions, tagged, issues FROM {_STATS_SQL}",
         "summary_text": f"SELECT concat('Skill tagging: ', tagged, ' of ', people, ' people have a category; ', submissions, ' submissions; ', issues, ' issues logged') AS text FROM {_STATS_SQL}",
         "upload_checks": f"""WITH u AS ({_UPLOADS}) SELECT event_id, CASE WHEN mime = 'image/png' THEN 'unsupported type' WHEN size > 26214400 THEN 'too large' WHEN trim(name) = '' THEN 'name is required' WHEN phone IS NULL THEN 'phone is required' WHEN mime IS NULL THEN 'file is required' END AS reason FROM u""",
+        "submissions_display": _DISPLAY_SQL,
         "unique_violations": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
         "foreign_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)",
         "check_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
