@@ -283,13 +283,9 @@ def _source_rows(spark, sf_dir) -> dict[str, DataFrame]:
 
 
 @lru_cache(maxsize=4)
-def _staged(app: str, sf_dir: str) -> DataFrame:
-    return written(stage_all(_source_rows(SparkSession.getActiveSession(), sf_dir)), "staged")
-
-
-def staged(spark, sf_dir) -> DataFrame:
-    """The staged records, written to the shared folder once for all queries of an application."""
-    return _staged(spark.sparkContext.applicationId, sf_dir)
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged records, written to the shared folder once for all queries of a session."""
+    return written(stage_all(_source_rows(spark, sf_dir)), "staged")
 
 
 def union_staged(spark, sf_dir):
@@ -298,13 +294,9 @@ def union_staged(spark, sf_dir):
 
 
 @lru_cache(maxsize=4)
-def _merged(app: str, sf_dir: str) -> merge.Merged:
-    """The merge, written to the shared folder once for all queries of an application."""
-    return merge.merge_staged(_staged(app, sf_dir))
-
-
 def _merge(spark: SparkSession, sf_dir: str) -> merge.Merged:
-    return _merged(spark.sparkContext.applicationId, sf_dir)
+    """The merge, written to the shared folder once for all queries of a session."""
+    return merge.merge_staged(staged(spark, sf_dir))
 
 
 def tier1_edges(spark, sf_dir):
