@@ -7,6 +7,8 @@ rules of the contract. Only DataFrame functions run here; nothing is shuffled.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ BOILERPLATE = (
     r"|sign (in|up)|log ?in to|subscribe to (our|the)|click here|skip to (main )?content|powered by|share (this|on)"
 )
 NAVIGATION = r"(^|[\s|>»•/])(home|about( us)?|contact( us)?|login|register|menu|search|next|previous|back to top|sitemap)\s*([|>»•/]|$)"
+#: What a text must contain somewhere for a line to match: looked for once a text, before any line.
+BOILERPLATE_HINTS = ("all rights", "terms of ", "policy", "cookies", "javascript", "lorem ipsum", "sign in", "sign up", "log in to", "login to", "subscribe to", "click here", "skip to ", "powered by", "share this", "share on")
+NAVIGATION_HINTS = ("home", "about", "contact", "login", "register", "menu", "search", "next", "previous", "back to top", "sitemap")
+BLANK = r"[\x20\x09-\x0D]"
 #: A document that loses more than this share of its word characters is rejected.
 MAX_LOST = 0.5
 
@@ -39,10 +45,10 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, text and the base measures. Rows that share an id are rows of their own."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select("*", words(F.col("text")).alias("w"))
-    lines = F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = base.select(
-        "doc_id", "text", F.size("w").cast("long").alias("n_words"), F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), lines.alias("lines"),
+        "doc_id", "text", F.size("w").cast("long").alias("n_words"), _word_chars(F.col("text")).alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"), lines.alias("lines"),
         F.when(F.size("w") > 2, _repeat_words(F.col("w"))).alias("r"),
     )
     # Below the bits that number words: the place; above: the hash. sort_array sorts longs as they are.
@@ -60,17 +66,25 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return base.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("r", "s", "twice", "at")
 
 
-def line_fault(x: Column) -> Column:
-    """Why a line with a word fails: 'symbols', 'shouting', 'bars', 'navigation', 'boilerplate', or null."""
-    low, tokens = F.lower(x), F.size(F.split(F.btrim(x, F.lit(BLANKS)), "[ \t]+"))
-    count = lambda chars: F.length(x) - F.length(F.translate(x, chars, ""))
-    return (
-        F.when(5 * count("#*$%&") > 2 * tokens, "symbols")
-        .when(5 * count("!") > 2 * tokens, "shouting")
-        .when(5 * count("|") > tokens, "bars")
-        .when((tokens <= 12) & low.rlike(NAVIGATION), "navigation")
-        .when((tokens <= 30) & low.rlike(BOILERPLATE), "boilerplate")
+def line_fault(x: Column, tokens: Column, phrases: bool = True) -> Column:
+    """Why a line with a word fails: 'symbols', 'shouting', 'bars', 'navigation', 'boilerplate', or null.
+
+    tokens: its parts between blanks. phrases: whether to look for navigation and boilerplate.
+    """
+    marked = x.rlike(r"[#*$%&!|]")
+    count = lambda chars: F.regexp_count(x, F.lit(f"[{chars}]"))
+    fault = (
+        F.when(marked & (5 * count("#*$%&") > 2 * tokens), "symbols")
+        .when(marked & (5 * count("!") > 2 * tokens), "shouting")
+        .when(marked & (5 * count("|") > tokens), "bars")
     )
+    if phrases:
+        fault = fault.when((tokens <= 12) & F.lower(x).rlike(NAVIGATION), "navigation").when((tokens <= 30) & F.lower(x).rlike(BOILERPLATE), "boilerplate")
+    return fault
+
+
+def _word_chars(text: Column) -> Column:
+    return (F.length(text) - F.regexp_count(text, F.lit(BLANK))).cast("long")
 
 
 def apply_rules(docs: DataFrame, max_lost: float = MAX_LOST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,8 +95,14 @@ def apply_rules(docs: DataFrame, max_lost: float = MAX_LOST, id_col: str = "doc_
     columns are not read.
     """
     base = measured(docs, id_col, text_col)
-    judged = base.withColumn("cleaned_text", F.array_join(F.filter("lines", lambda x: line_fault(x).isNull()), "\n"))
-    lost = F.col("word_chars") - F.length(F.translate("cleaned_text", BLANKS, ""))
+    hinted = base.withColumn("low", F.lower("text"))
+    hint = functools.reduce(lambda a, b: a | b, [F.contains("low", F.lit(h)) for h in (*NAVIGATION_HINTS, *BOILERPLATE_HINTS)])
+    hinted = hinted.withColumn("hinted", hint).drop("low", "text")
+    counted = F.transform("lines", lambda x: F.struct(x.alias("x"), F.regexp_count(F.btrim(x, F.lit(BLANKS)), F.lit(r"[^ \t]+")).alias("n")))
+    good = lambda phrases: F.transform(F.filter(counted, lambda s: line_fault(s["x"], s["n"], phrases).isNull()), lambda s: s["x"])
+    # The hint is asked for beside the lambdas: within them it would be looked for again for each line.
+    judged = hinted.withColumn("cleaned_text", F.array_join(F.when(F.col("hinted"), good(True)).otherwise(good(False)), "\n"))
+    lost = F.col("word_chars") - _word_chars(F.col("cleaned_text"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
