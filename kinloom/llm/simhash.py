@@ -73,6 +73,8 @@ PAIRS = [_signed(1 << i | 1 << j) for i in range(64) for j in range(i) if i // 3
 
 def links(fps: DataFrame) -> DataFrame:
     """src, dst: links that connect fingerprints of fps (fp, distinct) at 3 or fewer differing bits."""
+    # A fingerprint grows into hundreds of rows, so the few fingerprints are dealt out first.
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     odd = F.bit_count("fp") % 2 == 1
     around = lambda masks: F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("fp").bitwiseXOR(m))
     near = fps.select("fp", F.explode(F.when(odd, around(SINGLES)).otherwise(F.concat(F.array("fp"), around(SINGLES)))).alias("v"))
@@ -83,13 +85,20 @@ def links(fps: DataFrame) -> DataFrame:
     return met.select("src", F.col("fp").alias("dst")).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 3).distinct()
 
 
-def _members(docs: DataFrame) -> DataFrame:
-    """doc_id, t (text hash), fp, component (its smallest fingerprint in Spark's order) of every row."""
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, t (text hash), fp; parts: fp, component, first), first being the component's
+    first row as (last, id, t): null ids come last, then by id, then by text hash.
+
+    Rows are combined by fingerprint before components are looked at, so a group of copies counts
+    once there.
+    """
     rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.select("fp").distinct(), "nodes")
-    parts = connected_components(links(nodes)).select(F.col("node").alias("fp"), "component")
-    named = nodes.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
-    return rows.join(named, "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
+    nodes = written(rows.groupBy("fp").agg(F.min(order).alias("k")), "nodes")
+    linked = connected_components(links(nodes.select("fp"))).select(F.col("node").alias("fp"), "component")
+    named = nodes.join(linked, "fp", "left").select("fp", "k", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component").agg(F.min("k").alias("first"))
+    return rows, named.join(first, "component").select("fp", "component", "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -100,9 +109,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     smallest id, which is null only if the component has no other. An empty table gives an empty
     result; other columns are not read.
     """
-    members = written(_members(docs), "members")
-    least = members.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return members.join(least, "component").select("doc_id", "fp", "component_id")
+    rows, parts = _components(docs)
+    return rows.join(parts, "fp").select("doc_id", "fp", F.col("first.id").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -111,8 +119,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Null ids come last; of rows that share the smallest id the one with the smallest text hash
     stays, and of rows equal in id and text one.
     """
-    order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("t").alias("t"))
-    keep = _members(docs).groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.t").alias("_h"))
+    _, parts = _components(docs)
+    keep = parts.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.t").alias("_h"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"))
     same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
     kept = packed.join(keep.hint("shuffle_hash"), same).select("doc", "_d", "_t")
