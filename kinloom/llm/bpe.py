@@ -92,6 +92,13 @@ class BytePairTransducer:
         self.moves: dict[int, tuple[int, bytes]] = {}
         self.start = self._state((-1, (((), 0),)))
 
+    def clear(self) -> None:
+        """Drop all that was kept for speed, so that an idle worker does not hold it."""
+        self.words.clear()
+        self.pair.clear()
+        self.edges.clear()
+        self._forget()
+
     def _state(self, key: tuple) -> int:
         at = self.states.get(key)
         if at is None:
@@ -308,6 +315,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
+        encoder.clear()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
@@ -331,6 +339,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids_sha.append(sha(ids))
                 text_sha.append(sha(decoder.decode(np.frombuffer(ids, "<u4")).encode("utf-8", "surrogatepass")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
