@@ -454,8 +454,8 @@ def tag_update(spark, sf_dir):
 
 
 def reply_sanitise(spark, sf_dir):
-    """L5 on conversation turns with a category worked in."""
-    mixed = F.concat(F.element_at(F.array(*map(F.lit, ("I say: BACKEND.", "database!", "qa-automation, surely", "", "it is web-dev and data"))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, 40))
+    """L5 on whole conversation turns with a category worked in."""
+    mixed = F.concat(F.element_at(F.array(*map(F.lit, ("I say: BACKEND.", "database!", "qa-automation, surely", "", "it is web-dev and data"))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", linkage.sanitise_reply(mixed).alias("category"))
 
 

@@ -246,3 +246,13 @@ def test_stream(spark, tmp_path):
         link_stream(spark, str(src), out, f"{tmp_path}/ck").awaitTermination()
     got = sorted((r["submission_id"], r["person_id"], r["created"]) for r in spark.read.parquet(f"{out}/submissions").collect())
     assert got == [(0, 1, False), (1, 2, True), (2, 2, False)]
+
+
+def test_reply_reads_whole_turns(spark, tmp_path):
+    from kinloom import queries
+
+    filler = "so we talked for a good while about it " * 200
+    rows = [(3, 0, filler + "web-dev"), (8, 0, filler), (13, 0, "backend"), (18, 0, None)]  # (conv_id + turn) % 5 = 3 works nothing in
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r["category"] for r in queries.reply_sanitise(spark, str(tmp_path)).collect()}
+    assert got == {3: "web-dev", 8: None, 13: "backend", 18: None}
