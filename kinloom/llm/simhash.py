@@ -113,13 +113,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(parts, "fp").select("doc_id", "fp", F.col("first.id").alias("component_id"))
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, components=_components) -> DataFrame:
     """One row of docs for each component, with the columns of docs: that of its smallest doc_id.
 
-    Null ids come last; of rows that share the smallest id the one with the smallest text hash
+    `components` gives (rows, parts) of docs, parts with component and first. Null ids come last; of rows that share the smallest id the one with the smallest text hash
     stays, and of rows equal in id and text one.
     """
-    _, parts = _components(docs)
+    _, parts = components(docs)
     keep = parts.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.t").alias("_h"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"))
     same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))

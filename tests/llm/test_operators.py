@@ -401,3 +401,43 @@ def test_sharding(docs, rows, empty):
 def test_lpt():
     got = sharding.lpt([(7, ("a",)), (5, ("b",)), (4, ("c",)), (3, ("d",))], 2)
     assert got == {("a",): 0, ("b",): 1, ("c",): 1, ("d",): 0}
+
+
+def plain_jaccard_components(texts):
+    """Every text's component over all pairs of five-word Jaccard 0.8 or more, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    return label
+
+
+def test_pipeline_near_dedup_against_all_pairs(spark, rows, empty):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    made = list(rows)
+    for i in range(60):  # one to six words of 120 to 200 differ: Jaccard from 0.9 down to below 0.8
+        words = [f"{rng.choice(WORDS)}{rng.randint(0, 99)}" for _ in range(rng.randint(120, 200))]
+        made.append((1000 + 2 * i, " ".join(words), "en", "s0", 1, 0.5, 7))
+        for at in rng.sample(range(len(words)), 1 + i % 6):
+            words[at] = f"other{i}"
+        made.append((1001 + 2 * i, " ".join(words), "en", "s0", 1, 0.5, 7))
+    made = [r for r in made if r[0] is not None]
+    label = plain_jaccard_components([r[1] for r in made])
+    least = {}
+    for r, k in zip(made, label):
+        least[k] = min(least.get(k, r[0]), r[0])
+    planted = sum(least[label[k]] != r[0] for k, r in enumerate(made) if r[0] >= 1000)
+    assert 20 < planted < 60
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(made, empty.schema), "")
+    assert got.columns == empty.columns
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
+    assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
