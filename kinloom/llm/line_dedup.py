@@ -19,26 +19,30 @@ NO_ID = -(1 << 63)
 TRIMMED = " \t\r\x0b\x0c"
 
 
-def _windows(docs: DataFrame) -> DataFrame:
-    """d (id), t (text hash), j, p (line numbers), h1, h2 of every window."""
+def _windows(docs: DataFrame, short: bool = False) -> DataFrame:
+    """d (id), t (text hash), j, p (line numbers), h1, h2 of every window; with `short` a text of one
+    or two lines that hold a word is a window too."""
     lines = F.transform(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(TRIMMED)))
     cut = docs.select("d", "t", lines.alias("lines"))
     cut = cut.select("d", "t", F.filter(F.transform("lines", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["x"] != "").alias("s"))
-    cut = cut.where(F.size("s") >= 3).select("d", "t", F.transform("s", lambda v: v["x"]).alias("x"), F.transform("s", lambda v: v["i"]).alias("i"))
+    cut = cut.where(F.size("s") >= (1 if short else 3)).select("d", "t", F.transform("s", lambda v: v["x"]).alias("x"), F.transform("s", lambda v: v["i"]).alias("i"))
 
     def window(j):
         at = [F.get("x", j + k) for k in range(3)]
-        return F.struct(j.alias("j"), F.array(*[F.get("i", j + k) for k in range(3)]).alias("p"), F.xxhash64(*at).alias("h1"), F.xxhash64(F.lit(31), *at).alias("h2"))
+        p = F.array(*[F.get("i", j + k) for k in range(3)])
+        return F.struct(j.alias("j"), (F.array_compact(p) if short else p).alias("p"), F.xxhash64(*at).alias("h1"), F.xxhash64(F.lit(31), *at).alias("h2"))
 
-    return cut.select("d", "t", F.explode(F.transform(F.sequence(F.lit(0), F.size("x") - 3), window)).alias("w")).select("d", "t", "w.*")
+    last = F.size("x") - 3
+    # Hashes pass over the nulls behind a short text's end.
+    return cut.select("d", "t", F.explode(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)) if short else last), window)).alias("w")).select("d", "t", "w.*")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """d, t, gone: the sorted numbers of the lines that go, for each document that loses any."""
     seen = (
-        _windows(docs).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("d").alias("first")).where("n > 1").select("h1", "h2", "first")
+        _windows(docs, short).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("d").alias("first")).where("n > 1").select("h1", "h2", "first")
     )
-    hits = _windows(docs).join(seen, ["h1", "h2"])
+    hits = _windows(docs, short).join(seen, ["h1", "h2"])
     later = hits.where("d > first").select("d", "t", "p")
     # Within the first document: all but the first place. Few rows, as each repeats in one document.
     own = hits.where("d = first").groupBy("d", "t", "h1", "h2").agg(F.min("j").alias("at"), F.collect_list(F.struct("j", "p")).alias("all")).where(F.size("all") > 1)
@@ -46,11 +50,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return later.unionByName(own).groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("p")))).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """docs with cleaned text, and `_lines`, `_gone` (line numbers); every row and column is kept.
 
     Lines end at \\n and compare without outer white space; blank lines are no part of windows and
-    stay. A text with fewer than three lines loses none. Documents are ordered by id, null first;
+    stay. A text with fewer than three lines loses none, or with `short` all if an earlier document
+    consists of the same lines. Documents are ordered by id, null first;
     rows that share an id keep each other's windows, and rows equal in id and text are treated
     alike. A null text stays null. An empty table gives an empty result.
     """
@@ -59,7 +64,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.struct(*[F.col(x) for x in name.values()]).alias("doc"), F.coalesce(F.col(name[id_col]).cast("long"), F.lit(NO_ID)).alias("d"),
         F.xxhash64(F.col(name[text_col])).alias("t"), F.col(name[text_col]).alias("text"),
     )
-    gone = repeated_lines(packed.select("d", "t", "text").where("text IS NOT NULL")).hint("shuffle_hash")
+    gone = repeated_lines(packed.select("d", "t", "text").where("text IS NOT NULL"), short).hint("shuffle_hash")
     joined = packed.join(gone, ["d", "t"], "left").select("doc", F.split("text", "\n").alias("lines"), "gone")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     text = F.when(F.col("gone").isNull(), F.col("doc")[text_col]).otherwise(F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
@@ -69,7 +74,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def cleaned_documents(docs: DataFrame) -> DataFrame:
+def cleaned_documents(docs: DataFrame, short: bool = False) -> DataFrame:
     """dedup_lines with the columns of docs alone; n_chars follows the text."""
-    out = dedup_lines(docs).select(*[f"`{c}`" for c in docs.columns])
+    out = dedup_lines(docs, short=short).select(*[f"`{c}`" for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -441,3 +441,21 @@ def test_pipeline_near_dedup_against_all_pairs(spark, rows, empty):
     assert got.columns == empty.columns
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(least.values())
     assert corpus_pipeline.near_dedup(spark, empty, "").count() == 0
+
+
+def test_pipeline_line_dedup_takes_short_texts(spark, docs, rows, empty):
+    import corpus_pipeline
+
+    long = "a passage of many words on a single line " * 8
+    made = [r for r in rows if r[0] is not None]
+    texts = [long, long + "\n\nsecond", long + "\nsecond", long, f"first\n{long}\nsecond\nthird", "second\n" + long, "\n " + long + "\n", "", " \n ", None]
+    made += [(2000 + i, t, "en", "s0", len(t or ""), 0.5, 7) for i, t in enumerate(texts)]
+    out = corpus_pipeline.line_dedup_stage(spark, spark.createDataFrame(made, empty.schema), "")
+    got = {(r["doc_id"], r["text"]) for r in out.collect() if r["doc_id"] >= 2000}
+    want = list(texts)
+    want[2], want[3], want[6] = "", "", "\n"  # repeated whole texts; 2004 and 2005 hold the line among others
+    assert got == {(2000 + i, t) for i, t in enumerate(want)}
+    plain = plain_line_dedup(made)  # texts of three lines and more as before
+    cut = {(r[0], r[1]): r[1] and "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in set(plain[r[0], r[1]])) for r in made}
+    full = {r[0]: r[1] for r in made if r[1] and sum(bool(x.strip()) for x in r[1].split("\n")) > 2}
+    assert all(r["text"] == cut[r["doc_id"], full[r["doc_id"]]] for r in out.collect() if r["doc_id"] in full)
