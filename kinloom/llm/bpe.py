@@ -7,7 +7,8 @@ non-deterministic transducer: it reads bytes along the trie of tokens and may en
 the pair with the one before is allowed. It is determinised lazily: a state is the set of open
 hypotheses with the tokens they have not yet emitted; the part that all of them share is emitted
 when it becomes common, after a lookahead that the longest token bounds. Transitions are kept once
-computed, and so are the ids of whole pre-tokens, both up to a fixed number.
+computed, and so are the ids of whole pre-tokens, both up to a fixed number and from one task of a
+worker to the next; a table that is full is emptied, also in the middle of a pre-token.
 
 Decoding. Ids are fed one after another; their bytes run through an incremental UTF-8 machine
 whose state is the bytes of an unfinished character. Transitions for whole tokens are kept.
@@ -30,8 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The bounds on what a worker keeps between pre-tokens, texts and tasks: some 200 MB.
 MAX_STATES = 250_000
-MAX_WORDS = 300_000
+MAX_WORDS = 200_000
+#: Longer pre-tokens are not kept.
+MAX_WORD = 64
 
 # Texts below U+0250 are split by re, whose classes are spelt out; others by regex. Fixed values.
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -56,11 +60,41 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) ->
     return parts
 
 
+class State(dict):
+    """A state of the determinised transducer: byte to (next state, ids that leave), filled on demand.
+
+    key: the token emitted last, or -1, and the hypotheses, each a trie node and the tokens not yet emitted.
+    """
+
+    __slots__ = ("final", "key", "machine")
+
+    def __init__(self, machine: BytePairTransducer, key: tuple):
+        self.machine, self.key, self.final = machine, key, None
+
+    def __missing__(self, byte: int) -> tuple[State, bytes]:
+        return self.machine.move(self, byte)
+
+
+class Words(dict):
+    """The ids of pre-tokens, encoded when first asked for."""
+
+    def __init__(self, machine: BytePairTransducer, most: int):
+        self.machine, self.most = machine, most
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.machine.encode_piece(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= MAX_WORD:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class BytePairTransducer:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_words: int = MAX_WORDS):
         import regex
 
-        self.ranks, self.max_states, self.max_words = ranks, max_states, max_words
+        self.ranks, self.max_states = ranks, max_states
         self.bytes_of = dict(map(reversed, ranks.items()))
         self.split_any = regex.compile(pattern).findall
         plain = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{_BLANKS}{_LETTERS}{_DIGITS}]").replace(r"\p{L}", f"[{_LETTERS}]").replace(r"\p{N}", f"[{_DIGITS}]").replace(r"\s", f"[{_BLANKS}]").replace(r"\S", f"[^{_BLANKS}]")
@@ -82,39 +116,28 @@ class BytePairTransducer:
             self.token_at[node] = rank
         self.pair: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list] = {}
-        self.words: dict[str, bytes] = {}
-        self._forget()
+        self.words = Words(self, max_words)
+        self.states: dict[tuple, State] = {}
+        self.start = State(self, (-1, (0,)))
 
     def _forget(self) -> None:
-        # A state: the last token emitted, or -1, and the open hypotheses (tokens not yet emitted, trie node).
-        self.states: dict[tuple, int] = {}
-        self.keys: list[tuple] = []
-        self.moves: dict[int, tuple[int, bytes]] = {}
-        self.start = self._state((-1, (((), 0),)))
-
-    def clear(self) -> None:
-        """Drop all that was kept for speed, so that an idle worker does not hold it."""
-        self.words.clear()
-        self.pair.clear()
-        self.edges.clear()
-        self._forget()
-
-    def _state(self, key: tuple) -> int:
-        at = self.states.get(key)
-        if at is None:
-            at = self.states[key] = len(self.keys)
-            self.keys.append(key)
-        return at
+        """Drop all states; one that is being walked from goes on to states made anew."""
+        for state in (self.start, *self.states.values()):  # states point at each other, so they would not go by themselves
+            state.clear()
+        self.states.clear()
 
     def _allowed(self, a: int, b: int) -> bool:
-        """Whether token b may follow token a (-1: begin)."""
-        ok = self.pair.get((a + 1) << 24 | b)
-        if ok is None:
-            if len(self.pair) > 4 * self.max_states:
-                self.pair.clear()
-            token = self.bytes_of[b]
-            ok = merge_bytes(token, self.ranks) == [token] if a < 0 else self._allowed(-1, b) and self._pair_stays(self._edge(a, -1), self._edge(b, 0))
-            self.pair[(a + 1) << 24 | b] = ok
+        """Whether token b may follow token a (-1: begin); remembered in `pair`."""
+        if len(self.pair) >= 2 * self.max_states:
+            self.pair.clear()
+            self.edges.clear()
+        token = self.bytes_of[b]
+        if a < 0:
+            ok = merge_bytes(token, self.ranks) == [token]
+        else:
+            ok = self.pair.get(b)  # after nothing
+            ok = (self._allowed(-1, b) if ok is None else ok) and self._pair_stays(self._edge(a, -1), self._edge(b, 0))
+        self.pair[(a + 1) << 24 | b] = ok
         return ok
 
     def _edge(self, token: int, side: int) -> list[tuple[bytes, int]]:
@@ -135,10 +158,10 @@ class BytePairTransducer:
     def _pair_stays(self, left: list[tuple[bytes, int]], right: list[tuple[bytes, int]]) -> bool:
         """No two parts that stand at the border at the same time merge before either is merged away
         from it; of equal ranks the leftmost goes first."""
-        i = j = 0
+        i, j, rank_of = 0, 0, self.ranks.get
         while True:
             (a, a_ends), (b, b_ends) = left[i], right[j]
-            rank = self.ranks.get(a + b, 1 << 60)
+            rank = rank_of(a + b, 1 << 60)
             if rank < 1 << 60 and rank < a_ends and rank <= b_ends:
                 return False
             # Go back to before the later of the two was made.
@@ -154,33 +177,42 @@ class BytePairTransducer:
     def _ids(self, tokens: Iterable[int]) -> bytes:
         return b"".join([t.to_bytes(4, "little") for t in tokens])
 
-    def _move(self, at: int, byte: int) -> tuple[int, bytes]:
+    def move(self, state: State, byte: int) -> tuple[State, bytes]:
         """One step of the subset construction."""
-        last, hypotheses = self.keys[at]
-        child, token_at, inner = self.child, self.token_at, self.inner
+        last, *hypotheses = state.key
+        child, token_at, inner, pair = self.child, self.token_at, self.inner, self.pair
         after, shared = [], True
-        for open_, node in hypotheses:
-            node = child.get(node << 8 | byte)
+        for h in hypotheses:
+            node = child.get(h[0] << 8 | byte)
             if node is not None:
                 if inner[node]:
-                    after.append((open_, node))
-                    shared = shared and bool(open_)
+                    after.append((node, *h[1:]))
+                    shared = shared and len(h) > 1
                 token = token_at[node]
-                if token >= 0 and self._allowed(open_[-1] if open_ else last, token):
-                    after.append(((*open_, token), 0))
+                if token >= 0:
+                    before = h[-1] if len(h) > 1 else last
+                    ok = pair.get((before + 1) << 24 | token)
+                    if self._allowed(before, token) if ok is None else ok:
+                        after.append((0, *h[1:], token))
         out = b""
         if shared:  # every hypothesis has open tokens: emit what they have in common
-            first = min((o for o, _ in after), key=len)
+            first = min(after, key=len)
             same = len(first)
-            for o, _ in after:
-                while o[:same] != first[:same]:
+            for h in after:
+                while h[1:same] != first[1:same]:
                     same -= 1
-            if same:
-                last, out = first[same - 1], self._ids(first[:same])
-                after = [(o[same:], n) for o, n in after]
-            if all(o for o, _ in after):
+            if same > 1:
+                last, out = first[same - 1], self._ids(first[1:same])
+                after = [(h[0], *h[same:]) for h in after]
+            if all(len(h) > 1 for h in after):
                 last = -1  # no longer asked for
-        got = self.moves[at << 8 | byte] = (self._state((last, tuple(after))), out)
+        key = (last, *after)
+        to = self.states.get(key)
+        if to is None:
+            if len(self.states) >= self.max_states:
+                self._forget()
+            to = self.states[key] = State(self, key)
+        got = state[byte] = (to, out)
         return got
 
     def encode_piece(self, piece: bytes) -> bytes:
@@ -188,29 +220,22 @@ class BytePairTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return whole.to_bytes(4, "little")
-        if len(self.keys) > self.max_states:
-            self._forget()
-        moves, at, out = self.moves, self.start, b""
+        state, out = self.start, []
         for byte in piece:
-            got = moves.get(at << 8 | byte) or self._move(at, byte)
-            at = got[0]
-            if got[1]:
-                out += got[1]
-        return out + self._ids(next(o for o, n in self.keys[at][1] if n == 0))
+            state, ids = state[byte]
+            if ids:
+                out.append(ids)
+        if state.final is None:
+            state.final = self._ids(next(h[1:] for h in state.key[1:] if not h[0]))
+        out.append(state.final)
+        return b"".join(out)
 
     def split(self, text: str) -> list[str]:
         return self.split_plain(text) if self.split_plain and not _BEYOND.search(text) else self.split_any(text)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
-        words, pieces = self.words, self.split(text)
-        new = set(pieces).difference(words)
-        if len(words) + len(new) > self.max_words:
-            words.clear()
-            new = set(pieces)
-        for w in new:
-            words[w] = self.encode_piece(w.encode("utf-8", "surrogatepass"))
-        return b"".join(map(words.__getitem__, pieces))
+        return b"".join(map(self.words.__getitem__, self.split(text)))
 
 
 def utf8_step(pending: bytes, byte: int) -> tuple[str, bytes]:
@@ -248,6 +273,8 @@ class StreamingDecoder:
         for i in ids:
             got = steps.get((self.pending, i))
             if got is None:
+                if len(steps) >= MAX_STATES:
+                    steps.clear()
                 text, pending = "", self.pending
                 for byte in self.token[i]:
                     more, pending = utf8_step(pending, byte)
@@ -290,7 +317,7 @@ class StreamingDecoder:
 
 @contextlib.contextmanager
 def _no_collection():
-    """The machines are large and free of cycles; walking them again and again only costs time."""
+    """The machines are large and take their cycles apart themselves; walking them again and again only costs time."""
     gc.disable()
     try:
         yield
@@ -309,13 +336,13 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         encoder, _ = _machines(path, pattern)
-        for batch in batches:
-            ids = [np.frombuffer(encoder.encode(t or ""), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
-            n = [len(x) for x in ids]
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
-        encoder.clear()
+        with _no_collection():
+            for batch in batches:
+                ids = [np.frombuffer(encoder.encode(t or ""), "<u4").astype(np.int32) for t in batch.column("text").to_pylist()]
+                n = [len(x) for x in ids]
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat, pa.array(n, pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long")
 
@@ -327,19 +354,20 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     table gives an empty result; other columns are not read.
     """
 
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
     def run(batches):
         encoder, decoder = _machines(path, pattern)
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        for batch in batches:
-            n, ids_sha, text_sha = [], [], []
-            for t in batch.column("text").to_pylist():
-                with _no_collection():
+        with _no_collection():
+            for batch in batches:
+                n, ids_sha, text_sha = [], [], []
+                for t in batch.column("text").to_pylist():
                     ids = encoder.encode(t or "")
-                n.append(len(ids) // 4)
-                ids_sha.append(sha(ids))
-                text_sha.append(sha(decoder.decode(np.frombuffer(ids, "<u4")).encode("utf-8", "surrogatepass")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder.clear()
+                    n.append(len(ids) // 4)
+                    ids_sha.append(sha(ids))
+                    text_sha.append(sha(decoder.decode(np.frombuffer(ids, "<u4")).encode("utf-8", "surrogatepass")))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -459,3 +459,20 @@ def test_pipeline_line_dedup_takes_short_texts(spark, docs, rows, empty):
     cut = {(r[0], r[1]): r[1] and "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in set(plain[r[0], r[1]])) for r in made}
     full = {r[0]: r[1] for r in made if r[1] and sum(bool(x.strip()) for x in r[1].split("\n")) > 2}
     assert all(r["text"] == cut[r["doc_id"], full[r["doc_id"]]] for r in out.collect() if r["doc_id"] in full)
+
+
+def test_bpe_tables_stay_bounded():
+    """Long random pieces make states without end: tables are emptied within a piece, and ids stay right."""
+    import tiktoken
+
+    path, pattern = tokenizer()
+    ranks = bpe.read_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    machine = bpe.BytePairTransducer(ranks, pattern, max_states=300, max_words=20)
+    rng = random.Random(7)
+    for n in (1, 65, 20_000):
+        for alphabet in ("etaoinshr", "漢字", "a", " "):
+            text = "".join(rng.choice(alphabet) for _ in range(n)) + " " + " ".join(f"w{rng.random()}" for _ in range(40))
+            assert list(memoryview(machine.encode(text)).cast("I")) == enc.encode_ordinary(text)
+            assert len(machine.states) <= 300 and len(machine.words) <= 20 and len(machine.pair) <= 600
+            assert all(len(w) <= bpe.MAX_WORD for w in machine.words)
