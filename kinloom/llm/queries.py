@@ -52,8 +52,8 @@ def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+    found = line_dedup.judged(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc.doc_id").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def op10_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,13 +42,13 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM h JOIN f USING (hex) JOIN digest USING (hex)"""
 
 LINE_DEDUP = """
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT rid, doc_id, unnest(lines) AS raw, generate_subscripts(lines, 1) AS i FROM d),
-s AS (SELECT rid, doc_id, i, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
-w AS (SELECT rid, doc_id, i, lead(i) OVER q AS i2, lead(i, 2) OVER q AS i3, x || chr(10) || lead(x) OVER q || chr(10) || lead(x, 2) OVER q AS g FROM s WHERE x <> '' WINDOW q AS (PARTITION BY rid ORDER BY i)),
-a AS (SELECT *, min(doc_id) OVER (PARTITION BY g) AS first, min(i) OVER (PARTITION BY g, rid) AS begins FROM w WHERE g IS NOT NULL),
-later AS (SELECT rid, i, i2, i3 FROM a WHERE doc_id > first OR i > begins),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, sha256(text) AS sha, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT rid, doc_id, sha, unnest(lines) AS raw, generate_subscripts(lines, 1) AS i FROM d),
+s AS (SELECT rid, doc_id, sha, i, trim(raw, chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS x FROM l),
+w AS (SELECT rid, doc_id, sha, i, lead(i) OVER q AS i2, lead(i, 2) OVER q AS i3, x || chr(10) || lead(x) OVER q || chr(10) || lead(x, 2) OVER q AS g FROM s WHERE x <> '' WINDOW q AS (PARTITION BY rid ORDER BY i)),
+a AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, sha, rid, i) AS place FROM w WHERE g IS NOT NULL),
+later AS (SELECT rid, i, i2, i3 FROM a WHERE place > 1),
 gone AS (SELECT rid, i FROM later UNION SELECT rid, i2 FROM later UNION SELECT rid, i3 FROM later),
 kept AS (SELECT rid, string_agg(raw, chr(10) ORDER BY i) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = l.rid AND gone.i = l.i) GROUP BY rid),
 n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
-SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)"""
+SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, CASE WHEN sha IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)"""

@@ -331,50 +331,58 @@ def test_warc(spark, empty):
     assert warc.archive_round_trip(spark, none).count() == 0
 
 
-def plain_line_dedup(rows):
-    windows = {}
-    keyed = {}
-    for r in rows:
-        if r[1] is None:
-            continue
-        lines = [x.strip(" \t\r\x0b\x0c") for x in r[1].split("\n")]
-        full = [(i, x) for i, x in enumerate(lines) if x]
-        keyed[r[0], r[1]] = [(tuple(x for _, x in full[j : j + 3]), j, [i for i, _ in full[j : j + 3]]) for j in range(len(full) - 2)]
-    order = lambda d: (d is not None, d or 0)
-    for (d, _), ws in keyed.items():
-        for w, _, _ in ws:
-            windows[w] = min(windows.get(w, (True, 1 << 60)), order(d))
-    out = {}
-    for (d, t), ws in keyed.items():
-        seen, gone = set(), set()
-        for w, _, at in ws:
-            if order(d) > windows[w] or w in seen:
-                gone.update(at)
-            seen.add(w)
-        out[d, t] = sorted(gone)
+def plain_line_dedup(rows, short=False):
+    """(row, numbers of the lines that go) of every row: windows seen in an earlier row, or before in the same one."""
+    sha = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:15], 16) if t is not None else 0
+    seen, out = set(), []
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, sha(r[1]))):
+        full = [(i, x.strip(" \t\r\x0b\x0c")) for i, x in enumerate((r[1] or "").split("\n"))]
+        full = [(i, x) for i, x in full if x]
+        windows = [full[j : j + 3] for j in range(len(full) - 2)] or ([full] if short and full else [])
+        gone = set()
+        for w in windows:
+            key = tuple(x for _, x in w)
+            if key in seen:
+                gone.update(i for i, _ in w)
+            seen.add(key)
+        out.append((r, sorted(gone)))
     return out
 
 
-def test_line_dedup(docs, rows, empty):
-    out = line_dedup.dedup_lines(docs)
-    want = plain_line_dedup(rows)
-    got = out.collect()
-    assert len(got) == len(rows)
-    source = collections.defaultdict(set)
-    for r in rows:
-        source[r[0]].add(r[1])
-    removed = 0
-    for r in got:
-        (text,) = source[r["doc_id"]]
-        gone = want.get((r["doc_id"], text), [])
-        assert r["_gone"] == gone
-        removed += len(gone)
-        assert r["text"] == (None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in set(gone)))
-    assert removed > 40
-    clean = line_dedup.cleaned_documents(docs)
+def cut_lines(text, gone):
+    return None if text is None else "\n".join(x for i, x in enumerate(text.split("\n")) if i not in set(gone))
+
+
+@pytest.fixture(scope="module")
+def shared_rows(rows):
+    """Rows with repeated passages under one id, under null ids, and equal in all columns or in id and text alone."""
+    passage = "a bright river\nsings under stone\n\nover the green house"
+    more = [(5, passage + "\nend", "en", "s0"), (5, "begin\n" + passage, "en", "s0"), (None, passage, "en", "s1"), (None, passage + "\n" + passage, "en", "s1")]
+    more += [(None, passage, "en", "s1")] * 3 + [(None, passage, "fr", "s1"), (900, "x y z\n" * 3, "en", "s2"), (900, "x y z\n" * 3, "en", "s2"), (901, "only one line", "en", "s2"), (901, "only one line", "en", "s2")]
+    return rows + [(*r, len(r[1] or ""), 0.5, 7) for r in more]
+
+
+@pytest.mark.parametrize("short", [False, True])
+def test_line_dedup(spark, shared_rows, empty, short):
+    docs = spark.createDataFrame(shared_rows, SCHEMA).repartition(3)
+    got = line_dedup.judged(docs, short=short).select("doc.doc_id", F.col("doc.text").alias("was"), "n_lines", "gone", "text").collect()
+    want = collections.Counter((r[0], r[1], tuple(gone), cut_lines(r[1], gone)) for r, gone in plain_line_dedup(shared_rows, short))
+    assert collections.Counter((r["doc_id"], r["was"], tuple(r["gone"]), r["text"]) for r in got) == want
+    assert sum(len(k[2]) * n for k, n in want.items()) > 60
+    assert all(r["n_lines"] == len(r["was"].split("\n")) for r in got if r["was"] is not None)
+    clean = line_dedup.cleaned_documents(docs, short=short)
     assert clean.columns == docs.columns
     assert all(r["n_chars"] == len(r["text"]) for r in clean.collect() if r["text"] is not None)
-    assert line_dedup.dedup_lines(empty).count() == 0
+    assert line_dedup.dedup_lines(empty, short=short).count() == 0
+
+
+def test_line_dedup_takes_any_column_name(spark, shared_rows):
+    names = ["doc_id", "text", "_lines", "gone", "o", "doc", "later.w"]
+    docs = spark.createDataFrame(shared_rows, SCHEMA).toDF(*names)
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == names
+    want = collections.Counter((r[0], cut_lines(r[1], gone), *r[2:]) for r, gone in plain_line_dedup(shared_rows))
+    assert collections.Counter(map(tuple, out.collect())) == want
 
 
 def test_sharding(docs, rows, empty):
@@ -455,10 +463,8 @@ def test_pipeline_line_dedup_takes_short_texts(spark, docs, rows, empty):
     want = list(texts)
     want[2], want[3], want[6] = "", "", "\n"  # repeated whole texts; 2004 and 2005 hold the line among others
     assert got == {(2000 + i, t) for i, t in enumerate(want)}
-    plain = plain_line_dedup(made)  # texts of three lines and more as before
-    cut = {(r[0], r[1]): r[1] and "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in set(plain[r[0], r[1]])) for r in made}
-    full = {r[0]: r[1] for r in made if r[1] and sum(bool(x.strip()) for x in r[1].split("\n")) > 2}
-    assert all(r["text"] == cut[r["doc_id"], full[r["doc_id"]]] for r in out.collect() if r["doc_id"] in full)
+    want = collections.Counter((r[0], cut_lines(r[1], gone)) for r, gone in plain_line_dedup(made, short=True))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == want
 
 
 def test_bpe_tables_stay_bounded():
