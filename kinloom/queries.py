@@ -386,7 +386,11 @@ FROM ids JOIN rec USING (rid)""",
 
 # --- submissions, tags, listings ---
 
-_PEOPLE = "SELECT c_custkey AS person_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 4 = 0 THEN 'data' END AS skill_category FROM customer WHERE c_custkey % 3 <> 0"
+_PEOPLE = "SELECT c_custkey AS person_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 4 = 0 THEN 'data' END AS skill_category FROM customer"
+
+
+#: The person that an order names: of every third order one who is not among the customers.
+_NAMED = "CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 100000000 ELSE o_custkey END"
 
 
 def _people(spark, sf_dir):
@@ -394,36 +398,37 @@ def _people(spark, sf_dir):
 
 
 def submissions_left_join(spark, sf_dir):
-    subs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id"), F.col("o_custkey").alias("person_id"))
+    subs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id"), F.expr(_NAMED).alias("person_id"))
     return linkage.list_submissions(subs, _people(spark, sf_dir).withColumn("match_confidence", F.lit("high"))).select("submission_id", "person_id", "matched_name", "city", "match_confidence")
 
 
-_SUBS = f"SELECT o_orderkey AS submission_id, concat('worker ', CAST(o_custkey AS STRING)) AS name, CASE WHEN o_orderkey % 50 = 0 THEN 'none' WHEN o_orderkey % 2 = 0 THEN concat('0', {_CORE.format('o_custkey')}) ELSE concat('+91 ', {_CORE.format('o_custkey')}) END AS phone FROM orders"
+_CALLED = _CORE.format(f"({_NAMED})")
+_SUBS = f"SELECT o_orderkey AS submission_id, concat('worker ', CAST(o_custkey AS STRING)) AS name, CASE WHEN o_orderkey % 50 = 0 THEN 'none' WHEN o_orderkey % 2 = 0 THEN concat('0', {_CALLED}) ELSE concat('+91 ', {_CALLED}) END AS phone FROM orders"
 
 
 def find_or_create(spark, sf_dir):
-    ids = _sql(spark, sf_dir, f"SELECT c_custkey AS person_id, 'phone' AS id_type, concat('+91', {_CORE.format('c_custkey')}) AS value FROM customer WHERE c_custkey % 3 <> 0", ("customer",))
+    ids = _sql(spark, sf_dir, f"SELECT c_custkey AS person_id, 'phone' AS id_type, concat('+91', {_CORE.format('c_custkey')}) AS value FROM customer", ("customer",))
     linked, _, _ = linkage.link_submissions(_sql(spark, sf_dir, _SUBS, ("orders",)), _people(spark, sf_dir), ids)
     return linked.select("submission_id", "normalised_phone", "person_id", "created")
 
 
-_FIND_SQL = f"""WITH s AS (SELECT o_orderkey AS submission_id, o_custkey AS c, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE concat('+91', {_CORE.format('o_custkey')}) END AS ph FROM orders),
-known AS (SELECT concat('+91', {_CORE.format('c_custkey')}) AS ph, min(c_custkey) AS id FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1),
+_FIND_SQL = f"""WITH s AS (SELECT o_orderkey AS submission_id, o_custkey AS c, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE concat('+91', {_CALLED}) END AS ph FROM orders),
+known AS (SELECT concat('+91', {_CORE.format('c_custkey')}) AS ph, min(c_custkey) AS id FROM customer GROUP BY 1),
 f AS (SELECT s.*, known.id, coalesce(s.ph, 'x' || submission_id) AS key FROM s LEFT JOIN known USING (ph)),
-n AS (SELECT key, min(submission_id) AS first, (SELECT max(c_custkey) FROM customer WHERE c_custkey % 3 <> 0) + row_number() OVER (ORDER BY min(submission_id)) AS new_id FROM f WHERE id IS NULL GROUP BY key)
+n AS (SELECT key, min(submission_id) AS first, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY min(submission_id)) AS new_id FROM f WHERE id IS NULL GROUP BY key)
 SELECT submission_id, ph AS normalised_phone, coalesce(id, new_id) AS person_id, id IS NULL AND submission_id = first AS created FROM f LEFT JOIN n USING (key)"""
 
 
 def _skill_links(spark, sf_dir):
-    return _sql(spark, sf_dir, "SELECT DISTINCT o_custkey AS person_id, l_suppkey % 10 AS skill_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1", ("orders", "lineitem"))
+    return _sql(spark, sf_dir, "SELECT DISTINCT o_custkey AS person_id, l_suppkey % 10 AS skill_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey", ("orders", "lineitem"))
 
 
 def _skill_table(spark, sf_dir):
     return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("skill_id"), F.col("s_name").alias("canonical_name"))
 
 
-_SKILL_SQL = """WITH people AS (SELECT c_custkey AS person_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 4 = 0 THEN 'data' END AS skill_category FROM customer WHERE c_custkey % 3 <> 0),
-ps AS (SELECT DISTINCT o_custkey AS person_id, l_suppkey % 10 AS skill_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1),
+_SKILL_SQL = """WITH people AS (SELECT c_custkey AS person_id, c_name AS full_name, c_mktsegment AS city, CASE WHEN c_custkey % 4 = 0 THEN 'data' END AS skill_category FROM customer),
+ps AS (SELECT DISTINCT o_custkey AS person_id, l_suppkey % 10 AS skill_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 s AS (SELECT person_id, coalesce(string_agg(s_name, ', ' ORDER BY skill_id), '') AS skills FROM people LEFT JOIN ps USING (person_id) LEFT JOIN supplier ON s_suppkey = skill_id GROUP BY person_id)
 SELECT person_id, full_name, city, skill_category, skills FROM people JOIN s USING (person_id)"""
 
@@ -437,7 +442,7 @@ def untagged_people(spark, sf_dir):
     return linkage.list_people(_people(spark, sf_dir), _skill_links(spark, sf_dir), _skill_table(spark, sf_dir), untagged=True)
 
 
-_UPDATES = "SELECT event_id, user_id AS person_id, CASE event_id % 7 WHEN 0 THEN 'web-dev' WHEN 1 THEN ' data ' WHEN 2 THEN 'Backend' WHEN 3 THEN 'backend' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'qa-automation' END AS skill_category FROM events"
+_UPDATES = "SELECT event_id, CASE WHEN event_id % 6 = 5 THEN user_id + 100000000 ELSE user_id END AS person_id, CASE event_id % 7 WHEN 0 THEN 'web-dev' WHEN 1 THEN ' data ' WHEN 2 THEN 'Backend' WHEN 3 THEN 'backend' WHEN 4 THEN '' WHEN 5 THEN NULL ELSE 'qa-automation' END AS skill_category FROM events"
 _OUTCOMES_SQL = f"""u AS ({_UPDATES}), out AS (SELECT event_id, person_id, trim(coalesce(u.skill_category, '')) AS skill_category,
 CASE WHEN trim(coalesce(u.skill_category, '')) NOT IN ('automation-heavy', 'web-dev', 'data', 'qa-automation', 'backend') THEN 'invalid' WHEN full_name IS NULL THEN 'missing' ELSE 'updated' END AS outcome FROM u LEFT JOIN people USING (person_id))"""
 
@@ -459,7 +464,7 @@ def reply_sanitise(spark, sf_dir):
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", linkage.sanitise_reply(mixed).alias("category"))
 
 
-_REPLY_SQL = """WITH m AS (SELECT conv_id, turn, lower(concat(CASE (conv_id + turn) % 5 WHEN 0 THEN 'I say: BACKEND.' WHEN 1 THEN 'database!' WHEN 2 THEN 'qa-automation, surely' WHEN 3 THEN '' ELSE 'it is web-dev and data' END, ' ', substr(coalesce(text, ''), 1, 40))) AS x FROM conversations),
+_REPLY_SQL = """WITH m AS (SELECT conv_id, turn, lower(concat(CASE (conv_id + turn) % 5 WHEN 0 THEN 'I say: BACKEND.' WHEN 1 THEN 'database!' WHEN 2 THEN 'qa-automation, surely' WHEN 3 THEN '' ELSE 'it is web-dev and data' END, ' ', coalesce(text, ''))) AS x FROM conversations),
 c AS (SELECT conv_id, turn, regexp_replace(x, '[^a-z-]', ' ', 'g') AS x FROM m), w AS (SELECT *, string_split_regex(trim(x), '\\s+') AS t FROM c)
 SELECT conv_id, turn, CASE WHEN list_contains(t, 'automation-heavy') THEN 'automation-heavy' WHEN list_contains(t, 'web-dev') THEN 'web-dev' WHEN list_contains(t, 'data') THEN 'data' WHEN list_contains(t, 'qa-automation') THEN 'qa-automation' WHEN list_contains(t, 'backend') THEN 'backend'
 WHEN contains(x, 'automation-heavy') THEN 'automation-heavy' WHEN contains(x, 'web-dev') THEN 'web-dev' WHEN contains(x, 'data') THEN 'data' WHEN contains(x, 'qa-automation') THEN 'qa-automation' WHEN contains(x, 'backend') THEN 'backend' END AS category FROM w"""
@@ -473,7 +478,7 @@ def summary_text(spark, sf_dir):
     return linkage.summary_text(stats_row(spark, sf_dir)).select("text")
 
 
-_STATS_SQL = "(SELECT count(*) AS people, count(CASE WHEN c_custkey % 4 = 0 THEN 1 END) AS tagged FROM customer WHERE c_custkey % 3 <> 0), (SELECT count(*) AS submissions FROM orders), (SELECT count(*) AS issues FROM events)"
+_STATS_SQL = "(SELECT count(*) AS people, count(CASE WHEN c_custkey % 4 = 0 THEN 1 END) AS tagged FROM customer), (SELECT count(*) AS submissions FROM orders), (SELECT count(*) AS issues FROM events)"
 
 
 def upload_checks(spark, sf_dir):
@@ -485,7 +490,7 @@ def upload_checks(spark, sf_dir):
 _UPLOADS = "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'audio/wav' WHEN 1 THEN 'video/webm' WHEN 2 THEN 'image/png' WHEN 3 THEN NULL ELSE 'audio/flac' END AS mime, CAST(event_id % 31 * 1000000 AS BIGINT) AS size, CASE WHEN event_id % 11 = 0 THEN ' ' ELSE 'Asha' END AS name, CASE WHEN event_id % 13 = 0 THEN NULL ELSE '1' END AS phone FROM events"
 
 
-_SHOWN = """SELECT o_orderkey AS submission_id, o_custkey AS person_id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 44100 ELSE 16000 END AS sample_rate_hz, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 80) / 2.0 END AS snr_db,
+_SHOWN = f"""SELECT o_orderkey AS submission_id, {_NAMED} AS person_id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 0 WHEN 2 THEN 44100 ELSE 16000 END AS sample_rate_hz, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey % 80) / 2.0 END AS snr_db,
 CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 3000 * 100 END AS size_bytes, CASE o_orderkey % 5 WHEN 0 THEN 'good' WHEN 1 THEN 'poor (clipped)' WHEN 2 THEN 'unknown (x)' WHEN 3 THEN NULL ELSE 'fair' END AS quality_label FROM orders"""
 
 
@@ -506,7 +511,8 @@ def unique_violations(spark, sf_dir):
 
 
 def foreign_orphans(spark, sf_dir):
-    return store.orphans(_table(spark, sf_dir, "orders"), "o_custkey", _people(spark, sf_dir), "person_id").select("o_orderkey", "o_custkey")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_NAMED).alias("named"))
+    return store.orphans(orders, "named", _people(spark, sf_dir), "person_id")
 
 
 def check_violations(spark, sf_dir):
@@ -539,15 +545,20 @@ SELECT l_orderkey, l_linenumber, CASE WHEN snr IS NULL OR snr < 3 THEN CASE WHEN
 WHEN NOT contains(a, ', ') THEN concat('fair (', a, ')') ELSE concat('poor (', a, ')') END AS label FROM r"""
 
 
+#: Customers are linked to the first who got the same part shipped on the same day.
+_PARTNERS = """k AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, CAST(l_shipdate AS DATE) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+f AS (SELECT p, d, min(c) AS src FROM k GROUP BY p, d), e AS (SELECT DISTINCT src, c AS dst FROM k JOIN f USING (p, d) WHERE c > src)"""
+
+
 def customer_components(spark, sf_dir):
-    """M1 at length: customers linked through the suppliers of their first lines."""
-    edges = _sql(spark, sf_dir, "SELECT DISTINCT o_custkey AS src, -1 - l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 7 AND l_quantity > 40", ("orders", "lineitem"))
-    return connected_components(edges).where("node >= 0").groupBy("component").agg(F.count("*").alias("customers"))
+    """M1 at length: components of customers who share part and day of a shipment, over all lines."""
+    edges = _sql(spark, sf_dir, f"WITH {_PARTNERS} SELECT src, dst FROM e", ("orders", "lineitem"))
+    return connected_components(edges).groupBy("component").agg(F.count("*").alias("customers"))
 
 
-_COMPONENT_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, -1 - l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 7 AND l_quantity > 40),
-b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), reach(a, b) AS (SELECT src, src FROM b UNION SELECT r.a, b.dst FROM reach r JOIN b ON r.b = b.src), c AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
-SELECT component, count(*) AS customers FROM c WHERE a >= 0 GROUP BY component"""
+_COMPONENT_SQL = f"""WITH RECURSIVE {_PARTNERS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach(a, b) AS (SELECT src, src FROM b UNION SELECT r.a, b.dst FROM reach r JOIN b ON r.b = b.src), c AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT component, count(*) AS customers FROM c GROUP BY component"""
 
 
 def queries() -> dict:
@@ -583,7 +594,7 @@ def oracle_sql() -> dict[str, str]:
         "near_miss": _GRAPH + "SELECT name_key || ' / ' || string_agg(city, ' vs ' ORDER BY f) AS name_city, CAST(sum(n) AS INTEGER) AS n FROM (SELECT name_key, city, min(cl.cluster) AS f, count(*) AS n FROM cl GROUP BY name_key, city) GROUP BY name_key HAVING count(*) >= 2",
         "match_issues": _GRAPH + """SELECT issue_type, severity, count(*) AS n FROM (SELECT 'ambiguous_name_match' AS issue_type, 'high' AS severity FROM verdicts WHERE verdict <> 'join' UNION ALL SELECT 'matched_on_name_and_city', 'medium' FROM verdicts WHERE verdict = 'join'
 UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WHERE verdict = 'join' AND n_both > 0) GROUP BY ALL""",
-        "submissions_left_join": f"WITH people AS ({_PEOPLE}) SELECT o_orderkey AS submission_id, o_custkey AS person_id, full_name AS matched_name, city, CASE WHEN full_name IS NOT NULL THEN 'high' END AS match_confidence FROM orders LEFT JOIN people ON person_id = o_custkey",
+        "submissions_left_join": f"WITH people AS ({_PEOPLE}) SELECT o_orderkey AS submission_id, {_NAMED} AS person_id, full_name AS matched_name, city, CASE WHEN full_name IS NOT NULL THEN 'high' END AS match_confidence FROM orders LEFT JOIN people ON person_id = {_NAMED}",
         "find_or_create": _FIND_SQL, "people_skills_agg": _SKILL_SQL, "untagged_people": _SKILL_SQL + " WHERE skill_category IS NULL AND skills <> '' ORDER BY person_id LIMIT 100",
         "tag_outcome": f"WITH people AS ({_PEOPLE}), {_OUTCOMES_SQL} SELECT person_id, skill_category, outcome, count(*) AS n FROM out GROUP BY ALL",
         "tag_update": f"WITH people AS ({_PEOPLE}), {_OUTCOMES_SQL} SELECT person_id, full_name, city, coalesce(m, skill_category) AS skill_category FROM people LEFT JOIN (SELECT person_id, max(skill_category) AS m FROM out WHERE outcome = 'updated' GROUP BY person_id) USING (person_id)",
@@ -592,7 +603,7 @@ UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WH
         "upload_checks": f"""WITH u AS ({_UPLOADS}) SELECT event_id, CASE WHEN mime = 'image/png' THEN 'unsupported type' WHEN size > 26214400 THEN 'too large' WHEN trim(name) = '' THEN 'name is required' WHEN phone IS NULL THEN 'phone is required' WHEN mime IS NULL THEN 'file is required' END AS reason FROM u""",
         "submissions_display": _DISPLAY_SQL,
         "unique_violations": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
-        "foreign_orphans": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)",
+        "foreign_orphans": f"SELECT o_orderkey, named FROM (SELECT o_orderkey, {_NAMED} AS named FROM orders) WHERE named NOT IN (SELECT c_custkey FROM customer)",
         "check_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
         "constraint_violations": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS table_name, '{c}' AS key, CAST(0 AS BIGINT) AS n" for k, t, c in store.constraints()),
         "sample_measures": _SAMPLES_SQL, "quality_labels": _LABEL_SQL, "customer_components": _COMPONENT_SQL,
