@@ -93,7 +93,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shor
     packed = docs.select(F.struct(*c.values()).alias("doc"), _order(c[id_col], c[text_col]).alias("o"))
     slim = docs.select(_order(c[id_col], c[text_col]).alias("o"), c[text_col].alias("text")).where("text IS NOT NULL")
     found = written(later_windows(slim, short), "later-windows")
-    joined = packed.join(found, "o", "left")
+    joined = packed.join(found.hint("merge"), "o", "left")  # at every size: what is found grows with the documents
     many = found.where("copies > 1")
     if many.isEmpty():  # as it should be: no rows are equal in id and text
         rows = joined.select("doc", "later", F.lit(False).alias("all"))
