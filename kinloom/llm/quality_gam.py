@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import held_out
+from kinloom.llm.common import held_out, labelled_sample
 
 FEATURES = (
     "log_bytes log_words mean_word mean_line symbol_share upper_share digit_share punct_share bang_share bar_share "
@@ -142,21 +142,9 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, bin
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "quality") -> Gam:
-    """Fit on at most max_rows labelled rows, chosen by a hash of their id, none of them held out.
-
-    Labelled rows with a null label or id, or without a document, are not used; conflicting labels
-    of an id are all used.
-    """
-    rows = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("double").alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
-    rows = rows.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(max_rows)
-    known = docs.select(F.col("doc_id").alias("id"), F.col("text").alias("text")).join(F.broadcast(rows), "id")  # max_rows rows
-
-    def summarise(batches):
-        for batch in batches:
-            x = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), x, batch.column("y")], ["id", "x", "y"])
-
-    got = sorted((r["id"], r["y"], tuple(r["x"])) for r in known.select(F.col("id").cast("long").alias("id"), "text", "y").mapInArrow(summarise, "id long, x array<double>, y double").collect())
+    """Fit on at most max_rows labelled rows, none of them held out; see `labelled_sample`."""
+    summarise = lambda texts: pa.array([features(t) for t in texts], pa.list_(pa.float64()))
+    got = sorted((r["id"], r["y"], tuple(r["x"])) for r in labelled_sample(docs, labels, label, max_rows, summarise, "array<double>").collect())
     return fit(np.array([r[2] for r in got]).reshape(-1, len(FEATURES)), np.array([r[1] for r in got]))
 
 
