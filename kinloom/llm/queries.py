@@ -38,8 +38,8 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_flow_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.array("source"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("copies")).cast("long").alias("taken"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), F.col("source"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

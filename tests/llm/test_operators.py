@@ -323,12 +323,39 @@ def test_quality_rules(docs, rows, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
-def test_flow_prefers_fresh_words():
-    flow = mixing.route({("a",): 100, ("a", "b"): 100}, {"a": 150, "b": 100})
-    assert sum(flow[("a",)].values()) == 150 or flow[("a", "b")].get("b", 0) + flow[("a", "b")].get("a", 0) >= 100
-    fresh = min(100, sum(flow[("a",)].values())) + min(100, sum(flow[("a", "b")].values()))
-    assert fresh == 200  # nothing is repeated before all is used once
-    assert sum(f.get("a", 0) for f in flow.values()) == 150 and sum(f.get("b", 0) for f in flow.values()) == 100
+def best_flow(words, distinct, quotas, repeats):
+    """(most words, least cost) over every way to take words, by trying all of them."""
+    keys = sorted(words)
+    step = lambda p: [c for c, w in enumerate(mixing.readings(distinct[p], sum(repeats * n for (q, _), n in words.items() if q == p))) for _ in range(w)]
+    cost = {p: step(p) for p in distinct}
+    best = (0, 0)
+    for take in itertools.product(*[range(repeats * words[k] + 1) for k in keys]):
+        by_source, by_pattern = collections.Counter(), collections.Counter()
+        for (p, s), n in zip(keys, take, strict=True):
+            by_source[s] += n
+            by_pattern[p] += n
+        if all(by_source[s] <= quotas[s] for s in by_source):
+            best = max(best, (sum(take), -sum(sum(cost[p][:n]) for p, n in by_pattern.items())))
+    return best
+
+
+def test_flow_is_the_cheapest():
+    rng = random.Random(11)
+    for _ in range(25):
+        words = {("ab", "a"): rng.randint(0, 3), ("ab", "b"): rng.randint(1, 3), ("a", "a"): rng.randint(0, 3), ("b", "b"): rng.randint(0, 2)}
+        words = {k: n for k, n in words.items() if n}
+        distinct = {p: rng.randint(1, sum(n for (q, _), n in words.items() if q == p)) for p in {p for p, _ in words}}
+        quotas = {"a": rng.randint(0, 9), "b": rng.randint(0, 9)}
+        got = mixing.route(words, distinct, quotas, 2)
+        assert all(got[k] <= 2 * words[k] for k in words)
+        by_source = {s: sum(n for (_, t), n in got.items() if t == s) for s in "ab"}
+        assert all(by_source[s] <= quotas[s] for s in "ab")
+        cost = 0
+        for p in distinct:
+            n = sum(x for (q, _), x in got.items() if q == p)
+            steps = [c for c, w in enumerate(mixing.readings(distinct[p], sum(2 * x for (q, _), x in words.items() if q == p))) for _ in range(w)]
+            cost += sum(steps[:n])
+        assert (sum(got.values()), -cost) == best_flow(words, distinct, quotas, 2)
 
 
 def test_targets():
@@ -339,20 +366,20 @@ def test_targets():
 
 def test_mixing(docs, rows, empty):
     def run():
-        return mixing.mix(docs, F.array("source")).collect()
+        return mixing.mix(docs, F.col("source")).collect()
 
     got, again = run(), run()
     assert collections.Counter(map(str, got)) == collections.Counter(map(str, again)) and len(got) == len(rows)
     taken, target, largest, sizes = collections.Counter(), {}, collections.Counter(), collections.Counter()
     for r in got:
-        s = r["sources"][0]
-        assert len(r["copies"]) <= 3
-        taken[s] += r["size"] * len(r["copies"])
+        s = r["source"]
+        assert 0 <= r["copies"] <= 3
+        taken[s] += r["size"] * r["copies"]
         sizes[s] += r["size"]
         target[s] = r["target"]
         largest[s] = max(largest[s], r["size"])
     for r in got:
-        assert r["source_size"] == sizes[r["sources"][0]]
+        assert r["source_size"] == sizes[r["source"]]
     assert abs(sum(target.values()) - sum(sizes.values())) < 1e-6 or all(target[s] <= 3 * sizes[s] + 1e-9 for s in target)
     for s in target:
         assert abs(taken[s] - target[s]) <= largest[s] + 1
@@ -360,18 +387,40 @@ def test_mixing(docs, rows, empty):
     assert mixed.columns == docs.columns
     want = collections.Counter()
     for r in got:
-        want[r["doc_id"]] += len(r["copies"])
+        want[r["doc_id"]] += r["copies"]
     assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +want
-    assert mixing.mix(empty, F.array("source")).count() == 0 and mixing.mixed_documents(empty).count() == 0
+    assert mixing.mix(empty, F.col("source")).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
-def test_mixing_overlap(spark, docs):
-    both = mixing.mix(docs, F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("x"))), quotas=lambda own: {"x": 3000, "y": 2000})
+def test_mixing_of_shared_texts(spark):
+    """x and y hold the same 200 texts, x 200 more: quotas that fresh words fill take no text twice."""
+    text = lambda i: " ".join([f"t{i}"] * (5 + i % 7))
+    made = [(i, text(i), "x") for i in range(400)] + [(1000 + i, text(i), "y") for i in range(200)] + [(2000, text(3), "y")]
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(4)
+    quotas = {"x": sum(5 + i % 7 for i in range(400)) - 700, "y": 700}  # all words, each once
+    got = mixing.mix(docs, F.col("source"), quotas=lambda own: quotas).collect()
+    taken, texts = collections.Counter(), collections.Counter()
+    for r in got:
+        taken[r["source"]] += r["size"] * r["copies"]
+        i = 3 if r["doc_id"] == 2000 else r["doc_id"] % 1000
+        texts[i] += r["copies"] if r["size"] else 0
+    assert all(abs(taken[s] - q) <= 2 * 11 for s, q in quotas.items())  # two stretches of texts of 11 words at most
+    alone = sum(r["copies"] for r in got if r["source"] == "x" and r["doc_id"] >= 200)
+    assert alone >= 199  # x takes what y does not hold
+    assert sum(n > 1 for n in texts.values()) <= 4  # but where stretches end, or 3, which y holds twice
+    want = collections.Counter({r["doc_id"]: r["copies"] for r in got})
+    mixed = mixing.mixed_documents(docs)
+    assert collections.Counter(r["doc_id"] for r in mixed.collect()) == +collections.Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs, F.col("source")).collect()})
+    assert sum(want.values()) > 0
+
+
+def test_mixing_cuts_a_text_that_most_rows_share(spark):
+    made = [(i, "the same five words here", "x") for i in range(900)] + [(1000 + i, f"others are {i}", "y") for i in range(300)]
+    got = mixing.mix(spark.createDataFrame(made, "doc_id long, text string, source string"), F.col("source"), quotas=lambda own: {"x": 1234, "y": 900}).collect()
     taken = collections.Counter()
-    for r in both.collect():
-        for s in r["copies"]:
-            taken[s] += r["size"]
-    assert abs(taken["x"] - 3000) < 7300 and abs(taken["y"] - 2000) < 7300
+    for r in got:
+        taken[r["source"]] += r["size"] * r["copies"]
+    assert abs(taken["x"] - 1234) <= 5 and taken["y"] == 900
 
 
 def test_warc(spark, empty):
