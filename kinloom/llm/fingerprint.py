@@ -6,9 +6,10 @@ in the order of the text and hashes that tuple. Unlike MinHash it tells texts ap
 are the same in another order. Here k-mers are of K words, numbered so that the second of two
 equal k-mers is another element than the first.
 
-One hash of each element serves all PARTS: a part begins at its point of the circle of hashes and
-selects the next two elements from there. Sorting a text's elements once thus replaces a pass for
-each part, which whole texts could not afford, and short texts fill every part as well.
+A hash of each element serves ARCS parts: a part begins at its point of the circle of hashes and
+selects the next two elements from there. Sorting a text's elements CIRCLES times thus replaces a
+pass for each part, which whole texts could not afford, and short texts fill every part as well.
+Parts of a circle are not independent where a text has few elements; the README has the error.
 
 Only DataFrame functions run here. Elements are packed into longs (hash above, place in the text
 below), which Spark sorts as primitive arrays.
@@ -16,19 +17,27 @@ below), which Spark sorts as primitive arrays.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.llm.common import words
+from kinloom.shared import written
 
-#: Words of a k-mer, and parts of a signature (one for each arc of 6 bits); each part takes two elements.
-K, PARTS = 5, 64
-#: Low bits of a packed element that hold its place: 2^24 words a text; the hash keeps 39 bits.
+#: Words of a k-mer; circles of hashes, and parts of a signature that begin on one; each part takes two elements.
+K, CIRCLES, ARCS = 5, 4, 16
+PARTS = CIRCLES * ARCS
+#: Low bits of a packed element that hold its place; the hash keeps 39 bits. In texts of more than
+#: 2^24 words places are kept to within a power of two.
 PLACE = 24
 #: Rows of a stretch of neighbouring ids that one task looks at together.
 STRETCH = 1000
 #: The bound on stretches; beyond it they hold more rows.
 MAX_STRETCHES = 20_000
+#: Rows of a stretch that are looked at to cut stretches, on the average.
+SAMPLED = 20
+
 
 def _pack(h: Column, place: Column) -> Column:
     """39 bits of the hash above the place; not negative."""
@@ -61,7 +70,8 @@ def signatures(df: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     def kmers(k):
         w = col("w", k)
-        kmer = lambda i: _pack(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), i)
+        drop = F.greatest(F.ceil(F.log2(F.size(w) + 1)).cast("int") - PLACE, F.lit(0))
+        kmer = lambda i: _pack(F.xxhash64(*[F.get(w, i + j) for j in range(K)]), F.call_function("shiftright", i, drop))
         return F.when(F.size(w) > 0, F.sort_array(F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - K, F.lit(0))), kmer)))
 
     # Sorted, equal k-mers stand together in the order of the text; f: where their runs begin.
@@ -75,34 +85,46 @@ def signatures(df: DataFrame, texts: dict[str, str]) -> DataFrame:
 
     df = step(df, s=kept("s"), o=occurrences)
 
-    def elements(k):
-        s, o = col("s", k), col("o", k)
-        element = lambda n: lambda x, i: _pack(F.xxhash64(high(x), n(i)), x.bitwiseAND(place))
-        return F.sort_array(F.when(o.isNull(), F.transform(s, element(lambda i: F.lit(0)))).otherwise(F.transform(s, element(lambda i: F.get(o, i)))))
+    def elements(c):
+        def sort(k):
+            s, o, salt = col("s", k), col("o", k), [F.lit(c)] if c else []
+            element = lambda n: lambda x, i: _pack(F.xxhash64(high(x), n(i), *salt), x.bitwiseAND(place))
+            return F.sort_array(F.when(o.isNull(), F.transform(s, element(lambda i: F.lit(0)))).otherwise(F.transform(s, element(lambda i: F.get(o, i)))))
 
-    df = step(df, e=elements)
+        return sort
+
+    circles = range(CIRCLES)
+    df = step(df, **{f"e{c}_": elements(c) for c in circles})
     # Arcs of the circle that have elements, as arc * 2^32 + the place of their first.
-    arc = lambda x: F.shiftright(x, 63 - 6)
-    df = step(df, e=kept("e"), b=lambda k: changes("e", k, arc, lambda x, i: F.shiftleft(arc(x), 32).bitwiseOR(i.cast("long"))))
+    arc = lambda x: F.shiftright(x, 63 - (ARCS - 1).bit_length())
+    begins = lambda c: lambda k: changes(f"e{c}_", k, arc, lambda x, i: F.shiftleft(arc(x), 32).bitwiseOR(i.cast("long")))
+    df = step(df, **{f"e{c}_": kept(f"e{c}_") for c in circles}, **{f"b{c}_": begins(c) for c in circles})
 
-    def starts(k):
+    def starts(c):
         """Each arc begins at its first element or that of the next arc that has one; past the last, at 0."""
-        b = col("b", k)
-        gap = lambda x, r: (F.shiftright(x, 32) - F.coalesce(F.shiftright(F.get(b, r - 1), 32), F.lit(-1))).cast("int")
-        filled = F.flatten(F.transform(b, lambda x, r: F.array_repeat(x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), gap(x, r))))
-        return F.slice(F.concat(filled, F.array_repeat(F.lit(0), PARTS)), 1, PARTS)
 
-    df = step(df, e=kept("e"), a=starts)
+        def fill(k):
+            b = col(f"b{c}_", k)
+            gap = lambda x, r: (F.shiftright(x, 32) - F.coalesce(F.shiftright(F.get(b, r - 1), 32), F.lit(-1))).cast("int")
+            filled = F.flatten(F.transform(b, lambda x, r: F.array_repeat(x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int"), gap(x, r))))
+            return F.slice(F.concat(filled, F.array_repeat(F.lit(0), ARCS)), 1, ARCS)
+
+        return fill
+
+    df = step(df, **{f"e{c}_": kept(f"e{c}_") for c in circles}, **{f"a{c}_": starts(c) for c in circles})
 
     def tuples(k):
-        e, a = col("e", k), col("a", k)
+        def of(c):
+            e, a = col(f"e{c}_", k), col(f"a{c}_", k)
+
+            def part(i):
+                x, y = F.get(e, i), F.get(e, F.pmod(i + 1, F.size(e)))
+                ahead = x.bitwiseAND(place) <= y.bitwiseAND(place)
+                return F.when(ahead, F.xxhash64(high(x), high(y))).otherwise(F.xxhash64(high(y), high(x))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
 
-        def part(i):
-            x, y = F.get(e, i), F.get(e, F.pmod(i + 1, F.size(e)))
-            ahead = x.bitwiseAND(place) <= y.bitwiseAND(place)
-            return F.when(ahead, F.xxhash64(high(x), high(y))).otherwise(F.xxhash64(high(y), high(x))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+            return F.when(e.isNotNull() & a.isNotNull(), F.transform(a, part)).otherwise(F.array_repeat(F.lit(0), ARCS))
 
-        return F.when(e.isNotNull() & a.isNotNull(), F.transform(a, part)).otherwise(F.array_repeat(F.lit(0), PARTS))
+        return F.concat(*map(of, circles))
 
     df = step(df, t=tuples)
     return df.select(*keep, *[col("t", k).alias(name) for k, name in enumerate(each)])
@@ -117,34 +139,43 @@ def as_text(signature: Column) -> Column:
     return F.lower(F.array_join(F.transform(signature, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), ""))
 
 
+def _edges(keys: DataFrame) -> list[tuple[int, int]]:
+    """Rows (k, h) at which stretches begin, the first of all at the front: some of a sample by hash."""
+    n, least = keys.agg(F.count("*"), F.min(F.struct("k", "h"))).first()
+    if not n:
+        return [(0, 0)]
+    share = max(2, min(MAX_STRETCHES, n // STRETCH))
+    part = min(1.0, SAMPLED * share / n)
+    sample = sorted({tuple(r) for r in keys.where(F.pmod(F.xxhash64("h", "k"), F.lit(1 << 30)) < part * (1 << 30)).select("k", "h").collect()})
+    cuts = {sample[i * len(sample) // share] for i in range(1, share)} if sample else set()
+    return [tuple(least), *sorted(cuts - {tuple(least)})]
+
+
 def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window]:
-    """Rows dealt to stretches of neighbouring ids, and the window over a stretch.
+    """Rows dealt to stretches of neighbours in the order of id and text hash, and the window over a stretch.
 
-    Ids are cut into stretches at ids that occur. The rows at which the next stretch begins are
-    dealt to the former, too, as ghosts, and the first rows of all as ghosts to the last stretch. So
-    texts are shuffled once, and no task sees more than its stretches.
+    Stretches begin at rows that occur. The row at which the next stretch begins is dealt to the
+    former, too, as a ghost, and the first row of all as a ghost to the last stretch. So texts are
+    shuffled once, and no task sees more than its stretches.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    n, least = docs.agg(F.count("*"), F.min(key)).first()
-    cuts = []
-    if n:
-        share = max(2, min(MAX_STRETCHES, n // STRETCH))
-        at = docs.agg(F.percentile_approx(key, [i / share for i in range(1, share)], max(10_000, 4 * share))).first()[0]
-        cuts = sorted({*at} - {least})
-    edges = [least or 0, *cuts]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("k")).withColumn("h", F.xxhash64("text"))
+    edges = _edges(written(rows.select("k", "h"), "keys"))
     # Found in two steps, among every 100th edge and then among 100.
-    coarse, fine = edges[::100], [edges[i : i + 100] for i in range(0, len(edges), 100)]
-    below = lambda e: F.size(F.filter(e, lambda x: x <= F.col("k")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("k"))
-    rows = rows.withColumn("c", below(F.lit(coarse).cast("array<bigint>")) - 1)
-    rows = rows.withColumn("own", F.col("c") * 100 + below(F.get(F.lit(fine).cast("array<array<bigint>>"), F.col("c"))) - 1)
-    begins = F.get(F.get(F.lit(fine).cast("array<array<bigint>>"), F.floor(F.col("own") / 100).cast("int")), F.col("own") % 100) == F.col("k")
+    groups = [edges[i : i + 100] for i in range(0, len(edges), 100)]
+    listed = lambda pick, kind: F.from_json(F.lit(json.dumps(pick)), kind)
+    coarse = [listed([g[0][x] for g in groups], "array<bigint>") for x in (0, 1)]
+    fine = [F.get(listed([[e[x] for e in g] for g in groups], "array<array<bigint>>"), F.col("c")) for x in (0, 1)]
+    below = lambda k, h: F.size(F.filter(k, lambda x, i: (x < F.col("k")) | ((x == F.col("k")) & (F.get(h, i) <= F.col("h"))))) - 1
+    rows = rows.withColumn("c", below(*coarse))
+    rows = rows.withColumn("f", below(*fine)).withColumn("own", F.col("c") * 100 + F.col("f"))
+    begins = (F.get(fine[0], F.col("f")) == F.col("k")) & (F.get(fine[1], F.col("f")) == F.col("h"))
     places = F.array(
         F.struct(F.col("own").alias("stretch"), F.lit(0).alias("ghost")),
         F.when(begins & (F.col("own") > 0), F.struct((F.col("own") - 1).alias("stretch"), F.lit(1).alias("ghost"))),
-        F.when(F.col("k") == least, F.struct(F.lit(len(edges) - 1).alias("stretch"), F.lit(2).alias("ghost"))),
+        F.when(begins & (F.col("own") == 0), F.struct(F.lit(len(edges) - 1).alias("stretch"), F.lit(2).alias("ghost"))),
     )
-    dealt = rows.select("doc_id", "text", "k", F.xxhash64("text").alias("h"), F.explode(F.array_compact(places)).alias("p")).select("doc_id", "text", "k", "h", "p.*")
+    dealt = rows.select("doc_id", "text", "k", "h", F.explode(F.array_compact(places)).alias("p")).select("doc_id", "text", "k", "h", "p.*")
     return dealt, Window.partitionBy("stretch").orderBy("ghost", "k", "h")
 
 
@@ -154,7 +185,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or
     all) of the next row's, in the order of doc_id; after the last row comes the first. Null ids
     come first and rows that share an id follow each other by a hash of their text. A null text is
-    the empty text. An empty table gives an empty result; other columns are not read.
+    the empty text. Rows equal in id and text are alike and follow each other, in one task. An empty
+    table gives an empty result; other columns are not read.
     """
     dealt, stretch = _neighbours(docs, id_col, text_col)
     quarter = F.floor(F.length("text") / 4).cast("int")

@@ -81,6 +81,104 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprint.fingerprint_documents(empty).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's xxhash64 of strings, longs ('q') and ints ('i'), given as (value, kind)."""
+    import struct
+
+    import xxhash
+
+    seed = 42
+    for v, kind in values:
+        seed = xxhash.xxh64_intdigest(v.encode() if kind == "s" else struct.pack(f"<{kind}", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def plain_signature(text, place=fingerprint.PLACE):
+    """Order MinHash by its definition: for each part the two elements that come next on its circle, in the order of the text."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    if not words:
+        return [0] * fingerprint.PARTS
+    h = [spark_hash((w, "s")) for w in words]
+    top = lambda x: (x & (1 << 64) - 1) >> (place + 1)
+    drop = max(0, int(np.ceil(np.log2(len(words) + 1))) - place)
+    kmers = sorted((top(spark_hash(*[(x, "q") for x in h[i : i + fingerprint.K]])), i >> drop) for i in range(max(1, len(h) - fingerprint.K + 1)))
+    seen, elements = collections.Counter(), []
+    for x, at in kmers:
+        elements.append((x, seen[x], at))
+        seen[x] += 1
+    out = []
+    for c in range(fingerprint.CIRCLES):
+        ring = sorted((top(spark_hash((x, "q"), (n, "i"), *([(c, "i")] if c else []))), at) for x, n, at in elements)
+        for arc in range(fingerprint.ARCS):
+            first = next((i for i, (x, _) in enumerate(ring) if x * fingerprint.ARCS >> (63 - place) >= arc), 0)
+            a, b = ring[first], ring[(first + 1) % len(ring)]
+            if a[1] > b[1]:
+                a, b = b, a
+            out.append(spark_hash((a[0], "q"), (b[0], "q")) & 0x7FFFFFFF)
+    return out
+
+
+def test_signature_equals_plain_order_minhash(spark, rows, monkeypatch):
+    for place in (fingerprint.PLACE, 7):  # 7: a text of more than 127 words keeps its places to within a power of two
+        monkeypatch.setattr(fingerprint, "PLACE", place)
+        df = spark.createDataFrame([(r[1],) for r in rows], "t string").dropDuplicates()
+        got = fingerprint.signatures(df.withColumn("u", F.col("t")), {"s": "u"}).collect()
+        assert len(got) > 60
+        for r in got:
+            assert list(r["s"]) == plain_signature(r["t"], place), r["t"]
+
+
+def independent_likeness(a, b, hashes=512):
+    """Order MinHash with a hash of its own for each part."""
+    def elements(text):
+        words, seen, out = text.split(), collections.Counter(), []
+        for i in range(max(1, len(words) - fingerprint.K + 1)):
+            k = " ".join(words[i : i + fingerprint.K])
+            out.append(spark_hash((k, "s"), (seen[k], "i")))
+            seen[k] += 1
+        return np.array(out, np.int64).view(np.uint64)
+
+    def parts(h):
+        for i in range(hashes):
+            x = (h ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
+            yield tuple(h[np.sort(np.argpartition(x ^ (x >> np.uint64(32)), 1)[:2])])
+
+    return np.mean([x == y for x, y in zip(parts(elements(a)), parts(elements(b)), strict=True)])
+
+
+def test_likeness_is_near_that_of_independent_hashes(spark):
+    """Short and long texts, edited a little and a lot: unbiased, and off by sampling 64 parts."""
+    rng = random.Random(12)
+    pairs = []
+    for n in (12, 30, 100, 400):
+        for _ in range(40):
+            w = [f"{rng.choice(WORDS)}{rng.randint(0, 50)}" for _ in range(n)]
+            v = [*w[: n - n // rng.choice((3, 4, 10))], *(f"new{rng.random()}" for _ in range(n // 4))]
+            pairs.append((n, " ".join(w), " ".join(v)))
+    df = fingerprint.signatures(spark.createDataFrame(pairs, "n int, a string, b string").withColumns({"x": F.col("a"), "y": F.col("b")}), {"s": "x", "t": "y"})
+    off = collections.defaultdict(list)
+    for r in df.select("n", "a", "b", fingerprint.likeness(F.col("s"), F.col("t")).alias("l")).collect():
+        off[r["n"]].append(r["l"] - independent_likeness(r["a"], r["b"]))
+    for n, d in off.items():
+        assert np.mean(np.abs(d)) < 0.07 and abs(np.mean(d)) < 0.03, (n, np.mean(np.abs(d)), np.mean(d))
+    assert np.mean(np.abs(sum(off.values(), []))) < 0.055
+
+
+def test_fingerprints_of_ids_that_repeat(spark, monkeypatch):
+    """A third of the rows without an id, a third with one id, large ids: neighbours as in the sorted table."""
+    monkeypatch.setattr(fingerprint, "STRETCH", 10)
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(0, 30))) for _ in range(240)]
+    made = [(None if i < 80 else 1 << 60 if i < 160 else (1 << 60) + i, t) for i, t in enumerate(texts)]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(made, "doc_id long, text string").repartition(3))
+    order = sorted(made, key=lambda r: (-(1 << 63) if r[0] is None else r[0], spark_hash((r[1], "s"))))
+    want = collections.Counter()
+    for i, (d, t) in enumerate(order):
+        q, nxt = len(t) // 4, order[(i + 1) % len(order)][1]
+        want[d, hashlib.sha256((t[: len(t) - q] + nxt[:q]).encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["edited_sha256"]) for r in got.collect()) == want
+
+
 def test_fingerprints_tell_order(spark):
     w = [f"w{i}" for i in range(400)]
     a, b = " ".join(w), " ".join(w[200:] + w[:200])  # the same k-mers but for a few, in another order
