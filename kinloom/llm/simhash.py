@@ -80,8 +80,8 @@ def links(fps: DataFrame) -> DataFrame:
     near = fps.select("fp", F.explode(F.when(odd, around(SINGLES)).otherwise(F.concat(F.array("fp"), around(SINGLES)))).alias("v"))
     far = fps.where(~odd).select("fp", F.explode(around(PAIRS)).alias("v"))
     centre = near.groupBy("v").agg(F.min("fp").alias("src"))
-    # The centres are few beside what is streamed past them, so they are hashed and nothing is sorted.
-    met = near.unionByName(far).join(centre.hint("shuffle_hash"), "v").where("fp <> src")
+    # By sort-merge, which spills: a table of hashed centres would have to fit a task.
+    met = near.unionByName(far).join(centre.hint("merge"), "v").where("fp <> src")
     return met.select("src", F.col("fp").alias("dst")).where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 3).distinct()
 
 
@@ -123,11 +123,11 @@ def deduplicated(docs: DataFrame, components=_components) -> DataFrame:
     keep = parts.groupBy("component").agg(F.min("first").alias("k")).select(F.col("k.id").alias("_id"), F.col("k.t").alias("_h"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("_d"), F.xxhash64("text").alias("_t"))
     same = F.col("_d").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_h"))
-    kept = packed.join(keep.hint("shuffle_hash"), same).select("doc", "_d", "_t")
+    kept = packed.join(keep.hint("merge"), same).select("doc", "_d", "_t")
     again = kept.groupBy("_d", "_t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_d").alias("_id"), F.col("_t").alias("_h"))
     again = written(again, "again")
-    single = kept.join(again.hint("shuffle_hash"), same, "left_anti").select("doc")
+    single = kept.join(again.hint("merge"), same, "left_anti").select("doc")
     if again.isEmpty():  # ids are unique, as they should be
         return kept.select("doc.*")
-    one = kept.join(again.hint("shuffle_hash"), same, "left_semi").groupBy("_d", "_t").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
+    one = kept.join(again.hint("merge"), same, "left_semi").groupBy("_d", "_t").agg(F.min_by("doc", F.xxhash64("doc")).alias("doc")).select("doc")
     return single.unionByName(one).select("doc.*")

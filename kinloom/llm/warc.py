@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.shared import fresh_path, written
+from kinloom.shared import fresh_path
 
 FRAME_BYTES = 1 << 20
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -135,7 +135,7 @@ def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Write bundles below path and return the index, itself written there as Parquet.
+    """Write bundles to path/bundles and the index as Parquet to path/index; return the index.
 
     pages: page_id, url, html (null: empty). Equal payloads of at least min_bytes share the record
     of their smallest page_id; a null page_id is never that. Rows equal in page_id and payload are
@@ -143,7 +143,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", body.alias("body")).withColumn("digest", F.sha1("body"))
-    plan = plan_revisits(pages, min_bytes).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "q").hint("shuffle_hash")
+    plan = plan_revisits(pages, min_bytes).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "q").hint("merge")
     # Joined by page, which is even, not by digest, which a common payload would crowd.
     planned = rows.join(plan, rows["page_id"].eqNullSafe(plan["p"]) & (rows["digest"] == plan["q"])).select("page_id", "url", "body", "first")
 
@@ -181,7 +181,13 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
             types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*entries, strict=True), types, strict=True)], names)
 
-    return written(planned.mapInArrow(store, INDEX), "warc-index")
+    planned.mapInArrow(store, INDEX).write.parquet(f"{path}/index")
+    return read_index(pages.sparkSession, path)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index of the archives below path: a row for each record, with its bundle and offsets."""
+    return spark.read.schema(INDEX).parquet(f"{path}/index")
 
 
 def read_archives(index: DataFrame) -> DataFrame:

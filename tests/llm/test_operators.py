@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinloom.llm import bpe, common, fingerprint, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, toxicity, warc
 from kinloom.llm.queries import tokenizer
+from kinloom.shared import fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, h long"
 WORDS = "the of and stone river cloud bright under over walks sings slow green paper light house winter song".split()
@@ -525,7 +526,8 @@ def test_warc(spark, empty):
     pages = [(i, f"http://e.org/{i}", f"<p>{i}</p>" * 50) for i in range(40)] + [(50 + i, "http://e.org/c", "same é") for i in range(9)]
     pages += [(60, None, None), (61, "u", ""), (62, "a\r\nb: c", "x"), (None, "n", "same é"), (63, "big", "z" * 3_000_000)]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, payload_bytes int").repartition(3)
-    index = warc.write_archives(df, f"{spark.sparkContext.getCheckpointDir()}/warc-test".replace("file:/", "file:///").replace("file://///", "file:///"))
+    path = fresh_path(spark, "warc-test")
+    index = warc.write_archives(df, path)
     got = {r["page_id"]: r for r in warc.read_archives(index).collect()}
     assert len(got) == len(pages)
     import base64
@@ -537,9 +539,18 @@ def test_warc(spark, empty):
         first = same[0]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
         assert (r["record_type"], r["refers_to"]) == (("response", None) if first == p[0] else ("revisit", first))
-    entry = next(r for r in index.collect() if r["page_id"] == 7)
-    head, payload = warc.read_record(entry["bundle"], entry["frame_offset"], entry["frame_bytes"], entry["record_offset"])
-    assert payload == (b"<p>7</p>" * 50) and head["WARC-Record-ID"] == f"<{entry['record_id']}>"
+    entries = {r["page_id"]: r for r in warc.read_index(spark, path).collect()}
+    assert len(entries) == len(pages)
+    for p in pages:  # every record by its identifier, through one frame
+        entry, r = entries[p[0]], got[p[0]]
+        assert entry["record_id"] == warc.record_id(p[0]) and entry["bundle"].startswith(f"{path}/bundles/")
+        head, payload = warc.read_record(entry["bundle"], entry["frame_offset"], entry["frame_bytes"], entry["record_offset"])
+        assert head["WARC-Record-ID"] == f"<{entry['record_id']}>" and head["WARC-Type"] == r["record_type"]
+        assert payload == ((p[2] or "").encode() if r["record_type"] == "response" else b"")
+        assert r["refers_to"] is None or head["WARC-Refers-To"] == f"<{warc.record_id(r['refers_to'])}>"
+    least = warc.write_archives(df, f"{path}-least", min_bytes=100)  # smaller payloads are all responses
+    kinds = {r["page_id"]: r["record_type"] for r in warc.read_archives(least).collect()}
+    assert set(kinds.values()) == {"response"} and len(kinds) == len(pages)
     none = spark.createDataFrame([], df.schema)
     assert warc.archive_round_trip(spark, none).count() == 0
 
@@ -598,8 +609,9 @@ def test_line_dedup_takes_any_column_name(spark, shared_rows):
     assert collections.Counter(map(tuple, out.collect())) == want
 
 
-def test_sharding(docs, rows, empty):
-    got = sharding.shard_documents(docs, n_shards=5).collect()
+@pytest.mark.parametrize("bundles", [8, 10_240])
+def test_sharding(docs, rows, empty, bundles):
+    got = sharding.shard_documents(docs, n_shards=5, bundles=bundles).collect()
     want = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows)
     assert collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
     by_crc = collections.defaultdict(set)
@@ -615,8 +627,20 @@ def test_sharding(docs, rows, empty):
     groups = collections.Counter()
     for r in got:
         groups[r["text_crc32"]] += r["size"]
-    assert max(load.values()) <= sum(load.values()) / 5 + max(groups.values())
-    assert sharding.shard_documents(empty).count() == 0
+    total = sum(load.values())
+    alone = [n for n in groups.values() if n * bundles > total]
+    assert (len(alone) < len(groups)) == (bundles == 8)  # with 8 most groups go in bundles
+    assert max(load.values()) <= total / 5 + max([*groups.values(), *([total / bundles + max(groups.values())] if bundles == 8 else ())])
+    assert sharding.shard_documents(empty, bundles=bundles).count() == 0
+
+
+def test_shards_are_balanced(spark):
+    """Many small groups: bundles even out to within a part in a hundred."""
+    rng = random.Random(15)
+    made = [(i, "x" * rng.randint(0, 400) + str(i % 1500)) for i in range(3000)]
+    got = sharding.shard_documents(spark.createDataFrame(made, "doc_id long, text string"), n_shards=8, bundles=512).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    load = [r["n"] for r in got]
+    assert len(load) == 8 and max(load) < 1.01 * sum(load) / 8
 
 
 def test_lpt():
