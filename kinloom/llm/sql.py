@@ -5,7 +5,7 @@ The SQL compares windows by their text where the operators compare hashes.
 
 from __future__ import annotations
 
-from kinloom.llm.quality_rules import BOILERPLATE, MAX_LOST, NAVIGATION
+from kinloom.llm.quality_rules import BOILERPLATE, END_MARKS, MAX_LOST, NAVIGATION, SEPARATORS, SHORT
 
 _BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORD = r"[^\x20\x09-\x0D]"
@@ -21,9 +21,11 @@ m AS (SELECT rid, doc_id, text, regexp_extract_all(text, '{_WORD}+') AS w, list_
 win AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM m)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
 cover AS (SELECT rid, sum(least(3, coalesce(next - i, 3))) AS n FROM (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS next FROM twice) GROUP BY rid),
-l AS (SELECT rid, unnest(lines) AS x FROM m),
-t AS (SELECT rid, x, lower(x) AS low, len(string_split_regex(trim(x, {_BLANKS}), '[ \t]+')) AS n FROM l),
-good AS (SELECT rid, sum(length(array_to_string(regexp_extract_all(x, '{_WORD}+'), ''))) AS chars FROM t WHERE NOT (5 * {_count('#*$%&')} > 2 * n OR 5 * {_count('!')} > 2 * n OR 5 * {_count('|')} > n
+l AS (SELECT rid, unnest(lines) AS x, generate_subscripts(lines, 1) AS i FROM m),
+u AS (SELECT rid, i, x, lower(x) AS low, len(string_split_regex(trim(x, {_BLANKS}), '[ \t]+')) AS n FROM l),
+v AS (SELECT *, n <= {SHORT} AND NOT regexp_matches(trim(x, {_BLANKS}), '{END_MARKS.replace("'", "''")}') AS bare FROM u),
+t AS (SELECT *, bare AND (coalesce(lag(bare, 2) OVER q AND lag(bare) OVER q, false) OR coalesce(lag(bare) OVER q AND lead(bare) OVER q, false) OR coalesce(lead(bare) OVER q AND lead(bare, 2) OVER q, false)) AS entry FROM v WINDOW q AS (PARTITION BY rid ORDER BY i)),
+good AS (SELECT rid, sum(length(array_to_string(regexp_extract_all(x, '{_WORD}+'), ''))) AS chars FROM t WHERE NOT (5 * {_count('#*$%&')} > 2 * n OR 5 * {_count('!')} > 2 * n OR 5 * {_count(SEPARATORS)} > n OR entry
   OR (n <= 12 AND regexp_matches(low, '{NAVIGATION}')) OR (n <= 30 AND regexp_matches(low, '{BOILERPLATE}'))) GROUP BY rid),
 b AS (SELECT rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM m),

@@ -422,6 +422,25 @@ def test_quality_rules(docs, rows, empty):
     assert quality_rules.apply_rules(empty).count() == 0
 
 
+def test_line_rules_in_four_languages(spark):
+    prose = ["A bright river sings under the stone house, and over the hills.", "Le vent passe sur la rivière, et la maison reste claire.", "Der Fluss singt unter dem hellen Haus, und der Wind geht weiter über das Land.", "El río canta bajo la casa clara."]
+    prose = [" ".join(f"{'abcd'[k]}{w}" for w in x.split()) for k in range(4) for x in prose]  # no window of words twice
+    bad = ["Home | About | Contact", "Accueil • Recherche • Plan du site", "Startseite › Kontakt › Impressum", "Inicio → Buscar → Siguiente", "Tous droits réservés 2024", "Alle Rechte vorbehalten", "Todos los derechos reservados.", "###*** $$$ %%%", "WOW!!! NOW!!! YES!!!"]
+    menu = ["Produits", "Über uns", "Precios bajos"]  # entries of a list, known by their form alone
+    rows = [(1, "\n".join(prose)), (2, "\n".join([*prose, *bad])), (3, "\n".join([*prose, *menu])), (4, "\n".join([*prose, *menu[:2], prose[0], menu[2]])), (5, "\n".join([*prose[:5], *bad * 6]))]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["cleaned_text"] == got[2]["cleaned_text"] == got[3]["cleaned_text"] == rows[0][1]
+    assert got[4]["cleaned_text"] == rows[3][1]  # two entries are no run
+    assert got[1]["kept"] and got[2]["kept"] and got[1]["lost"] == 0 < got[3]["lost"] and not got[5]["kept"]
+
+
+def test_repeats_are_verified_by_their_words(spark, monkeypatch):
+    monkeypatch.setattr(quality_rules, "HASH_BITS", 16)  # dozens of windows of unlike words then share a hash
+    once = " ".join(f"w{i}" for i in range(3000))
+    got = quality_rules.apply_rules(spark.createDataFrame([(1, once), (2, once + " w7 w8 w9 w10")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {1: 0, 2: 8}
+
+
 def best_flow(words, distinct, quotas, repeats):
     """(most words, least cost) over every way to take words, by trying all of them."""
     keys = sorted(words)
