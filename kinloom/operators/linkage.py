@@ -13,7 +13,7 @@ from kinloom.operators.ranking import numbered
 CATEGORIES = ("automation-heavy", "web-dev", "data", "qa-automation", "backend")
 #: Fixed values.
 AUDIO_TYPES = (
-    "audio/mpeg", "audio/mp3", "audio/wav", "audio/x-wav", "audio/wave", "audio/webm", "audio/ogg", "audio/mp4", "audio/x-m4a", "audio/aac", "audio/flac", "video/webm",
+    "audio/webm", "audio/ogg", "audio/wav", "audio/x-wav", "audio/wave", "audio/mpeg", "audio/mp3", "audio/mp4", "audio/x-m4a", "audio/aac", "audio/flac", "video/webm",
 )
 MAX_UPLOAD = 25 * 1024 * 1024
 

@@ -14,6 +14,7 @@ def numbered(df: DataFrame, order: str, name: str, first: int = 1) -> DataFrame:
     Rows are dealt to ranges; each range counts its rows, and what reaches the driver is a count for
     each range.
     """
+    df = written(df, "unnumbered")  # read twice, for a sample of the order and to be dealt
     dealt = written(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "numbered")
     counts = sorted(map(tuple, dealt.groupBy("_range").count().collect()))
     before, rows = first - 1, []

@@ -12,7 +12,7 @@ from kinloom.operators.staging import stage_all, staged_issues
 from kinloom.operators.structural import clean_source
 from kinloom.operators.survivorship import build_golden
 from kinloom.plans import report, store
-from kinloom.shared import written
+from kinloom.shared import scratch, written
 from kinloom.sources.ragged import read_ragged
 from kinloom.sources.specs import SOURCES, SourceSpec
 
@@ -22,7 +22,8 @@ class Merged:
     records: DataFrame
     tables: dict[str, DataFrame]
     review: DataFrame
-    resolution: Resolution
+    resolution: Resolution | None
+    candidates: DataFrame
 
     def summary(self) -> DataFrame:
         return report.summary(self.records, self.tables, self.review)
@@ -40,7 +41,7 @@ def merge_staged(staged: DataFrame, structural_issues: DataFrame | None = None)
         "people": golden.people, "person_identifiers": golden.identifiers, "person_sources": golden.sources, "skills": golden.skills,
         "person_skills": golden.person_skills, "data_issues": written(issues, "issues"),
     }
-    return Merged(staged, tables, written(found.review, "review"), found)
+    return Merged(staged, tables, written(found.review, "review"), found, written(found.candidates, "candidates"))
 
 
 def merge_files(spark: SparkSession, paths: dict[str, str], specs: tuple[SourceSpec, ...] = SOURCES) -> Merged:
@@ -54,9 +55,16 @@ def merge_files(spark: SparkSession, paths: dict[str, str], specs: tuple[SourceS
 
 
 def run(spark: SparkSession, paths: dict[str, str], out: str, specs: tuple[SourceSpec, ...] = SOURCES) -> Merged:
-    """Merge, store a new version of the tables, write the reports below `out`."""
-    merged = merge_files(spark, paths, specs)
-    store.rebuild(spark, f"{out}/store", merged.tables)
-    store.write_csv_report(report.sorted_issues(merged.tables["data_issues"]), f"{out}/reports/data_issues")
-    store.write_review(merged.review, f"{out}/reports/review_queue")
-    return merged
+    """Merge, store a new version of the tables, write the reports below `out`; the result reads these.
+
+    What the steps wrote to the shared folder on the way is deleted once all is stored.
+    """
+    with scratch(spark):
+        merged = merge_files(spark, paths, specs)
+        store.rebuild(spark, f"{out}/store", merged.tables)
+        store.write_csv_report(report.sorted_issues(merged.tables["data_issues"]), f"{out}/reports/data_issues")
+        store.write_review(merged.review, f"{out}/reports/review_queue")
+        store.write_review(merged.candidates, f"{out}/reports/review_candidates")
+    tables = {t: store.current(spark, f"{out}/store", t) for t in merged.tables}
+    review, candidates = (spark.read.schema(df.schema).json(f"{out}/reports/{name}") for df, name in ((merged.review, "review_queue"), (merged.candidates, "review_candidates")))
+    return Merged(tables["person_sources"], tables, review, None, candidates)

@@ -87,10 +87,10 @@ def current(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def write_csv_report(issues: DataFrame, path: str) -> None:
-    """K2: one CSV file with header, quoted as RFC 4180 has it."""
-    issues.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """K2: CSV files with header, quoted as RFC 4180 has it; in the order of their names they are in the order of issues."""
+    issues.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_review(review: DataFrame, path: str) -> None:
-    """K3."""
-    review.coalesce(1).write.mode("overwrite").json(path)
+    """K3: an item, or a candidate of an item, a line."""
+    review.write.mode("overwrite").json(path)

@@ -311,7 +311,7 @@ def components(spark, sf_dir):
     """M1 over the edges of both tiers."""
     records = staged(spark, sf_dir)
     edges = tier1_edges(spark, sf_dir).unionByName(tier2_edges(spark, sf_dir))
-    return resolve.labelled(records, edges)
+    return resolve.labelled(records, connected_components(edges))
 
 
 def person_ids(spark, sf_dir):
@@ -330,12 +330,12 @@ def confidence_counts(spark, sf_dir):
 def bridge_guards(spark, sf_dir):
     """M5 to M9."""
     records = staged(spark, sf_dir)
-    keys = resolve.bridge_candidates(resolve.describe(records, components(spark, sf_dir)))
+    keys = resolve.bridge_candidates(*resolve.describe(records, components(spark, sf_dir)))
     return keys.select("name_key", "city", "n", "n_email", "n_phone", "n_both", "verdict")
 
 
 def near_miss(spark, sf_dir):
-    return _merge(spark, sf_dir).review.where("reason = 'same_name_different_city'").select("name_city", F.size("candidates").alias("n"))
+    return _merge(spark, sf_dir).review.where("reason = 'same_name_different_city'").select("name_city", "n")
 
 
 def match_issues(spark, sf_dir):
@@ -591,7 +591,7 @@ def oracle_sql() -> dict[str, str]:
         "match_reasons": _GRAPH + "SELECT * FROM named",
         "confidence_counts": _GRAPH + "SELECT match_confidence, count(*) AS n FROM named GROUP BY match_confidence",
         "bridge_guards": _GRAPH + "SELECT name_key, city, n, n_email, n_phone, n_both, verdict FROM verdicts",
-        "near_miss": _GRAPH + "SELECT name_key || ' / ' || string_agg(city, ' vs ' ORDER BY f) AS name_city, CAST(sum(n) AS INTEGER) AS n FROM (SELECT name_key, city, min(cl.cluster) AS f, count(*) AS n FROM cl GROUP BY name_key, city) GROUP BY name_key HAVING count(*) >= 2",
+        "near_miss": _GRAPH + "SELECT name_key || ' / ' || string_agg(city, ' vs ' ORDER BY f) AS name_city, CAST(sum(n) AS BIGINT) AS n FROM (SELECT name_key, city, min(cl.cluster) AS f, count(*) AS n FROM cl GROUP BY name_key, city) GROUP BY name_key HAVING count(*) >= 2",
         "match_issues": _GRAPH + """SELECT issue_type, severity, count(*) AS n FROM (SELECT 'ambiguous_name_match' AS issue_type, 'high' AS severity FROM verdicts WHERE verdict <> 'join' UNION ALL SELECT 'matched_on_name_and_city', 'medium' FROM verdicts WHERE verdict = 'join'
 UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WHERE verdict = 'join' AND n_both > 0) GROUP BY ALL""",
         "submissions_left_join": f"WITH people AS ({_PEOPLE}) SELECT o_orderkey AS submission_id, {_NAMED} AS person_id, full_name AS matched_name, city, CASE WHEN full_name IS NOT NULL THEN 'high' END AS match_confidence FROM orders LEFT JOIN people ON person_id = {_NAMED}",

@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The folders written within each scratch() that is open, innermost last.
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (tests)."""
+    """spark.checkpoint.dir of the session. Where none is set, a temporary folder on a local master, as
+    in tests; on a cluster that is an error, as executors do not see the driver's folders."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="kinloom-")
         sc.setCheckpointDir(named)
     elif not sc.getCheckpointDir():
@@ -23,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, purpose: str) -> str:
-    return f"{shared_dir(spark)}/kinloom-{purpose}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/kinloom-{purpose}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -33,3 +43,18 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = fresh_path(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """What is written to the shared folder within is deleted at the end, unless it ends by an error.
+    Data frames made within must not be read afterwards."""
+    _OPEN.append([])
+    try:
+        yield
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for name in _OPEN[-1]:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
+    finally:
+        _OPEN.pop()

@@ -12,7 +12,7 @@ from kinloom.functions import normalise as N
 from kinloom.operators import audio, linkage
 from kinloom.operators.components import connected_components
 from kinloom.operators.ranking import numbered
-from kinloom.operators.resolve import spanning_forest
+from kinloom.operators.resolve import forest, joined_before, spanning_forest
 from kinloom.plans import merge, report, store
 from kinloom.sources.ragged import read_ragged, records
 
@@ -179,8 +179,21 @@ def test_forest_is_that_of_ordered_unions(spark):
         if find(a) != find(b):
             parent[find(a)] = find(b)
             want.add(i)
-    got = {r["i"] for r in spanning_forest(spark.createDataFrame(edges, "a int, b int, i int"), ["i"]).collect()}
-    assert got == want
+    edges += [(100 + i, 101 + i, 500 + i) for i in range(5)]  # a component without an edge to spare
+    want |= set(range(500, 505))
+    df = spark.createDataFrame(edges, "a int, b int, i int")
+    taken, parts = forest(df, ["i"])
+    assert {r["i"] for r in spanning_forest(df, ["i"]).collect()} == {r["i"] for r in taken.collect()} == want
+    label = {r["node"]: r["component"] for r in parts.collect()}
+    assert all((label[a] == label[b]) == (find(a) == find(b)) for a in range(40) for b in range(40) if a in label and b in label) and label[105] == 100
+
+
+def test_pairs_joined_by_a_chain(spark):
+    """Edges 1-2, 2-3, 3-4 of ranks 1, 2, 5: which pairs are joined before a rank."""
+    edges = spark.createDataFrame([(1, 2, 1), (3, 2, 2), (3, 4, 5)], "a int, b int, seen int")
+    asked = [("direct", 1, 2, 3), ("chain", 1, 3, 3), ("too early", 1, 3, 2), ("not yet", 1, 4, 4), ("all", 4, 1, 9), ("apart", 1, 9, 9)]
+    got = {r["id"] for r in joined_before(spark.createDataFrame(asked, "id string, e int, p int, seen int"), edges).collect()}
+    assert got == {"direct", "chain", "all"}
 
 
 def test_numbered(spark):
