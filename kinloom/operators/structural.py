@@ -9,24 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.functions.normalise import looks_like_email
-from kinloom.functions.values import ISSUE, issue, ws_trim
+from kinloom.functions.normalise import EMAIL
+from kinloom.functions.values import issue, ws_trim
+from kinloom.shared import written
 from kinloom.sources.specs import SourceSpec
 
 
-def repair_rotation(cells, email_index: int):
-    """C4: rotate left until the first address stands in its column; null if none stands right of it."""
-    at = F.array_position(F.transform(cells, lambda c: looks_like_email(c)), True).cast("int") - 1
-    off = at - email_index
-    turned = F.concat(F.slice(cells, off + 1, F.size(cells) - off), F.slice(cells, F.lit(1), off))
-    return F.when(at > email_index, turned)
-
-
 def judge(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     """Raw without its header row, with working (cells, null if dropped) and found (issues)."""
     trimmed = F.transform("cells", lambda c: F.coalesce(ws_trim(c), F.lit("")))
-    joined = F.array_join("trimmed", "|")
-    rows = raw.where("source_row > 1").withColumn("trimmed", trimmed).withColumn("joined", joined)
+    rows = raw.where("source_row > 1").withColumn("trimmed", trimmed).withColumn("joined", F.array_join("trimmed", "|"))
+    if spec.email_index is not None:  # where the first address stands, from 0; -1: nowhere
+        rows = rows.withColumn("at", (F.array_position(F.transform("trimmed", lambda c: c.rlike(EMAIL)), True) - 1).cast("int"))
     width = len(spec.header)
     blank = F.forall("trimmed", lambda c: c == "")
     header = ~blank & (F.lower("joined") == "|".join(h.strip().lower() for h in spec.header))
@@ -38,20 +32,26 @@ def judge(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     ]
     working = F.when(live, F.col("cells"))
     if spec.email_index is not None:
-        misplaced = live & ~looks_like_email(F.get("cells", F.lit(spec.email_index)))
-        turned = F.when(F.size("cells") > 1, repair_rotation(F.col("cells"), spec.email_index))
+        here = F.coalesce(F.get("trimmed", F.lit(spec.email_index)).rlike(EMAIL), F.lit(False))
+        off = F.col("at") - spec.email_index
+        # C4: rotated left until the first address stands in its column; null if none stands right of it.
+        rotated = F.concat(F.slice("cells", off + 1, F.size("cells") - off), F.slice("cells", F.lit(1), off))
+        rows = rows.withColumn("misplaced", live & ~here).withColumn("turned", F.when(F.col("misplaced") & (F.size("cells") > 1) & (off > 0), rotated))
+        misplaced, turned = F.col("misplaced"), F.col("turned")
         shown = F.array_join(F.transform(turned, lambda c: F.coalesce(ws_trim(c), F.lit(""))), "|")
         found += [
             issue(misplaced & turned.isNotNull(), "column_shift", "high", F.col("joined"), F.concat(F.lit("cells rotated back: "), shown), "the address stands right of its column"),
             issue(misplaced & turned.isNull(), "column_shift_unrepairable", "high", F.col("joined"), "row dropped", "no address right of its column tells the order"),
         ]
         working = F.when(misplaced, turned).otherwise(working)
-    return rows.select("source_file", "source_row", "joined", working.alias("working"), F.array_compact(F.array(*found)).cast(f"array<{ISSUE}>").alias("found"))
+    return rows.select("source_file", "source_row", "joined", working.alias("working"), F.concat(*found).alias("found"))
 
 
 def clean_source(raw: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame]:
     """(rows, issues): rows have source_file, source_row and data, a map of the header's columns."""
-    judged = judge(raw, spec).withColumn("key", F.array_join(F.transform("working", lambda c: F.lower(F.coalesce(ws_trim(c), F.lit("")))), "|"))
+    judged = judge(raw, spec)
+    judged = judged.withColumn("key", F.array_join(F.transform("working", lambda c: F.lower(F.coalesce(ws_trim(c), F.lit("")))), "|"))
+    judged = written(judged, "judged")  # read for the first of equal rows, for the rows and for the issues
     live = judged.where("working IS NOT NULL")
     # C6 by aggregation and an equi-join, which a frequent row does not crowd into one task.
     first = live.groupBy("source_file", "key").agg(F.min("source_row").alias("first_row"))
@@ -59,10 +59,10 @@ def clean_source(raw: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame
     repeated = F.col("source_row") > F.col("first_row")
     width = len(spec.header)
     extra = F.size("working") > width
-    marked = marked.withColumn("more", F.array_compact(F.array(
+    marked = marked.withColumn("more", F.concat(
         issue(repeated, "duplicate_row_in_source", "high", F.col("joined"), F.format_string("row dropped, it repeats row %d", "first_row"), "equal but for case and outer white space"),
         issue(~repeated & extra, "extra_fields", "medium", F.array_join(F.slice("working", width + 1, 1_000_000), "|", ""), "surplus cells dropped", F.format_string(f"%d cells, the header has {width}", F.size("working"))),
-    )))
+    ))
     data = F.map_from_arrays(F.array(*map(F.lit, spec.header)), F.array(*[F.get("working", F.lit(i)) for i in range(width)]))
     rows = marked.where(~repeated).select("source_file", "source_row", data.alias("data"))
     flat = lambda df, c: df.select("source_file", "source_row", F.lit(None).cast("string").alias("column_name"), F.explode(c).alias("i")).select("source_file", "source_row", "column_name", "i.*")

@@ -140,11 +140,9 @@ def _normaliser_sql(field: str) -> str:
 
 def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An issue a row."""
-    def named(f: str):
-        return lambda i: F.struct(F.lit(f).alias("column_name"), i["issue_type"].alias("issue_type"), i["severity"].alias("severity"))
-
-    each = [F.transform(b(F.col(_RAW.get(f, f"raw_{f}")))["issues"], named(f)) for f, b in _BUILDERS.items()]
-    return _messy(spark, sf_dir).select("k", F.explode(F.concat(*each)).alias("i")).select("k", "i.*")
+    each = [F.struct(F.lit(f).alias("column_name"), b(F.col(_RAW.get(f, f"raw_{f}")))["issues"].alias("issues")) for f, b in _BUILDERS.items()]
+    fields = _messy(spark, sf_dir).select("k", F.explode(F.array(*each)).alias("f"))
+    return fields.select("k", "f.column_name", F.explode("f.issues").alias("i")).select("k", "column_name", "i.issue_type", "i.severity")
 
 
 _LOG = "WITH messy AS (" + MESSY + "), log AS (" + " UNION ALL ".join(f"SELECT k, '{f}' AS column_name, split_part(x, ':', 1) AS issue_type, split_part(x, ':', 2) AS severity FROM (SELECT k, unnest(string_split(concat_ws(',', {i}), ',')) AS x FROM messy) WHERE x <> ''" for f, (_, i) in _RULES.items()) + ") "
