@@ -738,3 +738,64 @@ def test_bpe_tables_stay_bounded():
             assert list(memoryview(machine.encode(text)).cast("I")) == enc.encode_ordinary(text)
             assert len(machine.states) <= 300 and len(machine.words) <= 20 and len(machine.pair) <= 600
             assert all(len(w) <= bpe.MAX_WORD for w in machine.words)
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path, shared_rows, empty):
+    """Each stage on what the one before kept of the odd rows: null and shared ids, copies, empty texts, clashing columns."""
+    import tiktoken
+
+    import corpus_pipeline
+
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(i, int(i % 7 != 0)) for i in range(60)], "doc_id long, quality int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.createDataFrame(shared_rows, SCHEMA).repartition(3)
+    docs.write.parquet(f"{sf}/documents.parquet")
+    key = lambda r: (r["doc_id"], r["text"])
+    count = lambda df: collections.Counter(map(key, df.collect()))
+    (_, quality), (_, lines), (_, near), (_, mix), (_, tokens) = corpus_pipeline.STAGES
+    model = quality_gam.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = quality(spark, docs, sf)
+    scores = model.scores(np.array([quality_gam.features(r[1]) for r in shared_rows]))
+    assert count(kept) == collections.Counter((r[0], r[1]) for r, s in zip(shared_rows, scores, strict=True) if s >= 0.3)
+    assert kept.columns == docs.columns and kept.count() > 60
+
+    rows = [tuple(r) for r in kept.collect()]
+    cleaned = lines(spark, spark.createDataFrame(rows, SCHEMA), sf)
+    want = collections.Counter((r[0], cut_lines(r[1], gone)) for r, gone in plain_line_dedup(rows, short=True))
+    assert count(cleaned) == want and cleaned.columns == docs.columns
+
+    rows = [tuple(r) for r in cleaned.collect()]
+    single = near(spark, spark.createDataFrame(rows, SCHEMA), sf)
+    least = {}
+    for r, k in zip(rows, plain_jaccard_components([r[1] for r in rows]), strict=True):
+        least[k] = min(least.get(k, (True, 0)), (r[0] is None, r[0] or 0))
+    assert collections.Counter(r["doc_id"] for r in single.collect()) == collections.Counter(None if a else b for a, b in least.values())
+    assert single.columns == docs.columns
+
+    rows = [tuple(r) for r in single.collect()]
+    mixed = mix(spark, spark.createDataFrame(rows, SCHEMA), sf)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    own, taken = collections.Counter(), collections.Counter()
+    for r in rows:
+        own[r[3]] += size(r[1])
+    for r in mixed.collect():
+        taken[r["source"]] += size(r["text"])
+    targets = mixing.fill_targets(dict(own), mixing.cycled_weights(own), sum(own.values()))
+    assert all(abs(taken[s] - targets[s]) <= max(size(r[1]) for r in rows if r[3] == s) for s in own)
+    assert max(count(mixed).values()) <= 3 and mixed.columns == docs.columns
+
+    path, pattern = tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = collections.Counter((r["doc_id"], r["n_tokens"]) for r in tokens(spark, mixed, sf).collect())
+    assert got == collections.Counter((r["doc_id"], len(enc.encode_ordinary(r["text"] or ""))) for r in mixed.collect())
+    assert all(stage(spark, empty, sf).count() == 0 for _, stage in corpus_pipeline.STAGES)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_encoded_documents(spark, rows):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    got = bpe.encode_documents(spark.createDataFrame(rows, SCHEMA), path, pattern).collect()
+    assert collections.Counter((r["doc_id"], tuple(r["ids"]), r["n_tokens"]) for r in got) == collections.Counter((r[0], tuple(x := enc.encode_ordinary(r[1] or "")), len(x)) for r in rows)
