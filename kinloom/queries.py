@@ -504,6 +504,38 @@ CASE WHEN coalesce(size_bytes, 0) = 0 THEN '—' ELSE CAST(CAST(floor(size_bytes
 CASE WHEN quality_label LIKE 'good%' THEN 'good' WHEN quality_label LIKE 'poor%' THEN 'poor' WHEN quality_label LIKE 'unknown%' THEN 'unk' ELSE 'fair' END AS pill FROM s LEFT JOIN people USING (person_id)"""
 
 
+#: People and identifiers that break their constraints: shared addresses, unknown states, kinds and people.
+_BROKEN = {
+    "people": """SELECT c_custkey AS person_id, concat('u', CAST(CASE WHEN c_custkey % 10 = 1 THEN c_custkey - 1 ELSE c_custkey END AS STRING), '@ex.org') AS primary_email,
+CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 1000 AS STRING) END AS primary_phone, CASE WHEN c_custkey % 11 = 0 THEN 'gone' WHEN c_custkey % 2 = 0 THEN 'active' END AS gig_status,
+c_custkey % 3 AS is_verified, CASE WHEN c_custkey % 5 = 0 THEN 'low' ELSE 'high' END AS match_confidence FROM customer""",
+    "person_identifiers": f"""SELECT {_NAMED} AS person_id, CASE WHEN o_orderkey % 13 = 0 THEN 'fax' ELSE 'phone' END AS id_type,
+CAST(CASE WHEN o_orderkey % 17 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS STRING) AS value FROM orders""",
+}
+
+
+def planted_violations(spark, sf_dir):
+    """D2 and the constraints on tables that break them."""
+    return store.violations({"people": _sql(spark, sf_dir, _BROKEN["people"], ("customer",)), "person_identifiers": _sql(spark, sf_dir, _BROKEN["person_identifiers"], ("orders",))})
+
+
+def _broken_sql() -> str:
+    def row(kind: str, table: str, key: str, rows: str) -> str:
+        return f"SELECT '{kind}' AS kind, '{table}' AS table_name, '{key}' AS key, count(*) AS n FROM {rows}"
+
+    def twice(table: str, keys: str) -> str:
+        known = " AND ".join(f"{k} IS NOT NULL" for k in keys.split(","))
+        return f"(SELECT {keys} FROM {table} WHERE {known} GROUP BY {keys} HAVING count(*) > 1)"
+
+    rows = [
+        row("check", "people", "gig_status", "people WHERE gig_status NOT IN ('active', 'inactive', 'paused', 'unknown')"), row("check", "people", "is_verified", "people WHERE is_verified NOT IN (0, 1)"),
+        row("check", "people", "match_confidence", "people WHERE match_confidence NOT IN ('high', 'medium', 'single-source')"), row("check", "person_identifiers", "id_type", "ids WHERE id_type NOT IN ('email', 'phone')"),
+        *[row("unique", "people", k, twice("people", k)) for k in ("person_id", "primary_email", "primary_phone")], row("unique", "person_identifiers", "id_type,value", twice("ids", "id_type,value")),
+        row("foreign", "person_identifiers", "person_id", "ids WHERE person_id NOT IN (SELECT c_custkey FROM customer)"),
+    ]
+    return f"WITH people AS ({_BROKEN['people']}), ids AS ({_BROKEN['person_identifiers']}) " + " UNION ALL ".join(rows)
+
+
 def unique_violations(spark, sf_dir):
     return store.repeated_keys(_table(spark, sf_dir, "orders"), ("o_custkey", "o_orderpriority"))
 
@@ -563,7 +595,7 @@ def queries() -> dict:
     own = {f"{f}_normalize": _normaliser(f) for f in _BUILDERS}
     for f in (
         confidence_counts, issue_log, issue_counts, issue_topk, severity_pivot, issue_severity_sort, clean_rows, structural_issues, dup_first_wins, union_staged, tier1_edges, tier2_edges, components,
-        person_ids, match_reasons, bridge_guards, near_miss, match_issues, golden_people, golden_identifiers, golden_skills, lineage, constraint_violations, submissions_left_join, find_or_create,
+        person_ids, match_reasons, bridge_guards, near_miss, match_issues, golden_people, golden_identifiers, golden_skills, lineage, constraint_violations, planted_violations, submissions_left_join, find_or_create,
         people_skills_agg, untagged_people, tag_outcome, tag_update, reply_sanitise, stats_row, summary_text, upload_checks, submissions_display, unique_violations, foreign_orphans, check_violations, sample_measures,
         quality_labels, customer_components,
     ):
@@ -604,5 +636,5 @@ UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WH
         "foreign_orphans": f"SELECT o_orderkey, named FROM (SELECT o_orderkey, {_NAMED} AS named FROM orders) WHERE named NOT IN (SELECT c_custkey FROM customer)",
         "check_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
         "constraint_violations": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS table_name, '{c}' AS key, CAST(0 AS BIGINT) AS n" for k, t, c in store.constraints()),
-        "sample_measures": _SAMPLES_SQL, "quality_labels": _LABEL_SQL, "customer_components": _COMPONENT_SQL,
+        "planted_violations": _broken_sql(), "sample_measures": _SAMPLES_SQL, "quality_labels": _LABEL_SQL, "customer_components": _COMPONENT_SQL,
     }
