@@ -55,8 +55,10 @@ def phone(raw: Column) -> Column:
     return result(
         is_blank(raw), F.when(valid, canonical),
         issue(~valid, "phone_invalid", "high", text, "not used for matching", F.format_string("%d digits remain, 10 are needed", F.length(core))),
-        issue(valid & ~core.rlike("^[6-9]"), "phone_suspicious", "medium", text, "used for matching as it is", F.concat(F.lit("mobile numbers begin with 6 to 9, this one with "), F.substring(core, 1, 1))),
-        issue(valid & (text != canonical), "phone_format", "low", text, F.concat(F.lit("rewritten as "), canonical), F.when(separated, "separators and another prefix").otherwise("another prefix")),
+        issue(valid & ~core.rlike("^[6-9]"), "phone_suspicious", "medium", text, "used for matching as it is",
+            F.concat(F.lit("mobile numbers begin with 6 to 9, this one with "), F.substring(core, 1, 1))),
+        issue(valid & (text != canonical), "phone_format", "low", text, F.concat(F.lit("rewritten as "), canonical),
+            F.when(separated, "separators and another prefix").otherwise("another prefix")),
         last10=F.when(valid, core),
     )
 
@@ -98,7 +100,8 @@ def city(raw: Column) -> Column:
         is_blank(raw), F.coalesce(known, F.initcap(key)),
         issue(raw != ws_trim(raw), "city_whitespace", "low", raw, F.concat(F.lit("rewritten as "), ws_trim(raw)), "outer white space would split groups"),
         issue(known.isNull(), "city_unknown", "medium", raw, "kept, not used for matching", "not a known city"),
-        issue(known.isNotNull() & (key != F.lower(known)), "city_variant", "low", raw, F.concat(F.lit("read as "), known), F.when(key == "delhi ncr", "a region that holds other cities too").otherwise("another name of the city")),
+        issue(known.isNotNull() & (key != F.lower(known)), "city_variant", "low", raw, F.concat(F.lit("read as "), known),
+            F.when(key == "delhi ncr", "a region that holds other cities too").otherwise("another name of the city")),
         canonical=known.isNotNull(),
     )
 
@@ -134,7 +137,8 @@ def ctc(raw: Column) -> Column:
     return result(
         is_blank(raw), rupees,
         issue(value.isNull(), "ctc_unparseable", "high", text, "stored as null", "not a number"),
-        issue(lakhs, "ctc_mixed_units", "high", text, F.concat(F.lit("read as "), number_text(value), F.lit(" lakhs, "), rupees.cast("string"), F.lit(" a year")), "the column mixes rupees and lakhs"),
+        issue(lakhs, "ctc_mixed_units", "high", text, F.concat(F.lit("read as "), number_text(value), F.lit(" lakhs, "), rupees.cast("string"),
+            F.lit(" a year")), "the column mixes rupees and lakhs"),
         unit=F.when(lakhs, "lpa").when(value.isNotNull(), "inr"),
     )
 
@@ -150,7 +154,8 @@ def rate(raw: Column) -> Column:
     return result(
         is_blank(raw), value,
         issue(amount.isNull(), "rate_unparseable", "high", text, "stored as null, text kept", "not an amount by hour or month"),
-        issue(amount.isNotNull() & monthly, "rate_mixed_units", "medium", text, F.concat(F.lit("read as "), number_text(value), F.lit(" an hour")), "the column mixes hours and months"),
+        issue(amount.isNotNull() & monthly, "rate_mixed_units", "medium", text, F.concat(F.lit("read as "), number_text(value), F.lit(" an hour")),
+            "the column mixes hours and months"),
         basis=F.when(amount.isNotNull(), F.when(monthly, "month").otherwise("hour")), raw=text,
     )
 
@@ -200,7 +205,11 @@ def skills(raw: Column) -> Column:
     repeated = lambda s, i: F.array_position(keys, s["key"]) <= i
     first = F.filter(parts, lambda s, i: ~repeated(s, i))
     value = F.transform(first, lambda s: F.struct(F.coalesce(lookup(SKILLS, s["key"]), s["text"]).alias("canonical_name"), s["key"].alias("match_key")))
-    note = lambda kind, s, action, detail: F.struct(F.lit(kind).alias("issue_type"), F.lit("low").alias("severity"), s["text"].alias("raw_value"), F.lit(action).alias("action_taken"), F.lit(detail).alias("detail"))
-    found = F.transform(parts, lambda s, i: F.when(repeated(s, i), note("skill_duplicate", s, "left out", "named twice in a cell")).when(lookup(SKILLS, s["key"]).isNull(), note("skill_unknown", s, "kept as it is", "not a known skill")))
+    note = lambda kind, s, action, detail: F.struct(F.lit(kind).alias("issue_type"), F.lit("low").alias("severity"), s["text"].alias("raw_value"),
+        F.lit(action).alias("action_taken"), F.lit(detail).alias("detail"))
+    found = F.transform(parts, lambda s, i: F.when(repeated(s, i),
+        note("skill_duplicate", s, "left out", "named twice in a cell")).when(lookup(SKILLS, s["key"]).isNull(),
+        note("skill_unknown", s, "kept as it is", "not a known skill")))
     blank, none = is_blank(raw), F.array().cast("array<struct<canonical_name:string,match_key:string>>")
-    return F.struct(F.when(~blank, value).otherwise(none).alias("value"), F.when(~blank, F.array_compact(found)).otherwise(F.array()).cast("array<struct<issue_type:string,severity:string,raw_value:string,action_taken:string,detail:string>>").alias("issues"))
+    return F.struct(F.when(~blank, value).otherwise(none).alias("value"),
+        F.when(~blank, F.array_compact(found)).otherwise(F.array()).cast("array<struct<issue_type:string,severity:string,raw_value:string,action_taken:string,detail:string>>").alias("issues"))

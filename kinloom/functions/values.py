@@ -49,7 +49,8 @@ def issue(when: Column, kind: str, severity: str, raw: Column, action: Column |
     """An array with an issue if the condition holds, else an empty one. Arrays are joined by concat,
     which is compiled, where filtering nulls out of one array would be interpreted, with all in it."""
     text = lambda v: v if isinstance(v, Column) else F.lit(v)
-    made = F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), raw.cast("string").alias("raw_value"), text(action).alias("action_taken"), text(detail).alias("detail"))
+    made = F.struct(F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), raw.cast("string").alias("raw_value"),
+        text(action).alias("action_taken"), text(detail).alias("detail"))
     return F.when(when, F.array(made).cast(f"array<{ISSUE}>")).otherwise(no_issues())
 
 

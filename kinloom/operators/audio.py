@@ -167,5 +167,6 @@ def sample_measures(samples: Column, frame: int, min_frames: int = MIN_FRAMES) -
     enough = n >= min_frames
     return F.struct(
         db(F.sqrt(square(x) / F.size(x))).alias("rms_db"), db(F.array_max(F.transform(x, lambda v: F.abs(v.cast("double"))))).alias("peak_db"),
-        (100 * F.size(F.filter(x, lambda v: F.abs(v.cast("double")) >= CLIP)) / F.size(x)).alias("clip_pct"), F.when(enough, at(0.1)).alias("noise_db"), F.when(enough, at(0.9) - at(0.1)).alias("snr_db"),
+        (100 * F.size(F.filter(x, lambda v: F.abs(v.cast("double")) >= CLIP)) / F.size(x)).alias("clip_pct"),
+            F.when(enough, at(0.1)).alias("noise_db"), F.when(enough, at(0.9) - at(0.1)).alias("snr_db"),
     )

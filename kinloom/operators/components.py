@@ -30,7 +30,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def _is_star(edges: DataFrame) -> bool:
     """Whether every node has one edge to a smaller one, or is such a smaller one, and none is both."""
-    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"),
+        F.lit(0).alias("root")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("child"), F.lit(1).alias("root")))
     per = ends.groupBy("n").agg(F.sum("child").alias("child"), F.max("root").alias("root"))
     return per.where((F.col("child") + F.col("root")) > 1).isEmpty()
 

@@ -42,24 +42,30 @@ def link_submissions(submissions: DataFrame, people: DataFrame, identifiers: Dat
     that are not, equal phones make one new person, named by the first submission; submissions
     without a usable phone make a person each.
     """
-    subs = submissions.withColumns({"normalised_phone": N.phone(F.col("phone"))["value"], "display": F.coalesce(N.name(F.col("name"))["value"], ws_trim(F.coalesce("name", F.lit(""))))})
+    subs = submissions.withColumns({"normalised_phone": N.phone(F.col("phone"))["value"],
+        "display": F.coalesce(N.name(F.col("name"))["value"], ws_trim(F.coalesce("name", F.lit(""))))})
     known = identifiers.where("id_type = 'phone'").groupBy(F.col("value").alias("normalised_phone")).agg(F.min("person_id").alias("known_id"))
     found = subs.join(known, "normalised_phone", "left")
     key = F.coalesce("normalised_phone", F.concat(F.lit("#"), F.col("submission_id").cast("string")))
-    fresh = found.where("known_id IS NULL").groupBy(key.alias("key")).agg(F.min("submission_id").alias("first"), F.min_by("display", "submission_id").alias("full_name"), F.first("normalised_phone").alias("primary_phone"))
+    fresh = found.where("known_id IS NULL").groupBy(key.alias("key")).agg(F.min("submission_id").alias("first"),
+        F.min_by("display", "submission_id").alias("full_name"), F.first("normalised_phone").alias("primary_phone"))
     top = people.agg(F.coalesce(F.max("person_id"), F.lit(0))).first()[0]
     fresh = numbered(fresh, "first", "new_id", first=top + 1)
     linked = found.join(fresh.select(F.col("key").alias("k"), "new_id", "first"), key == F.col("k"), "left").select(
-        "submission_id", "name", "phone", "normalised_phone", F.coalesce("known_id", "new_id").alias("person_id"), (F.col("known_id").isNull() & (F.col("submission_id") == F.col("first"))).alias("created")
+        "submission_id", "name", "phone", "normalised_phone", F.coalesce("known_id", "new_id").alias("person_id"),
+            (F.col("known_id").isNull() & (F.col("submission_id") == F.col("first"))).alias("created")
     )
-    new_people = fresh.select(F.col("new_id").alias("person_id"), "full_name", "primary_phone", F.lit("single-source").alias("match_confidence"), F.lit("created from a submission").alias("match_reason"))
-    new_ids = fresh.where("primary_phone IS NOT NULL").select(F.col("new_id").alias("person_id"), F.lit("phone").alias("id_type"), F.col("primary_phone").alias("value"), F.lit("audio_app").alias("source_file"), F.lit(1).alias("is_primary"))
+    new_people = fresh.select(F.col("new_id").alias("person_id"), "full_name", "primary_phone", F.lit("single-source").alias("match_confidence"),
+        F.lit("created from a submission").alias("match_reason"))
+    new_ids = fresh.where("primary_phone IS NOT NULL").select(F.col("new_id").alias("person_id"), F.lit("phone").alias("id_type"),
+        F.col("primary_phone").alias("value"), F.lit("audio_app").alias("source_file"), F.lit(1).alias("is_primary"))
     return linked, new_people, new_ids
 
 
 def list_submissions(submissions: DataFrame, people: DataFrame) -> DataFrame:
     """Newest first, with the person's name, city and confidence."""
-    return submissions.join(people.select("person_id", F.col("full_name").alias("matched_name"), "city", "match_confidence"), "person_id", "left").orderBy(F.desc("submission_id"))
+    return submissions.join(people.select("person_id", F.col("full_name").alias("matched_name"), "city", "match_confidence"), "person_id",
+        "left").orderBy(F.desc("submission_id"))
 
 
 def get_submission(submissions: DataFrame, submission_id: int) -> DataFrame:
@@ -76,13 +82,15 @@ def display_submissions(listed: DataFrame) -> DataFrame:
     """P10: a listing (J5) with its measures as text."""
     return listed.select(
         "submission_id", F.coalesce(F.concat("matched_name", F.lit(" #"), F.col("person_id").cast("string")), F.lit("unlinked")).alias("person"),
-        D.kilohertz(F.col("sample_rate_hz")).alias("rate"), D.measure(F.col("snr_db")).alias("snr"), D.kilobytes(F.col("size_bytes")).alias("size"), D.pill(F.col("quality_label")).alias("pill"),
+        D.kilohertz(F.col("sample_rate_hz")).alias("rate"), D.measure(F.col("snr_db")).alias("snr"), D.kilobytes(F.col("size_bytes")).alias("size"),
+            D.pill(F.col("quality_label")).alias("pill"),
     )
 
 
 def with_skills(people: DataFrame, person_skills: DataFrame, skills: DataFrame) -> DataFrame:
     """People with `skills`, their canonical names joined in the order of skill_id; '' for none."""
-    named = person_skills.join(skills, "skill_id").groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skill_id", "canonical_name"))), lambda s: s["canonical_name"]), ", ").alias("skills"))
+    named = person_skills.join(skills, "skill_id").groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("skill_id",
+        "canonical_name"))), lambda s: s["canonical_name"]), ", ").alias("skills"))
     return people.join(named, "person_id", "left").withColumn("skills", F.coalesce("skills", F.lit("")))
 
 
@@ -101,7 +109,8 @@ def sanitise_reply(reply: Column) -> Column:
     clean = F.regexp_replace(F.lower(F.coalesce(reply, F.lit(""))), "[^a-z-]", " ")
     tokens = F.split(ws_collapse(clean), " ")
     allowed = F.array(*map(F.lit, CATEGORIES))
-    return F.coalesce(F.get(F.filter(allowed, lambda c: F.array_contains(tokens, c)), F.lit(0)), F.get(F.filter(allowed, lambda c: F.contains(ws_trim(clean), c)), F.lit(0)))
+    return F.coalesce(F.get(F.filter(allowed, lambda c: F.array_contains(tokens, c)), F.lit(0)),
+        F.get(F.filter(allowed, lambda c: F.contains(ws_trim(clean), c)), F.lit(0)))
 
 
 def tag_outcomes(updates: DataFrame, people: DataFrame) -> DataFrame:
@@ -143,12 +152,14 @@ def classify_untagged(people: DataFrame, classify) -> DataFrame:
 def stats(people: DataFrame, submissions: DataFrame, issues: DataFrame) -> DataFrame:
     """A1: one row of counts."""
     one = people.agg(F.count("*").alias("people"), F.count("skill_category").alias("tagged"))
-    return one.crossJoin(submissions.agg(F.count("*").alias("submissions"))).crossJoin(issues.agg(F.count("*").alias("issues"))).select("people", "submissions", "tagged", "issues")
+    return one.crossJoin(submissions.agg(F.count("*").alias("submissions"))).crossJoin(issues.agg(F.count("*").alias("issues"))).select("people",
+        "submissions", "tagged", "issues")
 
 
 def summary_text(counts: DataFrame) -> DataFrame:
     """One row with a text."""
-    return counts.select(F.format_string("Skill tagging: %d of %d people have a category; %d submissions; %d issues logged", "tagged", "people", "submissions", "issues").alias("text"), "*")
+    return counts.select(F.format_string("Skill tagging: %d of %d people have a category; %d submissions; %d issues logged", "tagged", "people",
+        "submissions", "issues").alias("text"), "*")
 
 
 def put_if_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -86,7 +86,8 @@ def joined_before(asked: DataFrame, edges: DataFrame, max_rounds: int = 100) ->
     front = asked.select("id", "p", "seen", F.col("e").alias("at"))
     been = front
     for _ in range(max_rounds):
-        front = front.join(step, "at").where("by < seen").select("id", "p", "seen", F.col("to").alias("at")).distinct().join(been, ["id", "at"], "left_anti").select("id", "p", "seen", "at")
+        front = front.join(step, "at").where("by < seen").select("id", "p", "seen", F.col("to").alias("at")).distinct().join(been, ["id", "at"],
+            "left_anti").select("id", "p", "seen", "at")
         front = written(front, "front")
         if front.isEmpty():
             return been.where("at = p").select("id")
@@ -99,7 +100,8 @@ def _where(r: str = "") -> Column:
 
 
 def _issues(df: DataFrame, kind: str, severity: str, raw: Column, action: str, detail: Column) -> DataFrame:
-    return df.select("source_file", "source_row", F.lit(None).cast("string").alias("column_name"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), raw.alias("raw_value"), F.lit(action).alias("action_taken"), detail.alias("detail"))
+    return df.select("source_file", "source_row", F.lit(None).cast("string").alias("column_name"), F.lit(kind).alias("issue_type"),
+        F.lit(severity).alias("severity"), raw.alias("raw_value"), F.lit(action).alias("action_taken"), detail.alias("detail"))
 
 
 @dataclass
@@ -127,7 +129,8 @@ def describe(records: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
     side = F.when(F.col("_e") & F.col("_p"), "both").when(F.col("_e"), "email").when(F.col("_p"), "phone").otherwise("none")
     skills = rows.select("cluster", F.explode(F.transform("skills", lambda s: s["match_key"])).alias("k")).distinct()
     skills = skills.groupBy("cluster").agg(F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("k")), F.bit_xor(F.xxhash64(F.lit(7), "k"))).alias("signature"))
-    clusters = rows.groupBy("cluster").agg(F.min("record_id").alias("first_record"), F.count("*").alias("n"), email.alias("_e"), phone.alias("_p")).join(skills, "cluster", "left")
+    clusters = rows.groupBy("cluster").agg(F.min("record_id").alias("first_record"), F.count("*").alias("n"), email.alias("_e"),
+        phone.alias("_p")).join(skills, "cluster", "left")
     clusters = clusters.select("cluster", "first_record", "n", side.alias("side"), F.coalesce("signature", F.lit("")).alias("signature"))
     names = rows.where("name_key IS NOT NULL AND NOT has_initial").select("cluster", "name_key").distinct()
     cities = rows.where("city IS NOT NULL AND city_canonical").select("cluster", "city").distinct()
@@ -144,12 +147,15 @@ def bridge_candidates(clusters: DataFrame, names: DataFrame, cities: DataFrame)
     keyed = clusters.join(names, "cluster").join(cities, "cluster")
     only = lambda side, c: F.min(F.when(F.col("side") == side, F.col(c)))
     groups = keyed.groupBy("name_key", "city").agg(
-        F.count("*").alias("n"), F.count_if(F.col("side") == "email").alias("n_email"), F.count_if(F.col("side") == "phone").alias("n_phone"), F.count_if(F.col("side") == "both").alias("n_both"),
-        only("email", "cluster").alias("e"), only("phone", "cluster").alias("p"), only("email", "signature").alias("e_signature"), F.min("first_record").alias("first_record"),
+        F.count("*").alias("n"), F.count_if(F.col("side") == "email").alias("n_email"), F.count_if(F.col("side") == "phone").alias("n_phone"),
+            F.count_if(F.col("side") == "both").alias("n_both"),
+        only("email", "cluster").alias("e"), only("phone", "cluster").alias("p"), only("email", "signature").alias("e_signature"),
+            F.min("first_record").alias("first_record"),
         only("both", "first_record").alias("other"),
     ).where("n >= 2")
     both = keyed.where("side = 'both'").select("name_key", "city", F.col("signature").alias("s"))
-    claimed = groups.where("n_email = 1 AND n_phone = 1 AND e_signature <> ''").join(both, ["name_key", "city"]).where("s = e_signature").select("name_key", "city").distinct().withColumn("claim", F.lit(True))
+    claimed = groups.where("n_email = 1 AND n_phone = 1 AND e_signature <> ''").join(both,
+        ["name_key", "city"]).where("s = e_signature").select("name_key", "city").distinct().withColumn("claim", F.lit(True))
     verdict = F.when((F.col("n_email") != 1) | (F.col("n_phone") != 1), "ambiguous").when(F.col("claim"), "claimed").otherwise("join")
     return groups.join(claimed, ["name_key", "city"], "left").select(
         "name_key", "city", F.concat_ws(" / ", "name_key", "city").alias("name_city"), "n", "n_email", "n_phone", "n_both", "e", "p", "other",
@@ -162,7 +168,9 @@ def near_misses(clusters: DataFrame, names: DataFrame, cities: DataFrame, final:
     cities. Of cities there are only the known ones, so they are listed."""
     named = names.join(final, "cluster").join(clusters.select("cluster", "first_record"), "cluster")
     people = named.groupBy("name_key").agg(F.count_distinct("person").alias("people"), F.count("*").alias("n")).where("people >= 2")
-    shown = named.join(cities, "cluster").groupBy("name_key", "city").agg(F.min("first_record").alias("f")).groupBy("name_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "city"))), lambda x: x["city"]).alias("cities"))
+    shown = named.join(cities, "cluster").groupBy("name_key",
+        "city").agg(F.min("first_record").alias("f")).groupBy("name_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "city"))),
+        lambda x: x["city"]).alias("cities"))
     return people.join(shown.where(F.size("cities") >= 2), "name_key").select(
         "name_key", F.lit("same_name_different_city").alias("reason"), F.concat_ws(" / ", "name_key", F.array_join("cities", " vs ")).alias("name_city"), "n",
         F.format_string('%d people are called "%s", in different cities; a name alone joins no one', "people", "name_key").alias("detail"),
@@ -182,30 +190,38 @@ def resolve(records: DataFrame) -> Resolution:
     both_rows = F.concat_ws(", ", _where("src_"), _where("dst_"))
     # Tier 1: every edge joins, as a record has one email.
     by_email = written(star_edges(records, "email"), "email-edges")
-    tier1 = records.select("record_id").join(by_email.select(F.col("dst").alias("record_id"), F.col("src").alias("_c")), "record_id", "left").select("record_id", F.coalesce("_c", "record_id").alias("c1"))
+    tier1 = records.select("record_id").join(by_email.select(F.col("dst").alias("record_id"), F.col("src").alias("_c")), "record_id",
+        "left").select("record_id", F.coalesce("_c", "record_id").alias("c1"))
     renamed = ends(by_email).where(~F.col("src_name").eqNullSafe(F.col("dst_name")))
-    issues = _issues(renamed, "duplicate_person_same_email", "high", F.concat_ws(" / ", "src_name", "dst_name"), "merged on the shared email", F.concat(F.lit("two names for "), F.col("value"), F.lit(": "), both_rows))
+    issues = _issues(renamed, "duplicate_person_same_email", "high", F.concat_ws(" / ", "src_name", "dst_name"), "merged on the shared email",
+        F.concat(F.lit("two names for "), F.col("value"), F.lit(": "), both_rows))
     # Tier 2: the edges that join something, in the order of phones as first seen.
     by_phone = star_edges(records, "phone")
-    by_phone = by_phone.join(tier1.select(F.col("record_id").alias("src"), F.col("c1").alias("a")), "src").join(tier1.select(F.col("record_id").alias("dst"), F.col("c1").alias("b")), "dst")
+    by_phone = by_phone.join(tier1.select(F.col("record_id").alias("src"), F.col("c1").alias("a")),
+        "src").join(tier1.select(F.col("record_id").alias("dst"), F.col("c1").alias("b")), "dst")
     joined, parts = forest(by_phone, ["src", "dst"])
-    tier2 = written(tier1.join(parts.select(F.col("node").alias("c1"), "component"), "c1", "left").select("record_id", F.coalesce("component", "c1").alias("cluster")), "tier2")
+    tier2 = written(tier1.join(parts.select(F.col("node").alias("c1"), "component"), "c1", "left").select("record_id",
+        F.coalesce("component", "c1").alias("cluster")), "tier2")
     two = ends(joined).where(F.col("src_email") != F.col("dst_email"))
-    issues = issues.unionByName(_issues(two, "same_person_two_emails", "high", F.concat_ws(" / ", "src_email", "dst_email"), "merged on the shared phone, both emails kept", F.concat(F.lit("one person with two emails: "), both_rows)))
+    issues = issues.unionByName(_issues(two, "same_person_two_emails", "high", F.concat_ws(" / ", "src_email", "dst_email"),
+        "merged on the shared phone, both emails kept", F.concat(F.lit("one person with two emails: "), both_rows)))
     # Tier 3: on the clusters as they stand now; they are not described anew as it goes on.
     clusters, names, cities = describe(records, tier2)
     clusters = written(clusters, "clusters")
     keys = written(bridge_candidates(clusters, names, cities), "bridges")
-    bridges, parts = forest(keys.where("verdict = 'join'").select(F.col("e").alias("a"), F.col("p").alias("b"), "name_key", "city", "name_city", "seen", "other", "n_both"), ["seen"])
+    bridges, parts = forest(keys.where("verdict = 'join'").select(F.col("e").alias("a"), F.col("p").alias("b"), "name_key", "city", "name_city",
+        "seen", "other", "n_both"), ["seen"])
     final = written(labelled(clusters, parts, "cluster", "person"), "persons")
     # A claimed pair that earlier keys have joined already is passed over (M7); few are in one component at all.
     claimed = keys.where("verdict = 'claimed'")
     whose = lambda c: final.select(F.col("cluster").alias(c), F.col("person").alias(f"{c}_person"))
-    doubtful = written(claimed.join(whose("e"), "e").join(whose("p"), "p").where("e_person = p_person").select(F.struct("name_key", "city").alias("id"), "e", "p", "seen"), "doubtful")
+    doubtful = written(claimed.join(whose("e"), "e").join(whose("p"),
+        "p").where("e_person = p_person").select(F.struct("name_key", "city").alias("id"), "e", "p", "seen"), "doubtful")
     if not doubtful.isEmpty():
         before = joined_before(doubtful, bridges).select("id.*")
         claimed = written(claimed.join(before, ["name_key", "city"], "left_anti"), "claimed")
-    where_ = clusters.select(F.col("cluster").alias("w"), F.col("first_record").alias("record_id"), F.col("n").alias("w_n")).join(at.select("record_id", "source_file", "source_row"), "record_id")
+    where_ = clusters.select(F.col("cluster").alias("w"), F.col("first_record").alias("record_id"),
+        F.col("n").alias("w_n")).join(at.select("record_id", "source_file", "source_row"), "record_id")
     located = lambda df, c: df.join(where_, df[c] == F.col("w"))
     first = keys.where("verdict = 'ambiguous'").withColumn("record_id", F.col("first_record")).join(at.select("record_id", "source_file", "source_row"), "record_id")
     guard1 = F.format_string("%d clusters share name and city, %d with emails only and %d with phones only", "n", "n_email", "n_phone")
@@ -215,10 +231,14 @@ def resolve(records: DataFrame) -> Resolution:
     issues = issues.unionByName(_issues(located(claimed, "e"), "ambiguous_name_match", "high", F.col("name_city"), apart, guard2))
     other = at.select(F.col("record_id").alias("other"), _where().alias("other_at"))
     third = located(bridges.where("n_both > 0"), "b").join(other, "other")
-    issues = issues.unionByName(_issues(third, "name_city_shared_with_third_person", "medium", F.col("name_city"), "merged, the cluster with both identifiers ruled out", F.format_string("%d clusters with both identifiers are called so, there; the first begins at %s", "n_both", "other_at")))
-    a_rows = clusters.select(F.col("cluster").alias("a"), F.col("n").alias("a_n"), F.col("first_record").alias("a_first")).join(at.select(F.col("record_id").alias("a_first"), _where().alias("a_at")), "a_first")
+    issues = issues.unionByName(_issues(third, "name_city_shared_with_third_person", "medium", F.col("name_city"),
+        "merged, the cluster with both identifiers ruled out",
+        F.format_string("%d clusters with both identifiers are called so, there; the first begins at %s", "n_both", "other_at")))
+    a_rows = clusters.select(F.col("cluster").alias("a"), F.col("n").alias("a_n"),
+        F.col("first_record").alias("a_first")).join(at.select(F.col("record_id").alias("a_first"), _where().alias("a_at")), "a_first")
     merged = located(bridges, "b").join(a_rows, "a")
-    issues = issues.unionByName(_issues(merged, "matched_on_name_and_city", "medium", F.col("name_city"), "merged at medium confidence", F.format_string("no identifier links these rows: %d from %s on, %d from %s on", "a_n", "a_at", "w_n", _where())))
+    issues = issues.unionByName(_issues(merged, "matched_on_name_and_city", "medium", F.col("name_city"), "merged at medium confidence",
+        F.format_string("no identifier links these rows: %d from %s on, %d from %s on", "a_n", "a_at", "w_n", _where())))
     missed = written(near_misses(clusters, names, cities, final), "near-misses")
     queued = keys.where("verdict = 'ambiguous'").select("name_key", "city", F.lit("ambiguous_name_match").alias("reason"), "name_city", "n", guard1.alias("detail"))
     queued = queued.unionByName(claimed.select("name_key", "city", F.lit("complete_cluster_may_own_row").alias("reason"), "name_city", "n", guard2.alias("detail")))
@@ -233,7 +253,8 @@ def resolve(records: DataFrame) -> Resolution:
     reasons = said(by_email, "src", "dst", F.concat(F.lit("tier1: same email "), F.col("value")))
     reasons = reasons.unionByName(said(joined, "src", "dst", F.concat(F.lit("tier2: same phone "), F.col("value"))))
     reasons = reasons.unionByName(said(bridges, "a", "b", F.concat(F.lit('tier3: same name+city "'), F.col("name_city"), F.lit('" (no shared identifier)'))))
-    per = members.join(reasons, "record_id", "left").groupBy("person_id").agg(F.count_distinct("record_id").alias("size"), F.array_sort(F.collect_set("reason")).alias("why"))
+    per = members.join(reasons, "record_id", "left").groupBy("person_id").agg(F.count_distinct("record_id").alias("size"),
+        F.array_sort(F.collect_set("reason")).alias("why"))
     sure = F.exists("why", lambda r: r.startswith("tier1") | r.startswith("tier2"))
     confidence = F.when(F.col("size") == 1, "single-source").when(sure, "high").when(F.size("why") > 0, "medium").otherwise("single-source")
     text = F.when(F.size("why") > 0, F.array_join("why", "; ")).otherwise("only appears in one source")

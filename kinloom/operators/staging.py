@@ -24,7 +24,8 @@ def _applicants(d) -> dict[str, tuple[str, Column]]:
     return {
         "name": ("Full Name", N.name(d("Full Name"))), "email": ("Email", N.email(d("Email"))), "phone": ("Phone", N.phone(d("Phone"))),
         "city": ("City", N.city(d("City"))), "experience_years": ("Experience (Years)", N.real(d("Experience (Years)"), "Experience (Years)")),
-        "ctc_inr": ("Current CTC", N.ctc(d("Current CTC"))), "applied_date": ("Applied Date", N.applied_date(d("Applied Date"))), "skills": ("Skills", N.skills(d("Skills"))),
+        "ctc_inr": ("Current CTC", N.ctc(d("Current CTC"))), "applied_date": ("Applied Date", N.applied_date(d("Applied Date"))),
+            "skills": ("Skills", N.skills(d("Skills"))),
     }
 
 
@@ -57,7 +58,8 @@ def stage_source(rows: DataFrame, spec: SourceSpec, ordinal: int) -> DataFrame:
     staged = rows.select("source_file", "source_row", "data", *[r.alias(f"_{f}") for f, (_, r) in fields.items()])
     value = lambda f: F.col(f"_{f}.value") if f in fields else F.lit(None)
     made = {f: value(f) for f in STAGED}
-    made |= {"name_key": F.col("_name.key"), "has_initial": F.coalesce(F.col("_name.has_initial"), F.lit(False)), "city_canonical": F.coalesce(F.col("_city.canonical"), F.lit(False))}
+    made |= {"name_key": F.col("_name.key"), "has_initial": F.coalesce(F.col("_name.has_initial"), F.lit(False)),
+        "city_canonical": F.coalesce(F.col("_city.canonical"), F.lit(False))}
     if "rate_per_hour" in fields:
         made["rate_raw"] = F.coalesce("_rate_per_hour.raw", F.try_element_at("data", F.lit("rate")))
     made["skills"] = F.coalesce(value("skills").cast(SKILLS_TYPE), F.array().cast(SKILLS_TYPE))

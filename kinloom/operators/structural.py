@@ -28,7 +28,8 @@ def judge(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     found = [
         issue(blank, "blank_row", "medium", F.lit(None), "row dropped", "every cell is empty"),
         issue(header, "repeated_header", "high", F.col("joined"), "row dropped", "the header stands within the data"),
-        issue(live & (F.size("cells") != width), "column_count_mismatch", "high", F.col("joined"), "looked at for shifted columns", F.format_string(f"{width} cells expected, %d found", F.size("cells"))),
+        issue(live & (F.size("cells") != width), "column_count_mismatch", "high", F.col("joined"), "looked at for shifted columns",
+            F.format_string(f"{width} cells expected, %d found", F.size("cells"))),
     ]
     working = F.when(live, F.col("cells"))
     if spec.email_index is not None:
@@ -40,7 +41,8 @@ def judge(raw: DataFrame, spec: SourceSpec) -> DataFrame:
         misplaced, turned = F.col("misplaced"), F.col("turned")
         shown = F.array_join(F.transform(turned, lambda c: F.coalesce(ws_trim(c), F.lit(""))), "|")
         found += [
-            issue(misplaced & turned.isNotNull(), "column_shift", "high", F.col("joined"), F.concat(F.lit("cells rotated back: "), shown), "the address stands right of its column"),
+            issue(misplaced & turned.isNotNull(), "column_shift", "high", F.col("joined"), F.concat(F.lit("cells rotated back: "), shown),
+                "the address stands right of its column"),
             issue(misplaced & turned.isNull(), "column_shift_unrepairable", "high", F.col("joined"), "row dropped", "no address right of its column tells the order"),
         ]
         working = F.when(misplaced, turned).otherwise(working)
@@ -60,12 +62,15 @@ def clean_source(raw: DataFrame, spec: SourceSpec) -> tuple[DataFrame, DataFrame
     width = len(spec.header)
     extra = F.size("working") > width
     marked = marked.withColumn("more", F.concat(
-        issue(repeated, "duplicate_row_in_source", "high", F.col("joined"), F.format_string("row dropped, it repeats row %d", "first_row"), "equal but for case and outer white space"),
-        issue(~repeated & extra, "extra_fields", "medium", F.array_join(F.slice("working", width + 1, 1_000_000), "|", ""), "surplus cells dropped", F.format_string(f"%d cells, the header has {width}", F.size("working"))),
+        issue(repeated, "duplicate_row_in_source", "high", F.col("joined"), F.format_string("row dropped, it repeats row %d", "first_row"),
+            "equal but for case and outer white space"),
+        issue(~repeated & extra, "extra_fields", "medium", F.array_join(F.slice("working", width + 1, 1_000_000), "|", ""), "surplus cells dropped",
+            F.format_string(f"%d cells, the header has {width}", F.size("working"))),
     ))
     data = F.map_from_arrays(F.array(*map(F.lit, spec.header)), F.array(*[F.get("working", F.lit(i)) for i in range(width)]))
     rows = marked.where(~repeated).select("source_file", "source_row", data.alias("data"))
-    flat = lambda df, c: df.select("source_file", "source_row", F.lit(None).cast("string").alias("column_name"), F.explode(c).alias("i")).select("source_file", "source_row", "column_name", "i.*")
+    flat = lambda df, c: df.select("source_file", "source_row", F.lit(None).cast("string").alias("column_name"),
+        F.explode(c).alias("i")).select("source_file", "source_row", "column_name", "i.*")
     return rows, flat(judged, "found").unionByName(flat(marked, "more"))
 
 

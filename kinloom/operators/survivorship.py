@@ -49,7 +49,8 @@ def best_name() -> Column:
 
 def best_cities(rows: DataFrame) -> DataFrame:
     """V6: (person_id, best_city, n_cities): most votes, then best priority, then first seen."""
-    votes = rows.where("city IS NOT NULL AND city <> ''").groupBy("person_id", "city").agg(F.count("*").alias("n"), F.min("priority").alias("p"), F.min(F.struct("priority", "record_id")).alias("f"))
+    votes = rows.where("city IS NOT NULL AND city <> ''").groupBy("person_id", "city").agg(F.count("*").alias("n"), F.min("priority").alias("p"),
+        F.min(F.struct("priority", "record_id")).alias("f"))
     return votes.groupBy("person_id").agg(F.min_by("city", F.struct((-F.col("n")).alias("n"), "p", "f")).alias("best_city"), F.count("*").alias("n_cities"))
 
 
@@ -60,19 +61,24 @@ def email_order(e: Column) -> Column:
 
 def identifiers_of(rows: DataFrame) -> DataFrame:
     """person_id, id_type, value, source_file, is_primary."""
-    typed = rows.select("person_id", "priority", "record_id", "source_file", F.explode(F.array(F.struct(F.lit("email").alias("id_type"), F.col("email").alias("value")), F.struct(F.lit("phone").alias("id_type"), F.col("phone").alias("value")))).alias("i"))
+    typed = rows.select("person_id", "priority", "record_id", "source_file",
+        F.explode(F.array(F.struct(F.lit("email").alias("id_type"), F.col("email").alias("value")),
+        F.struct(F.lit("phone").alias("id_type"), F.col("phone").alias("value")))).alias("i"))
     typed = typed.select("person_id", "priority", "record_id", "source_file", "i.*").where("value IS NOT NULL AND value <> ''")
     order = F.struct("priority", "record_id")
     once = typed.groupBy("person_id", "id_type", "value").agg(F.min(order).alias("first"), F.min_by("source_file", order).alias("source_file"))
-    rank = F.when(F.col("id_type") == "email", F.struct(email_order(F.col("value")).alias("e"), F.lit(None).cast("struct<priority:int,record_id:bigint>").alias("p"))).otherwise(
+    rank = F.when(F.col("id_type") == "email", F.struct(email_order(F.col("value")).alias("e"),
+        F.lit(None).cast("struct<priority:int,record_id:bigint>").alias("p"))).otherwise(
         F.struct(F.lit(None).cast("struct<alt:int,n:int,e:string>").alias("e"), F.col("first").alias("p")))
     best = once.groupBy("person_id", "id_type").agg(F.min_by("value", rank).alias("best"))
-    return once.join(best, ["person_id", "id_type"]).select("person_id", "id_type", "value", "source_file", (F.col("value") == F.col("best")).cast("int").alias("is_primary"), "first")
+    return once.join(best, ["person_id", "id_type"]).select("person_id", "id_type", "value", "source_file",
+        (F.col("value") == F.col("best")).cast("int").alias("is_primary"), "first")
 
 
 def skills_of(rows: DataFrame) -> DataFrame:
     """person_id, match_key, canonical_name, place: the union of skills, first spelling wins."""
-    each = rows.select("person_id", "priority", "record_id", F.posexplode("skills").alias("i", "s")).select("person_id", F.struct("priority", "record_id", "i").alias("place"), "s.*")
+    each = rows.select("person_id", "priority", "record_id", F.posexplode("skills").alias("i", "s")).select("person_id",
+        F.struct("priority", "record_id", "i").alias("place"), "s.*")
     return each.groupBy("person_id", "match_key").agg(F.min_by("canonical_name", "place").alias("canonical_name"), F.min("place").alias("place"))
 
 
@@ -80,20 +86,25 @@ def build_golden(records: DataFrame, members: DataFrame, clusters: DataFrame) ->
     """records: staged; members: record_id, person_id; clusters: person_id, match_confidence, match_reason."""
     rows = written(records.drop("issues").join(members.select("record_id", "person_id"), "record_id"), "golden-rows")
     own = {f: pick(f, o) for f, o in OWNERS.items()}
-    status = F.coalesce(F.min_by(F.when(F.col("kind") == "gig_workers", F.col("status")), F.when((F.col("kind") == "gig_workers") & (F.col("status") != ""), F.struct("priority", "record_id"))), F.lit("unknown"))
+    status = F.coalesce(F.min_by(F.when(F.col("kind") == "gig_workers", F.col("status")),
+        F.when((F.col("kind") == "gig_workers") & (F.col("status") != ""), F.struct("priority", "record_id"))), F.lit("unknown"))
     core = rows.groupBy("person_id").agg(best_name().alias("full_name"), status.alias("gig_status"), *[c.alias(f) for f, c in own.items()])
     ids = written(identifiers_of(rows), "identifiers")
-    primary = ids.where("is_primary = 1").groupBy("person_id").agg(F.max(F.when(F.col("id_type") == "email", F.col("value"))).alias("primary_email"), F.max(F.when(F.col("id_type") == "phone", F.col("value"))).alias("primary_phone"))
-    people = core.join(primary, "person_id", "left").join(best_cities(rows), "person_id", "left").join(clusters.select("person_id", "match_confidence", "match_reason"), "person_id")
+    primary = ids.where("is_primary = 1").groupBy("person_id").agg(F.max(F.when(F.col("id_type") == "email", F.col("value"))).alias("primary_email"),
+        F.max(F.when(F.col("id_type") == "phone", F.col("value"))).alias("primary_phone"))
+    people = core.join(primary, "person_id", "left").join(best_cities(rows), "person_id",
+        "left").join(clusters.select("person_id", "match_confidence", "match_reason"), "person_id")
     people = written(people.select(
         "person_id", "full_name", "primary_email", "primary_phone", F.col("best_city").alias("city"), "experience_years", F.col("ctc_inr").alias("current_ctc_inr"),
-        F.col("rate_per_hour").alias("rate_inr_per_hour"), "rate_raw", "gig_status", "is_verified", F.col("projects_completed").cast("int").alias("projects_completed"), "applied_date",
+        F.col("rate_per_hour").alias("rate_inr_per_hour"), "rate_raw", "gig_status", "is_verified",
+            F.col("projects_completed").cast("int").alias("projects_completed"), "applied_date",
         F.lit(None).cast("string").alias("skill_category"), "match_confidence", "match_reason",
     ), "people")
     sources = rows.select("person_id", "source_file", "source_row", F.to_json("data", {"ignoreNullFields": "false"}).alias("raw_json"))
     per_person = written(skills_of(rows), "person-skills")
     # Surrogate ids by first appearance; places of different skills differ, so they can be sorted.
-    by_key = per_person.groupBy("match_key").agg(F.min(F.struct("person_id", "place")).alias("at"), F.min_by("canonical_name", F.struct("person_id", "place")).alias("canonical_name"))
+    by_key = per_person.groupBy("match_key").agg(F.min(F.struct("person_id", "place")).alias("at"),
+        F.min_by("canonical_name", F.struct("person_id", "place")).alias("canonical_name"))
     known = numbered(by_key, "at", "skill_id").select("skill_id", "canonical_name", "match_key")
     known = written(known, "skills")
     linked = per_person.join(known.select("skill_id", "match_key"), "match_key").select("person_id", "skill_id")
@@ -107,23 +118,31 @@ def conflicts(rows: DataFrame, people: DataFrame) -> DataFrame:
     label = F.concat_ws(":", "source_file", F.col("source_row").cast("string"))
 
     def variants(field: str, shown: Column) -> DataFrame:
-        v = rows.where(F.col(field).isNotNull() & (F.col(field).cast("string") != "")).groupBy("person_id", F.col(field).alias("v"), shown.alias("text")).agg(F.min(order).alias("f"), F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), label.alias("l")))), lambda x: x["l"]).alias("where"))
+        v = rows.where(F.col(field).isNotNull() & (F.col(field).cast("string") != "")).groupBy("person_id", F.col(field).alias("v"),
+            shown.alias("text")).agg(F.min(order).alias("f"),
+            F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), label.alias("l")))), lambda x: x["l"]).alias("where"))
         v = v.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("f", "text", "where"))).alias("vs")).where(F.size("vs") > 1)
         return v.join(people, "person_id").join(at, "person_id")
 
     def said(df: DataFrame, column: str, kind: str, severity: str, raw: Column, kept: Column, detail: str) -> DataFrame:
-        return df.select("source_file", "source_row", F.lit(column).alias("column_name"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), raw.alias("raw_value"), F.concat(F.lit("kept "), kept).alias("action_taken"), F.lit(detail).alias("detail"))
+        return df.select("source_file", "source_row", F.lit(column).alias("column_name"), F.lit(kind).alias("issue_type"),
+            F.lit(severity).alias("severity"), raw.alias("raw_value"), F.concat(F.lit("kept "), kept).alias("action_taken"), F.lit(detail).alias("detail"))
 
     listed = F.array_join(F.transform("vs", lambda x: x["text"]), " / ")
     full = F.array_join(F.transform("vs", lambda x: F.concat(x["text"], F.lit(" ("), F.array_join(x["where"], ", "), F.lit(")"))), " vs ")
     named = variants("name", F.col("name"))
-    whose = rows.select(F.col("person_id").alias("p"), F.col("name").alias("n"), "priority", "record_id", F.col("source_file").alias("sf"), F.col("source_row").alias("sr"))
+    whose = rows.select(F.col("person_id").alias("p"), F.col("name").alias("n"), "priority", "record_id", F.col("source_file").alias("sf"),
+        F.col("source_row").alias("sr"))
     # A name's issue is located at the record whose name won.
-    winner = named.select("person_id", "full_name").join(whose, (F.col("person_id") == F.col("p")) & (F.col("full_name") == F.col("n"))).groupBy("person_id").agg(F.min_by("sf", order).alias("sf"), F.min_by("sr", order).alias("sr"))
+    winner = named.select("person_id", "full_name").join(whose,
+        (F.col("person_id") == F.col("p")) & (F.col("full_name") == F.col("n"))).groupBy("person_id").agg(F.min_by("sf", order).alias("sf"),
+        F.min_by("sr", order).alias("sr"))
     named = named.join(winner, "person_id").withColumns({"source_file": F.col("sf"), "source_row": F.col("sr")})
     out = said(named, "name", "name_variants_merged", "low", listed, F.col("full_name"), "one person's name written in more than one way")
-    out = out.unionByName(said(variants("email", F.col("email")), "email", "multiple_emails_one_person", "medium", listed, F.col("primary_email"), "one person with several emails, all kept as identifiers"))
-    out = out.unionByName(said(variants("phone", F.col("phone")), "phone", "multiple_phones_one_person", "medium", listed, F.col("primary_phone"), "one person with several phones, all kept as identifiers"))
+    out = out.unionByName(said(variants("email", F.col("email")), "email", "multiple_emails_one_person", "medium", listed, F.col("primary_email"),
+        "one person with several emails, all kept as identifiers"))
+    out = out.unionByName(said(variants("phone", F.col("phone")), "phone", "multiple_phones_one_person", "medium", listed, F.col("primary_phone"),
+        "one person with several phones, all kept as identifiers"))
     for field, column in LOGGED.items():
         show = F.col(field) if field == "city" else number_text(F.col(field).cast("double"))
         kept = F.col(column) if field == "city" else number_text(F.col(column).cast("double"))

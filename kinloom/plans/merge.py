@@ -66,5 +66,6 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, specs: tuple[Sourc
         store.write_review(merged.review, f"{out}/reports/review_queue")
         store.write_review(merged.candidates, f"{out}/reports/review_candidates")
     tables = {t: store.current(spark, f"{out}/store", t) for t in merged.tables}
-    review, candidates = (spark.read.schema(df.schema).json(f"{out}/reports/{name}") for df, name in ((merged.review, "review_queue"), (merged.candidates, "review_candidates")))
+    review, candidates = (spark.read.schema(df.schema).json(f"{out}/reports/{name}") for df,
+        name in ((merged.review, "review_queue"), (merged.candidates, "review_candidates")))
     return Merged(tables["person_sources"], tables, review, None, candidates)

@@ -38,7 +38,8 @@ def examples(issues: DataFrame, n: int = 3) -> DataFrame:
     """The first n issues of each type by file and row, shortened for a table."""
     order = Window.partitionBy("issue_type").orderBy("source_file", "source_row", "column_name", "raw_value")
     short = lambda c, size: F.substring(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), 1, size)
-    where = F.concat(short_file(F.col("source_file")), F.coalesce(F.concat(F.lit(":"), F.col("source_row").cast("string")), F.lit("")), F.coalesce(F.concat(F.lit(" · "), "column_name"), F.lit("")))
+    where = F.concat(short_file(F.col("source_file")), F.coalesce(F.concat(F.lit(":"), F.col("source_row").cast("string")), F.lit("")),
+        F.coalesce(F.concat(F.lit(" · "), "column_name"), F.lit("")))
     top = issues.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
     return top.select("issue_type", "rank", where.alias("place"), short(F.col("raw_value"), 70).alias("value"), short(F.col("action_taken"), 90).alias("action"))
 
@@ -51,7 +52,8 @@ def undecided(issues: DataFrame) -> DataFrame:
 def summary(records: DataFrame, tables: dict[str, DataFrame], review: DataFrame) -> DataFrame:
     """One row of totals."""
     one = records.agg(F.count("*").alias("source_rows"))
-    for name, df in (("people", tables["people"]), ("identifiers", tables["person_identifiers"]), ("skills", tables["skills"]), ("issues", tables["data_issues"]), ("review", review)):
+    for name, df in (("people", tables["people"]), ("identifiers", tables["person_identifiers"]), ("skills", tables["skills"]),
+        ("issues", tables["data_issues"]), ("review", review)):
         one = one.crossJoin(df.agg(F.count("*").alias(name)))
     return one.withColumn("merged", F.col("source_rows") - F.col("people"))
 
@@ -60,7 +62,8 @@ def markdown(issues: DataFrame, people: DataFrame, sources: DataFrame) -> str:
     """K4: the report as text, from aggregates whose size depends on the number of types alone."""
     types = by_type(issues).collect()
     total, levels = sum(t["n"] for t in types), by_severity(issues).first()
-    out = ["# Data issues", "", f"{total} issues of {len(types)} types in {sources.count()} source rows of {people.count()} people.", "", "| Severity | Count |", "|---|---:|"]
+    out = ["# Data issues", "", f"{total} issues of {len(types)} types in {sources.count()} source rows of {people.count()} people.", "",
+        "| Severity | Count |", "|---|---:|"]
     out += [f"| {s} | {levels[s]} |" for s in SEVERITIES]
     shown: dict = {}
     for e in examples(issues).orderBy("issue_type", "rank").collect():

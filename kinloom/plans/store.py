@@ -23,7 +23,8 @@ UNIQUE = {
     "skills": (("skill_id",), ("canonical_name",), ("match_key",)), "person_skills": (("person_id", "skill_id"),),
 }
 #: (table, column, table referred to)
-FOREIGN = (("person_identifiers", "person_id", "people"), ("person_sources", "person_id", "people"), ("person_skills", "person_id", "people"), ("person_skills", "skill_id", "skills"))
+FOREIGN = (("person_identifiers", "person_id", "people"), ("person_sources", "person_id", "people"), ("person_skills", "person_id", "people"),
+    ("person_skills", "skill_id", "skills"))
 
 
 def repeated_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -41,7 +42,8 @@ def out_of_range(df: DataFrame, column: str, allowed: tuple) -> DataFrame:
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
     """kind, table_name, key, n: how often each constraint is broken; a row for each constraint."""
     found = []
-    say = lambda kind, table, key, df: found.append(df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(table).alias("table_name"), F.lit(key).alias("key"), "n"))
+    say = lambda kind, table, key, df: found.append(df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"),
+        F.lit(table).alias("table_name"), F.lit(key).alias("key"), "n"))
     for t, df in tables.items():
         for c, allowed in ENUMS.get(t, {}).items():
             say("check", t, c, out_of_range(df, c, allowed))

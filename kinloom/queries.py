@@ -89,7 +89,8 @@ _RULES = {
         "CASE WHEN k % 6 = 3 THEN 'verified_unparseable:medium' END, CASE WHEN k % 6 IN (0, 1, 2, 5) THEN 'boolean_inconsistent:low' END",
     ),
     "integer": ("CASE WHEN k % 6 IN (0, 1) THEN CAST(k AS VARCHAR) WHEN k % 6 = 5 THEN '1000' END", "CASE WHEN k % 6 IN (2, 3) THEN 'integer_unparseable:medium' END"),
-    "real": ("CAST(CAST(100 * CASE k % 6 WHEN 0 THEN k % 40 + 0.5 WHEN 1 THEN k % 40 WHEN 5 THEN -1.25 END AS BIGINT) AS VARCHAR)", "CASE WHEN k % 6 IN (2, 3) THEN 'float_unparseable:medium' END"),
+    "real": ("CAST(CAST(100 * CASE k % 6 WHEN 0 THEN k % 40 + 0.5 WHEN 1 THEN k % 40 WHEN 5 THEN -1.25 END AS BIGINT) AS VARCHAR)",
+        "CASE WHEN k % 6 IN (2, 3) THEN 'float_unparseable:medium' END"),
     "skills": (
         "CASE k % 6 WHEN 0 THEN 'Python/python|Pandas/pandas' WHEN 1 THEN 'REST APIs/rest apis|Docker/docker' WHEN 2 THEN 'Cobol/cobol|n8n/n8n' WHEN 3 THEN 'SQL/sql' WHEN 4 THEN '' ELSE 'React/react' END",
         "CASE WHEN k % 6 = 1 THEN 'skill_duplicate:low' END, CASE WHEN k % 6 = 2 THEN 'skill_unknown:low' END",
@@ -145,11 +146,13 @@ def issue_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select("k", "f.column_name", F.explode("f.issues").alias("i")).select("k", "column_name", "i.issue_type", "i.severity")
 
 
-_LOG = "WITH messy AS (" + MESSY + "), log AS (" + " UNION ALL ".join(f"SELECT k, '{f}' AS column_name, split_part(x, ':', 1) AS issue_type, split_part(x, ':', 2) AS severity FROM (SELECT k, unnest(string_split(concat_ws(',', {i}), ',')) AS x FROM messy) WHERE x <> ''" for f, (_, i) in _RULES.items()) + ") "
+_LOG = "WITH messy AS (" + MESSY + "), log AS (" + " UNION ALL ".join(f"SELECT k, '{f}' AS column_name, split_part(x, ':', 1) AS issue_type, split_part(x, ':', 2) AS severity FROM (SELECT k, unnest(string_split(concat_ws(',', {i}), ',')) AS x FROM messy) WHERE x <> ''" for f,
+    (_, i) in _RULES.items()) + ") "
 
 
 def _log_as_issues(spark, sf_dir) -> DataFrame:
-    return issue_log(spark, sf_dir).select(F.lit("customer").alias("source_file"), F.col("k").cast("int").alias("source_row"), "column_name", "issue_type", "severity", F.lit(None).cast("string").alias("raw_value"), F.lit("").alias("action_taken"))
+    return issue_log(spark, sf_dir).select(F.lit("customer").alias("source_file"), F.col("k").cast("int").alias("source_row"), "column_name",
+        "issue_type", "severity", F.lit(None).cast("string").alias("raw_value"), F.lit("").alias("action_taken"))
 
 
 def issue_counts(spark, sf_dir):
@@ -181,15 +184,19 @@ SELECT c_custkey AS k, CASE WHEN c_custkey % 10 = 9 AND c_custkey % 20 = 19 THEN
 
 def _raw_cells(spark, sf_dir) -> DataFrame:
     d, kind = F.col("d").cast("string"), F.col("k") % 10
-    cells = [F.concat(F.lit("Name "), d), F.concat(F.lit("m"), d, F.lit("@ex.org")), F.concat(F.lit("p"), d), F.lit("Pune"), F.lit("2"), F.lit("5"), F.lit("2026-01-01"), F.lit("sql")]
+    cells = [F.concat(F.lit("Name "), d), F.concat(F.lit("m"), d, F.lit("@ex.org")), F.concat(F.lit("p"), d), F.lit("Pune"), F.lit("2"), F.lit("5"),
+        F.lit("2026-01-01"), F.lit("sql")]
     head = F.array(*map(F.lit, APPLICANTS.header))
     rotated = [cells[-1], *cells[:-1]]
     upper = [F.upper(c) for c in cells]
     made = (
-        F.when(kind == 0, F.array(*[F.lit(" ")] * 8)).when(kind == 1, F.transform(head, lambda h: F.concat(F.lit(" "), F.upper(h)))).when(kind == 2, F.array(*rotated)).when(kind == 3, F.array(*cells[:1], *cells[2:], F.lit("x")))
-        .when(kind == 4, F.array(*cells[:5])).when(kind == 5, F.array(*cells, F.lit("more"), F.lit("yet"))).when((kind == 9) & (F.col("k") % 20 == 19), F.array(*upper)).otherwise(F.array(*cells))
+        F.when(kind == 0, F.array(*[F.lit(" ")] * 8)).when(kind == 1, F.transform(head, lambda h: F.concat(F.lit(" "), F.upper(h)))).when(kind == 2,
+            F.array(*rotated)).when(kind == 3, F.array(*cells[:1], *cells[2:], F.lit("x")))
+        .when(kind == 4, F.array(*cells[:5])).when(kind == 5,
+            F.array(*cells, F.lit("more"), F.lit("yet"))).when((kind == 9) & (F.col("k") % 20 == 19), F.array(*upper)).otherwise(F.array(*cells))
     )
-    return _sql(spark, sf_dir, _CELLS, ("customer",)).select(F.lit(APPLICANTS.name).alias("source_file"), (F.col("k") + 2).cast("int").alias("source_row"), made.alias("cells"))
+    return _sql(spark, sf_dir, _CELLS, ("customer",)).select(F.lit(APPLICANTS.name).alias("source_file"),
+        (F.col("k") + 2).cast("int").alias("source_row"), made.alias("cells"))
 
 
 def clean_rows(spark, sf_dir):
@@ -272,10 +279,12 @@ def _source_rows(spark, sf_dir) -> dict[str, DataFrame]:
     raw = _sql(spark, sf_dir, _RECORDS_RAW, ("customer",))
     columns = {
         APPLICANTS: ("raw_name", "raw_email", "raw_phone", "raw_city", "raw_years", "raw_ctc", "raw_date", "raw_skills"),
-        GIG_WORKERS: ("raw_email", "raw_name", "raw_rate", "raw_city", "raw_status", "raw_skills"), CONTACTS: ("raw_name", "raw_phone", "raw_city", "raw_verified", "raw_projects"),
+        GIG_WORKERS: ("raw_email", "raw_name", "raw_rate", "raw_city", "raw_status", "raw_skills"),
+            CONTACTS: ("raw_name", "raw_phone", "raw_city", "raw_verified", "raw_projects"),
     }
     return {
-        s.name: raw.where(F.col("r") == i).select(F.lit(s.name).alias("source_file"), "source_row", F.map_from_arrays(F.array(*map(F.lit, s.header)), F.array(*cols)).alias("data"))
+        s.name: raw.where(F.col("r") == i).select(F.lit(s.name).alias("source_file"), "source_row",
+            F.map_from_arrays(F.array(*map(F.lit, s.header)), F.array(*cols)).alias("data"))
         for i, (s, cols) in enumerate(columns.items())
     }
 
@@ -288,7 +297,8 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_staged(spark, sf_dir):
     """Three sources in one shape."""
-    return staged(spark, sf_dir).select("record_id", F.col("name").alias("full_name"), "name_key", "email", "phone", "city", F.array_join(F.transform("skills", lambda s: s["match_key"]), ",").alias("skill_keys"))
+    return staged(spark, sf_dir).select("record_id", F.col("name").alias("full_name"), "name_key", "email", "phone", "city",
+        F.array_join(F.transform("skills", lambda s: s["match_key"]), ",").alias("skill_keys"))
 
 
 @lru_cache(maxsize=4)
@@ -342,7 +352,8 @@ def match_issues(spark, sf_dir):
 
 def golden_people(spark, sf_dir):
     """V2 to V8."""
-    return _merge(spark, sf_dir).tables["people"].select("person_id", "full_name", "primary_email", "primary_phone", "city", "current_ctc_inr", "rate_raw", "gig_status", "is_verified", "projects_completed")
+    return _merge(spark, sf_dir).tables["people"].select("person_id", "full_name", "primary_email", "primary_phone", "city", "current_ctc_inr",
+        "rate_raw", "gig_status", "is_verified", "projects_completed")
 
 
 def golden_identifiers(spark, sf_dir):
@@ -397,7 +408,8 @@ def _people(spark, sf_dir):
 
 def submissions_left_join(spark, sf_dir):
     subs = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("submission_id"), F.expr(_NAMED).alias("person_id"))
-    return linkage.list_submissions(subs, _people(spark, sf_dir).withColumn("match_confidence", F.lit("high"))).select("submission_id", "person_id", "matched_name", "city", "match_confidence")
+    return linkage.list_submissions(subs, _people(spark, sf_dir).withColumn("match_confidence", F.lit("high"))).select("submission_id", "person_id",
+        "matched_name", "city", "match_confidence")
 
 
 _CALLED = _CORE.format(f"({_NAMED})")
@@ -418,7 +430,8 @@ SELECT submission_id, ph AS normalised_phone, coalesce(id, new_id) AS person_id,
 
 
 def _skill_links(spark, sf_dir):
-    return _sql(spark, sf_dir, "SELECT DISTINCT o_custkey AS person_id, l_suppkey % 10 AS skill_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey", ("orders", "lineitem"))
+    return _sql(spark, sf_dir, "SELECT DISTINCT o_custkey AS person_id, l_suppkey % 10 AS skill_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey",
+        ("orders", "lineitem"))
 
 
 def _skill_table(spark, sf_dir):
@@ -458,7 +471,8 @@ def tag_update(spark, sf_dir):
 
 def reply_sanitise(spark, sf_dir):
     """L5 on whole conversation turns with a category worked in."""
-    mixed = F.concat(F.element_at(F.array(*map(F.lit, ("I say: BACKEND.", "database!", "qa-automation, surely", "", "it is web-dev and data"))), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    mixed = F.concat(F.element_at(F.array(*map(F.lit, ("I say: BACKEND.", "database!", "qa-automation, surely", "", "it is web-dev and data"))),
+        ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
     return _table(spark, sf_dir, "conversations").select("conv_id", "turn", linkage.sanitise_reply(mixed).alias("category"))
 
 
@@ -516,7 +530,8 @@ CAST(CASE WHEN o_orderkey % 17 = 1 THEN o_orderkey - 1 ELSE o_orderkey END AS ST
 
 def planted_violations(spark, sf_dir):
     """D2 and the constraints on tables that break them."""
-    return store.violations({"people": _sql(spark, sf_dir, _BROKEN["people"], ("customer",)), "person_identifiers": _sql(spark, sf_dir, _BROKEN["person_identifiers"], ("orders",))})
+    return store.violations({"people": _sql(spark, sf_dir, _BROKEN["people"], ("customer",)),
+        "person_identifiers": _sql(spark, sf_dir, _BROKEN["person_identifiers"], ("orders",))})
 
 
 def _broken_sql() -> str:
@@ -528,9 +543,12 @@ def _broken_sql() -> str:
         return f"(SELECT {keys} FROM {table} WHERE {known} GROUP BY {keys} HAVING count(*) > 1)"
 
     rows = [
-        row("check", "people", "gig_status", "people WHERE gig_status NOT IN ('active', 'inactive', 'paused', 'unknown')"), row("check", "people", "is_verified", "people WHERE is_verified NOT IN (0, 1)"),
-        row("check", "people", "match_confidence", "people WHERE match_confidence NOT IN ('high', 'medium', 'single-source')"), row("check", "person_identifiers", "id_type", "ids WHERE id_type NOT IN ('email', 'phone')"),
-        *[row("unique", "people", k, twice("people", k)) for k in ("person_id", "primary_email", "primary_phone")], row("unique", "person_identifiers", "id_type,value", twice("ids", "id_type,value")),
+        row("check", "people", "gig_status", "people WHERE gig_status NOT IN ('active', 'inactive', 'paused', 'unknown')"),
+            row("check", "people", "is_verified", "people WHERE is_verified NOT IN (0, 1)"),
+        row("check", "people", "match_confidence", "people WHERE match_confidence NOT IN ('high', 'medium', 'single-source')"),
+            row("check", "person_identifiers", "id_type", "ids WHERE id_type NOT IN ('email', 'phone')"),
+        *[row("unique", "people", k, twice("people", k)) for k in ("person_id", "primary_email", "primary_phone")],
+            row("unique", "person_identifiers", "id_type,value", twice("ids", "id_type,value")),
         row("foreign", "person_identifiers", "person_id", "ids WHERE person_id NOT IN (SELECT c_custkey FROM customer)"),
     ]
     return f"WITH people AS ({_BROKEN['people']}), ids AS ({_BROKEN['person_identifiers']}) " + " UNION ALL ".join(rows)
@@ -594,9 +612,12 @@ SELECT component, count(*) AS customers FROM c GROUP BY component"""
 def queries() -> dict:
     own = {f"{f}_normalize": _normaliser(f) for f in _BUILDERS}
     for f in (
-        confidence_counts, issue_log, issue_counts, issue_topk, severity_pivot, issue_severity_sort, clean_rows, structural_issues, dup_first_wins, union_staged, tier1_edges, tier2_edges, components,
-        person_ids, match_reasons, bridge_guards, near_miss, match_issues, golden_people, golden_identifiers, golden_skills, lineage, constraint_violations, planted_violations, submissions_left_join, find_or_create,
-        people_skills_agg, untagged_people, tag_outcome, tag_update, reply_sanitise, stats_row, summary_text, upload_checks, submissions_display, unique_violations, foreign_orphans, check_violations, sample_measures,
+        confidence_counts, issue_log, issue_counts, issue_topk, severity_pivot, issue_severity_sort, clean_rows, structural_issues, dup_first_wins,
+            union_staged, tier1_edges, tier2_edges, components,
+        person_ids, match_reasons, bridge_guards, near_miss, match_issues, golden_people, golden_identifiers, golden_skills, lineage,
+            constraint_violations, planted_violations, submissions_left_join, find_or_create,
+        people_skills_agg, untagged_people, tag_outcome, tag_update, reply_sanitise, stats_row, summary_text, upload_checks, submissions_display,
+            unique_violations, foreign_orphans, check_violations, sample_measures,
         quality_labels, customer_components,
     ):
         own[f.__name__] = f
@@ -625,7 +646,8 @@ def oracle_sql() -> dict[str, str]:
         "match_issues": _GRAPH + """SELECT issue_type, severity, count(*) AS n FROM (SELECT 'ambiguous_name_match' AS issue_type, 'high' AS severity FROM verdicts WHERE verdict <> 'join' UNION ALL SELECT 'matched_on_name_and_city', 'medium' FROM verdicts WHERE verdict = 'join'
 UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WHERE verdict = 'join' AND n_both > 0) GROUP BY ALL""",
         "submissions_left_join": f"WITH people AS ({_PEOPLE}) SELECT o_orderkey AS submission_id, {_NAMED} AS person_id, full_name AS matched_name, city, CASE WHEN full_name IS NOT NULL THEN 'high' END AS match_confidence FROM orders LEFT JOIN people ON person_id = {_NAMED}",
-        "find_or_create": _FIND_SQL, "people_skills_agg": _SKILL_SQL, "untagged_people": _SKILL_SQL + " WHERE skill_category IS NULL AND skills <> '' ORDER BY person_id LIMIT 100",
+        "find_or_create": _FIND_SQL, "people_skills_agg": _SKILL_SQL,
+            "untagged_people": _SKILL_SQL + " WHERE skill_category IS NULL AND skills <> '' ORDER BY person_id LIMIT 100",
         "tag_outcome": f"WITH people AS ({_PEOPLE}), {_OUTCOMES_SQL} SELECT person_id, skill_category, outcome, count(*) AS n FROM out GROUP BY ALL",
         "tag_update": f"WITH people AS ({_PEOPLE}), {_OUTCOMES_SQL} SELECT person_id, full_name, city, coalesce(m, skill_category) AS skill_category FROM people LEFT JOIN (SELECT person_id, max(skill_category) AS m FROM out WHERE outcome = 'updated' GROUP BY person_id) USING (person_id)",
         "reply_sanitise": _REPLY_SQL, "stats_row": f"SELECT people, submissions, tagged, issues FROM {_STATS_SQL}",
@@ -635,6 +657,7 @@ UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WH
         "unique_violations": "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1",
         "foreign_orphans": f"SELECT o_orderkey, named FROM (SELECT o_orderkey, {_NAMED} AS named FROM orders) WHERE named NOT IN (SELECT c_custkey FROM customer)",
         "check_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
-        "constraint_violations": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS table_name, '{c}' AS key, CAST(0 AS BIGINT) AS n" for k, t, c in store.constraints()),
+        "constraint_violations": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS table_name, '{c}' AS key, CAST(0 AS BIGINT) AS n" for k, t,
+            c in store.constraints()),
         "planted_violations": _broken_sql(), "sample_measures": _SAMPLES_SQL, "quality_labels": _LABEL_SQL, "customer_components": _COMPONENT_SQL,
     }
