@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from kinloom.functions import display as D
 from kinloom.functions import normalise as N
 from kinloom.functions.values import is_blank, ws_collapse, ws_trim
 from kinloom.operators.ranking import numbered
+from kinloom.shared import written
 
 CATEGORIES = ("automation-heavy", "web-dev", "data", "qa-automation", "backend")
 #: Fixed values.
@@ -128,7 +131,23 @@ def apply_tags(people: DataFrame, outcomes: DataFrame, order: str | None = None)
     return people.join(last, "person_id", "left").withColumn("skill_category", F.coalesce("_new", "skill_category")).drop("_new")
 
 
-def classify_untagged(people: DataFrame, classify) -> DataFrame:
+@dataclass(frozen=True)
+class TagFlow:
+    """L1: how a run of the tagging flow goes: people a run (-1: all), tries of a batch."""
+
+    limit: int = 10
+    tries: int = 4
+
+
+def tag_untagged(people: DataFrame, person_skills: DataFrame, skills: DataFrame, classify, flow: TagFlow = TagFlow()) -> tuple[DataFrame, DataFrame]:
+    """(people with new categories, outcomes of the run) of the first untagged people by id."""
+    asked = list_people(people, person_skills, skills, limit=flow.limit, untagged=True)
+    outcomes = tag_outcomes(classify_untagged(asked, classify, flow.tries).where("valid").select("person_id", "skill_category"), people)
+    outcomes = written(outcomes, "tag-outcomes")  # a reply is asked for once
+    return apply_tags(people, outcomes), outcomes
+
+
+def classify_untagged(people: DataFrame, classify, tries: int = 4) -> DataFrame:
     """person_id, raw_reply, skill_category, valid. classify: function from a pandas frame
     with full_name and skills to a series of replies, run on batches in tasks; a batch that keeps
     failing gets empty replies, so those people are skipped and not lost."""
@@ -136,7 +155,7 @@ def classify_untagged(people: DataFrame, classify) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for _ in range(4):
+            for _ in range(tries):
                 try:
                     replies = classify(pdf)
                     break

@@ -324,6 +324,22 @@ def test_linkage(spark):
     assert {r["person_id"]: r["valid"] for r in listed.collect()} == {1: True, 2: False}
 
 
+def test_tagging_flow(spark):
+    """A run takes the first untagged people with skills, and one whose reply names no category is skipped."""
+    people = spark.createDataFrame([(i, f"P {i}", "Pune", "data" if i == 1 else None) for i in range(1, 8)], "person_id long, full_name string, city string, skill_category string")
+    links = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 5, 6, 7)], "person_id long, skill_id long")
+    skills = spark.createDataFrame([(1, "SQL")], "skill_id long, canonical_name string")
+    reply = lambda pdf: pdf["full_name"].map({"P 2": "Backend.", "P 3": "who knows", "P 5": "it is web-dev"}).fillna("data")
+    tagged, outcomes = linkage.tag_untagged(people, links, skills, reply, linkage.TagFlow(limit=3))
+    assert sorted(tuple(r) for r in outcomes.collect()) == [(2, "backend", "updated"), (5, "web-dev", "updated")]
+    assert {r["person_id"]: r["skill_category"] for r in tagged.collect()} == {1: "data", 2: "backend", 3: None, 4: None, 5: "web-dev", 6: None, 7: None}
+
+    def failing(pdf):
+        raise OSError
+
+    assert linkage.tag_untagged(people, links, skills, failing)[1].count() == 0
+
+
 def tone(seconds, rate, amplitude, noise=0.0, bursts=False, channels=1):
     t = np.arange(int(seconds * rate)) / rate
     x = amplitude * np.sin(2 * np.pi * 440 * t) * ((t % 1 < 0.5) if bursts else 1) + noise * np.random.default_rng(1).normal(size=len(t))
