@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: The folders written within each scratch() that is open, innermost last.
-_OPEN: list[list[str]] = []
+#: The folders written within each scratch() that this thread has open, innermost last. A new thread begins without any.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,32 +31,70 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def fresh_path(spark: SparkSession, purpose: str) -> str:
+def fresh_path(spark: SparkSession, purpose: str, keep: bool = False) -> str:
+    """A path that nothing uses; what is written there goes with the innermost scratch(), or with `keep` with the one around it."""
     path = f"{shared_dir(spark)}/kinloom-{purpose}-{uuid.uuid4().hex}"
-    if _OPEN:
-        _OPEN[-1].append(path)
+    around = _OPEN.get()[: -1 if keep else None]
+    if around:
+        around[-1].append(path)
     return path
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+@contextlib.contextmanager
+def _tidy(spark: SparkSession):
+    """Within, shuffle files go when the query that wrote them ends."""
+    old = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN_UP) if old is None else spark.conf.set(_CLEAN_UP, old)
+
+
+def written(df: DataFrame, purpose: str, keep: bool = False, tidy: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: later steps start from files
-    that every executor sees, so a lost executor repeats nothing that came before."""
+    that every executor sees, so a lost executor repeats nothing that came before.
+
+    With `tidy` the shuffle files of the query go with its end, for jobs of many steps over large tables.
+    """
     spark = df.sparkSession
-    path = fresh_path(spark, purpose)
-    df.write.parquet(path)
+    path = fresh_path(spark, purpose, keep)
+    with _tidy(spark) if tidy else contextlib.nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bucketed(df: DataFrame, keys: list[str], purpose: str):
+    """df as a table in the shared folder, in as many buckets by keys as the session has shuffle
+    partitions: joins and groups by the keys do not move its rows again. The table's name goes at the end."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, purpose)
+    name = "kinloom_" + uuid.uuid4().hex
+    with _tidy(spark):
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """What is written to the shared folder within is deleted at the end, unless it ends by an error.
-    Data frames made within must not be read afterwards."""
-    _OPEN.append([])
+    """What this thread writes to the shared folder within is deleted at the end, unless it ends by an
+    error. Data frames made within must not be read afterwards."""
+    paths: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for name in _OPEN[-1]:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(conf).delete(path, True)
+        remove(spark, paths)
     finally:
-        _OPEN.pop()
+        _OPEN.reset(token)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
