@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinloom.llm import bpe, fingerprint, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, sql, toxicity, warc
+from kinloom.llm import ball_search, bpe, collocations, fingerprint, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, sql, suffix_dedup, toxicity, warc
 from kinloom.llm.common import table
 
 
@@ -60,10 +60,30 @@ def op10_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def op12_ball_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_itemset_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = (op1_order_minhash, op2_toxicity_fm, op3_byte_bpe, op4_simhash_ball, op5_line_quality, op6_flow_mixing, op7_warc_bundles, op8_quality_gam, op9_line_windows, op10_lpt_shards)
+    found = (
+        op1_order_minhash, op2_toxicity_fm, op3_byte_bpe, op4_simhash_ball, op5_line_quality, op6_flow_mixing, op7_warc_bundles,
+        op8_quality_gam, op9_line_windows, op10_lpt_shards, op11_suffix_buckets, op12_ball_search, op13_itemset_phrases,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_quality": sql.QUALITY_RULES, "op7_warc_bundles": sql.WARC, "op9_line_windows": sql.LINE_DEDUP}
+    return {
+        "op5_line_quality": sql.QUALITY_RULES, "op7_warc_bundles": sql.WARC, "op9_line_windows": sql.LINE_DEDUP,
+        "op12_ball_search": sql.BALL_SEARCH, "op13_itemset_phrases": sql.COLLOCATIONS,
+    }

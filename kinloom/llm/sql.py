@@ -54,3 +54,37 @@ gone AS (SELECT rid, i FROM later UNION SELECT rid, i2 FROM later UNION SELECT r
 kept AS (SELECT rid, string_agg(raw, chr(10) ORDER BY i) AS text FROM l WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = l.rid AND gone.i = l.i) GROUP BY rid),
 n AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
 SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_lines, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, CASE WHEN sha IS NOT NULL THEN sha256(coalesce(kept.text, '')) END AS kept_sha256 FROM d LEFT JOIN kept USING (rid) LEFT JOIN n USING (rid)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERMS = rf"regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+BALL_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT rid, doc_id, w, len(w) AS n FROM d WHERE len(w) > 0),
+g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM h),
+i AS (SELECT row_number() OVER () AS qid, item_id, list_distinct({_TERMS}) AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT qid, item_id, unnest(w) AS t FROM i),
+tf AS (SELECT rid, t, count(*) AS tf FROM (SELECT rid, unnest(w) AS t FROM h) GROUP BY rid, t),
+wt AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), g),
+x AS (SELECT tf.rid, tf.t, (1000000000 * tf.tf) // (1000 * tf.tf + 20 * (100 - 50 + (50 * h.n * g.docs) // g.terms)) AS x FROM tf JOIN h USING (rid), g),
+s AS (SELECT q.qid, q.item_id, x.rid, CAST(sum(wt.w * x.x) AS BIGINT) AS score FROM q JOIN wt USING (t) JOIN x USING (t) GROUP BY ALL),
+r AS (SELECT s.item_id, h.doc_id, s.score, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, h.doc_id) AS rank FROM s JOIN h USING (rid) WHERE s.score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50"""
+
+_PLAIN = f"translate(text, '{_UPPER}', '{_LOWER}')"
+COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_PLAIN}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, row_number() OVER () AS pid, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, pid, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM w),
+u AS (SELECT lang, w1, lead(w1) OVER q AS w2, lead(w1, 2) OVER q AS w3 FROM t WINDOW q AS (PARTITION BY pid ORDER BY i)),
+g AS (SELECT lang, 1 AS k, w1 AS phrase FROM u UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM u WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM u WHERE w3 IS NOT NULL),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+x AS (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS one, array_to_string(w[cut + 1:k], ' ') AS two FROM c, (VALUES (1), (2)) AS cuts (cut) WHERE cut < k),
+y AS (SELECT x.lang, x.phrase, x.a, cut, l.a AS l, r.a AS r, CAST((CAST(1000000 AS HUGEINT) * x.a * x.a) // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = x.one JOIN f AS r ON r.lang = x.lang AND r.phrase = x.two),
+z AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS place FROM y) WHERE place = 1),
+m AS (SELECT lang, phrase, max(a) AS most FROM (SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM c WHERE k = 3) GROUP BY ALL),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, z.a DESC, z.phrase) AS rank FROM z LEFT JOIN m ON m.lang = z.lang AND m.phrase = z.phrase WHERE most IS NULL OR 100 * most < 50 * z.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
