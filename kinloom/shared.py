@@ -51,6 +51,12 @@ def _tidy(spark: SparkSession):
         spark.conf.unset(_CLEAN_UP) if old is None else spark.conf.set(_CLEAN_UP, old)
 
 
+def write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Write df as Parquet, in a folder for each value of the columns `by`; its shuffle files go with the query."""
+    with _tidy(df.sparkSession):
+        df.write.partitionBy(*by).option("compression", "zstd").parquet(path)
+
+
 def written(df: DataFrame, purpose: str, keep: bool = False, tidy: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: later steps start from files
     that every executor sees, so a lost executor repeats nothing that came before.
@@ -59,8 +65,7 @@ def written(df: DataFrame, purpose: str, keep: bool = False, tidy: bool = False)
     """
     spark = df.sparkSession
     path = fresh_path(spark, purpose, keep)
-    with _tidy(spark) if tidy else contextlib.nullcontext():
-        df.write.parquet(path)
+    write(df, path) if tidy else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
