@@ -14,6 +14,7 @@ have seen. Counters are grouped by their text after a task has summed its own.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -30,8 +31,10 @@ TOP = 2000
 SHARDS = 3
 #: A candidate with LEAST_SHARE percent of its occurrences in a longer one goes.
 LEAST_SHARE = 50
-#: Bytes of text whose phrases a task sums at a time; bits of a filter for each phrase, and at most.
-CHUNK, BITS_EACH, MOST_BITS = 4 << 20, 16, 1 << 27
+#: Bytes of text whose phrases a task sums at a time; bits of a filter for each phrase of its first scan, and at most.
+CHUNK, BITS_EACH, MOST_BITS = 2 << 20, 32, 1 << 27
+#: Rows, or phrases, that are turned into other forms at a time.
+SLICE, PIECE = 512, 1 << 16
 
 _MAP = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c for c in range(256))
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
@@ -42,7 +45,7 @@ def _chunks(batches):
     """(langs, bytes, where each text begins) of about CHUNK bytes; texts end by a line feed. Longer texts
     are cut at ends of pieces, which no phrase crosses."""
     langs, texts, size = [], [], 0
-    for batch in batches:
+    for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             a = 0
             while a < len(text):
@@ -93,8 +96,8 @@ class Words:
         plain = np.ones(len(first), bool)
         for j in range(k - 1):
             plain &= self.begin[first + j + 1] - self.end[first + j] == 1
-        at = np.flatnonzero(plain)
-        if len(at):
+        every = np.flatnonzero(plain)
+        for at in (every[a : a + PIECE] for a in range(0, len(every), PIECE)):
             length = (end - begin)[at]
             offset = np.concatenate([[0], np.cumsum(length)])
             place = np.arange(offset[-1]) - np.repeat(offset[:-1] - begin[at], length)
@@ -128,14 +131,15 @@ class Filter:
         return out
 
 
-def _filter(phrases: DataFrame, k: int) -> Filter | None:
-    """Of phrases (lang, phrase) of k words; None if there are none. At most MOST_BITS bits reach the driver."""
-    n = phrases.count()
-    if not n:
-        return None
-    n_bits = 1 << 12
+def _n_bits(phrases: DataFrame) -> int:
+    n_bits, n = 1 << 12, phrases.count()
     while n_bits < min(BITS_EACH * n, MOST_BITS):
         n_bits *= 2
+    return n_bits
+
+
+def _filter(phrases: DataFrame, k: int, n_bits: int) -> Filter | None:
+    """Of phrases (lang, phrase) of k words; None if there are none. Its bits, MOST_BITS at most, reach the driver."""
 
     def run(batches):
         roller = Roller(13)
@@ -149,6 +153,8 @@ def _filter(phrases: DataFrame, k: int) -> Filter | None:
             yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["w", "b"])
 
     found = phrases.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    if not found.num_rows:
+        return None
     bits = np.zeros(n_bits // 64, np.int64)
     bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
     return Filter(bits.view(np.uint8))
@@ -193,22 +199,39 @@ def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], longest: int
     return run
 
 
-def _added(old: DataFrame | None, new: DataFrame, shard: int, step: int, least: int) -> DataFrame:
-    """Counters (lang, phrase, a, seen: bits of the shards counted, since: the scan after which a >= least)."""
-    rows = new.select("lang", "phrase", F.lit(None).cast("long").alias("a"), F.lit(0).alias("seen"), F.lit(None).cast("int").alias("since"), "c")
+def _meta() -> Column:
+    """since, begun (scans) and seen (bits of shards) of a counter in one number, which is above zero."""
+    since = F.coalesce(F.col("since") + 1, F.lit(0)).cast("long")
+    return (since * F.lit(1 << 48) + (F.col("begun") + 1).cast("long") * F.lit(1 << 32) + F.col("seen")).alias("meta")
+
+
+def _added(old: DataFrame | None, new: DataFrame, shards: int, step: int, least: int) -> DataFrame:
+    """Counters (lang, phrase, k, a, seen: bits of the shards counted, begun: the scan first counted in, since:
+    the scan after which a >= least) after scan `step` with the counts c of `new`. Of pairs first counted in scan 1,
+    which are most, those that stayed below go after a circle: up to there filters only grow, so what one of
+    them let pass, rightly or not, was counted in every scan since."""
+    rows = new.select("lang", "phrase", "k", F.lit(0).cast("long").alias("a"), "c", F.lit(0).cast("long").alias("meta"))
     if old is not None:
-        rows = rows.unionByName(old.select("*", F.lit(None).cast("long").alias("c")))
-    sums = rows.groupBy("lang", "phrase").agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.sum("c").alias("c"), F.max("seen").alias("seen"), F.min("since").alias("since"))
-    fresh = F.col("c").isNotNull() & (F.col("seen").bitwiseAND(F.lit(1 << shard)) == 0)
-    a = F.col("a") + F.when(fresh, F.col("c")).otherwise(0)
-    return sums.select("lang", "phrase", a.alias("a"), F.when(fresh, F.col("seen").bitwiseOR(F.lit(1 << shard))).otherwise(F.col("seen")).alias("seen"), F.coalesce("since", F.when(a >= least, F.lit(step))).alias("since"))
+        rows = rows.unionByName(old.select("lang", "phrase", "k", "a", F.lit(0).cast("long").alias("c"), _meta()))
+    sums = rows.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a"), F.sum("c").alias("c"), F.max("meta").alias("meta"))
+    bit = F.lit(1 << step % shards)
+    seen = (F.col("meta") % F.lit(1 << 32)).cast("int")
+    fresh = (F.col("c") > 0) & (seen.bitwiseAND(bit) == 0)
+    begun = (F.shiftright("meta", 32) % F.lit(1 << 16)).cast("int") - 1
+    sums = sums.select(
+        "lang", "phrase", "k", (F.col("a") + F.when(fresh, F.col("c")).otherwise(0)).alias("a"), F.when(fresh, seen.bitwiseOR(bit)).otherwise(seen).alias("seen"),
+        F.when(begun < 0, F.lit(step)).otherwise(begun).alias("begun"), (F.shiftright("meta", 48).cast("int") - 1).alias("since"),
+    )
+    since = F.when(F.col("since") >= 0, F.col("since")).when(F.col("a") >= least, F.lit(step))
+    out = sums.withColumn("since", since)
+    return out.where((F.col("k") != 2) | (F.col("begun") != 1) | F.col("since").isNotNull()) if step == shards else out
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: int) -> str:
     """Folder of the documents' lower-cased bytes with pieces and words marked, by shard."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, SLICE) for b in batches for a in range(0, b.num_rows, SLICE)):
             texts = [t.encode("utf-8", "surrogatepass").translate(_MAP) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("shard"), pa.array(texts, pa.binary())], ["lang", "shard", "text"])
 
@@ -227,33 +250,38 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         raise ValueError("counters have bits for 31 shards")
     spark = docs.sparkSession
     folder = _dealt(docs, id_col, text_col, lang_col, shards)
-    kinds, paths = "lang string, phrase string, a long, seen int, since int", {}
-    table = lambda k: spark.read.schema(kinds).parquet(paths[k])
+    kinds, paths, often, n_bits = "lang string, phrase string, a long, seen int, begun int, since int", {}, {}, {}
+
+    def table(k: int) -> DataFrame:
+        return spark.read.schema(kinds).parquet(paths[k]).withColumn("k", F.lit(k))
+
     for step in count():
         known = {}
-        for k in range(1, longest):
-            if k in paths:
-                often = table(k).where("since IS NOT NULL").select("lang", "phrase", "since")
-                newly = _filter(often.where(F.col("since") >= step - shards), k)
-                if newly:
-                    known[k] = (newly if step <= shards else _filter(often, k), newly)
+        for k in often:
+            newly = _filter(often[k].where(F.col("since") >= step - shards), k, n_bits[k])
+            if newly:
+                known[k] = (newly if step <= shards else _filter(often[k], k, n_bits[k]), newly)
         if step >= shards and not known:
             break
         grown = ([1] if step < shards else []) + [k + 1 for k in known]
         # Phrases of k + 1 words are looked for among those of k, so lengths below go along without new ones of their own.
         for k in range(1, max(known, default=1)):
             if k not in known:
-                known[k] = (_filter(table(k).where("since IS NOT NULL"), k), Filter(np.zeros(512, np.uint8)))
-        shard = step % shards
-        scanned = spark.read.schema("lang string, text binary").parquet(f"{folder}/shard={shard}") if _exists(spark, f"{folder}/shard={shard}") else spark.createDataFrame([], "lang string, text binary")
-        # Summed by task before the shuffle; the lengths share a scan.
-        new = written(scanned.mapInArrow(_scan(step < shards, known, longest), _KINDS).groupBy("lang", "phrase", "k").agg(F.sum("c").alias("c")), "counts", tidy=True)
+                known[k] = (_filter(often[k], k, n_bits[k]), Filter(np.zeros(512, np.uint8)))
+        shard = f"{folder}/shard={step % shards}"
+        scanned = spark.read.schema("lang string, text binary").parquet(shard) if _exists(spark, shard) else spark.createDataFrame([], "lang string, text binary")
+        old = [table(k) for k in grown if k in paths]
+        new = scanned.mapInArrow(_scan(step < shards, known, longest), _KINDS)
+        path = fresh_path(spark, "counters")
+        write(_added(reduce(DataFrame.unionByName, old) if old else None, new, shards, step, least), path, ("k",))
+        remove(spark, [paths.pop(k) for k in grown if k in paths])
         for k in grown:
-            path = fresh_path(spark, f"counters-{k}")
-            write(_added(table(k) if k in paths else None, new.where(F.col("k") == k), shard, step, least), path)
-            if k in paths:
-                remove(spark, [paths[k]])
-            paths[k] = path
+            if _exists(spark, f"{path}/k={k}"):
+                paths[k] = f"{path}/k={k}"
+                if k < longest:
+                    often[k] = written(table(k).where("since IS NOT NULL").select("lang", "phrase", "since"), "often")
+                    if k not in n_bits:
+                        n_bits[k] = _n_bits(often[k])
     empty = spark.createDataFrame([], "lang string, phrase string, a long")
     out = {k: (table(k).select("lang", "phrase", "a") if k in paths else empty) for k in range(1, longest + 1)}
     return {k: df if k == 1 else df.where(F.col("a") >= least) for k, df in out.items()}, step
