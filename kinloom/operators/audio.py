@@ -19,6 +19,8 @@ MEASURES = (
     "duration_sec double, sample_rate_hz int, bitrate_kbps double, channels int, codec string, size_bytes long, loudness_dbfs double, peak_dbfs double, "
     "loudness_lufs double, noise_floor_dbfs double, snr_db double, clipping_pct double, bitrate_source string, analysis_error string"
 )
+#: Fixed value: the verdict on a recording whose noise cannot be told from its signal.
+UNMEASURED = "unknown (SNR not measurable - continuous audio with no pauses)"
 CODECS = {1: "pcm_u8", 2: "pcm_s16le", 3: "pcm_s24le", 4: "pcm_s32le"}
 
 
@@ -139,7 +141,7 @@ def quality_label(snr: Column, clipping: Column, loudness: Column) -> Column:
     text = lambda label, r: F.concat(F.lit(f"{label} ("), F.array_join(r, ", "), F.lit(")"))
     unusable = snr.isNull() | (snr < 3)
     return (
-        F.when(unusable & (F.size(without) > 0), text("poor", without)).when(unusable, "unknown (no pauses to measure noise in)")
+        F.when(unusable & (F.size(without) > 0), text("poor", without)).when(unusable, UNMEASURED)
         .when(F.size(all_) == 0, F.when(snr >= 25, "good").otherwise("fair")).when(F.size(all_) == 1, text("fair", all_)).otherwise(text("poor", all_))
     )
 

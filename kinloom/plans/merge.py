@@ -61,11 +61,11 @@ def run(spark: SparkSession, paths: dict[str, str], out: str, specs: tuple[Sourc
     """
     with scratch(spark):
         merged = merge_files(spark, paths, specs)
-        store.rebuild(spark, f"{out}/store", merged.tables)
+        version = store.rebuild(spark, f"{out}/store", merged.tables)
         store.write_csv_report(report.sorted_issues(merged.tables["data_issues"]), f"{out}/reports/data_issues")
         store.write_review(merged.review, f"{out}/reports/review_queue")
         store.write_review(merged.candidates, f"{out}/reports/review_candidates")
-    tables = {t: store.current(spark, f"{out}/store", t) for t in merged.tables}
+    tables = store.snapshot(spark, f"{out}/store", version).tables()
     review, candidates = (spark.read.schema(df.schema).json(f"{out}/reports/{name}") for df,
         name in ((merged.review, "review_queue"), (merged.candidates, "review_candidates")))
     return Merged(tables["person_sources"], tables, review, None, candidates)

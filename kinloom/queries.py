@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinloom.functions import normalise as N
-from kinloom.operators import audio, linkage, resolve, structural
+from kinloom.operators import audio, linkage, quantile, resolve, samples, structural
 from kinloom.operators.components import connected_components
 from kinloom.operators.staging import stage_all
 from kinloom.plans import merge, report, store
@@ -589,10 +589,69 @@ def quality_labels(spark, sf_dir):
 
 _LEVELS = "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 3 THEN NULL ELSE l_quantity - 2 END AS snr, l_discount * 20 AS clip, -l_tax * 700 AS loud FROM lineitem"
 _LABEL_SQL = f"""WITH m AS ({_LEVELS}), r AS (SELECT *, concat_ws(', ', CASE WHEN clip > 1 THEN 'clipped' END, CASE WHEN loud < -45 THEN 'very quiet' END) AS w, concat_ws(', ', CASE WHEN clip > 1 THEN 'clipped' END, CASE WHEN loud < -45 THEN 'very quiet' END, CASE WHEN snr < 10 THEN 'noisy' END) AS a FROM m)
-SELECT l_orderkey, l_linenumber, CASE WHEN snr IS NULL OR snr < 3 THEN CASE WHEN w <> '' THEN concat('poor (', w, ')') ELSE 'unknown (no pauses to measure noise in)' END WHEN a = '' THEN CASE WHEN snr >= 25 THEN 'good' ELSE 'fair' END
+SELECT l_orderkey, l_linenumber, CASE WHEN snr IS NULL OR snr < 3 THEN CASE WHEN w <> '' THEN concat('poor (', w, ')') ELSE 'unknown (SNR not measurable - continuous audio with no pauses)' END WHEN a = '' THEN CASE WHEN snr >= 25 THEN 'good' ELSE 'fair' END
 WHEN NOT contains(a, ', ') THEN concat('fair (', a, ')') ELSE concat('poor (', a, ')') END AS label FROM r"""
 
 
+def price_ranks(spark, sf_dir):
+    """A13 over rows: the tenth, half and nine tenths of prices by return flag, of which one has half of all rows."""
+    return quantile.nearest_ranks(_table(spark, sf_dir, "lineitem"), "l_returnflag", "l_extendedprice", (0.1, 0.5, 0.9))
+
+
+_RANKS_SQL = """
+WITH s AS (
+  SELECT l_returnflag, CAST(l_extendedprice AS DOUBLE) AS value, count(*) OVER (PARTITION BY l_returnflag) AS n,
+    row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS place
+  FROM lineitem WHERE l_extendedprice IS NOT NULL
+)
+SELECT l_returnflag, share, n, value FROM s, (VALUES (0.1), (0.5), (0.9)) AS p (share)
+WHERE place = least(n - 1, CAST(floor(CAST(share AS DOUBLE) * n) AS BIGINT))"""
+
+
+#: Events as samples, 3,000 to a recording.
+_TAKE, _TAKE_FRAME = 3000, 20
+
+
+def _takes(spark, sf_dir):
+    place = F.col("event_id")
+    return _table(spark, sf_dir, "events").select(F.floor(place / _TAKE).alias("take"), (place % _TAKE).alias("i"), (F.col("value") / 50 - 1).alias("v"))
+
+
+def take_measures(spark, sf_dir):
+    """G3 to G7 over rows of samples."""
+    m = samples.measures(_takes(spark, sf_dir), "take", "i", "v", _TAKE_FRAME)
+    return m.select("recording", "samples", "frames", *[F.round(c, 4).alias(c) for c in ("rms_db", "peak_db", "clip_pct", "noise_db", "snr_db")])
+
+
+def _db_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 0 THEN greatest(-120.0, 20 * log10({x})) ELSE -120.0 END"
+
+
+_TAKES_SQL = f"""
+WITH v AS (SELECT event_id // {_TAKE} AS recording, event_id % {_TAKE} AS i, value / 50 - 1 AS v FROM events WHERE value IS NOT NULL),
+f AS (SELECT recording, i // {_TAKE_FRAME} AS frame, {_db_sql("sqrt(sum(v * v) / count(*))")} AS level FROM v GROUP BY ALL HAVING count(*) = {_TAKE_FRAME}),
+l AS (SELECT *, row_number() OVER (PARTITION BY recording ORDER BY level) - 1 AS place, count(*) OVER (PARTITION BY recording) AS n FROM f),
+r AS (
+  SELECT recording, max(level) FILTER (place = least(n - 1, n // 10)) AS noise, max(level) FILTER (place = least(n - 1, CAST(floor(0.9::DOUBLE * n) AS BIGINT))) AS signal
+  FROM l WHERE n >= 5 GROUP BY recording
+),
+c AS (SELECT recording, count(*) AS frames FROM f GROUP BY recording),
+t AS (
+  SELECT recording, count(*) AS samples, {_db_sql("sqrt(sum(v * v) / count(*))")} AS rms, {_db_sql("max(abs(v))")} AS peak, 100.0 * count(*) FILTER (abs(v) >= 0.99) / count(*) AS clip
+  FROM v GROUP BY recording
+)
+SELECT recording, samples, coalesce(frames, 0) AS frames, round(rms, 4) AS rms_db, round(peak, 4) AS peak_db, round(clip, 4) AS clip_pct,
+  round(noise, 4) AS noise_db, round(signal - noise, 4) AS snr_db
+FROM t LEFT JOIN c USING (recording) LEFT JOIN r USING (recording)"""
+
+
+def event_loudness(spark, sf_dir):
+    """G8 over rows of samples: events at 8 kHz, 20,000 to a recording. No SQL: the filter is recursive."""
+    place, size = F.col("event_id"), 20_000
+    takes = _table(spark, sf_dir, "events").select(F.floor(place / size).alias("take"), F.lit(0).alias("c"), (place % size).alias("i"), (F.col("value") / 50 - 1).alias("v"))
+    return samples.loudness(takes, "take", "c", "i", "v", 8000)
+
+
 #: Customers are linked to the first who got the same part shipped on the same day.
 _PARTNERS = """k AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p, CAST(l_shipdate AS DATE) AS d FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
 f AS (SELECT p, d, min(c) AS src FROM k GROUP BY p, d), e AS (SELECT DISTINCT src, c AS dst FROM k JOIN f USING (p, d) WHERE c > src)"""
@@ -618,7 +677,7 @@ def queries() -> dict:
             constraint_violations, planted_violations, submissions_left_join, find_or_create,
         people_skills_agg, untagged_people, tag_outcome, tag_update, reply_sanitise, stats_row, summary_text, upload_checks, submissions_display,
             unique_violations, foreign_orphans, check_violations, sample_measures,
-        quality_labels, customer_components,
+        quality_labels, customer_components, price_ranks, take_measures, event_loudness,
     ):
         own[f.__name__] = f
     return own
@@ -659,5 +718,5 @@ UNION ALL SELECT 'name_city_shared_with_third_person', 'medium' FROM verdicts WH
         "check_violations": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F', 'O')",
         "constraint_violations": " UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS table_name, '{c}' AS key, CAST(0 AS BIGINT) AS n" for k, t,
             c in store.constraints()),
-        "planted_violations": _broken_sql(), "sample_measures": _SAMPLES_SQL, "quality_labels": _LABEL_SQL, "customer_components": _COMPONENT_SQL,
+        "planted_violations": _broken_sql(), "sample_measures": _SAMPLES_SQL, "quality_labels": _LABEL_SQL, "price_ranks": _RANKS_SQL, "take_measures": _TAKES_SQL, "customer_components": _COMPONENT_SQL,
     }
