@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from kinloom.llm.common import n_words
 from kinloom.shared import written
 
-#: A hash has BITS * LEVELS bits; a histogram that reaches the driver has 2^BITS counts a stretch.
-BITS, LEVELS = 10, 6
+#: A hash has BITS * LEVELS bits; a histogram that reaches the driver has 2^BITS counts for each end of a stretch.
+BITS, LEVELS = 5, 12
 HASHES = 1 << BITS * LEVELS
 #: The bound on patterns of two and more sources, the largest; rows of others count as of their own source alone.
-MAX_PATTERNS = 256
+#: With so many over 40 sources the flow takes the driver half a second, with four times as many five seconds.
+MAX_PATTERNS = 1 << 12
 
 
 def fill_targets(sizes: dict, weights: dict, total: float, cap: float = 3.0) -> dict:
@@ -55,43 +56,56 @@ def cycled_weights(sources, cycle=(5, 2, 1)) -> dict:
 
 @dataclass
 class Flow:
-    """Min-cost flow by successive shortest paths over a handful of nodes."""
+    """Maximum flow by shortest augmenting paths (Dinic), to which capacity may be added and more sent."""
 
-    arcs: list = field(default_factory=list)
+    ends: list = field(default_factory=list)
+    room: list = field(default_factory=list)
     out: dict = field(default_factory=lambda: defaultdict(list))
 
-    def arc(self, a, b, capacity: int, cost: int) -> int:
-        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.arcs))
-            self.arcs.append([y, c, w])
-        return len(self.arcs) - 2
+    def arc(self, a, b, capacity: int) -> int:
+        for x, y, c in ((a, b, capacity), (b, a, 0)):
+            self.out[x].append(len(self.ends))
+            self.ends.append(y)
+            self.room.append(c)
+        return len(self.ends) - 2
 
     def used(self, i: int) -> int:
-        return self.arcs[i ^ 1][1]
-
-    def run(self, start, end) -> None:
-        while True:
-            best, via, queue, queued = {start: 0}, {}, deque([start]), {start}
-            while queue:
-                x = queue.popleft()
-                queued.discard(x)
-                for i in self.out[x]:
-                    y, c, w = self.arcs[i]
-                    if c > 0 and best[x] + w < best.get(y, 1 << 60):
-                        best[y], via[y] = best[x] + w, i
-                        if y not in queued:
-                            queue.append(y)
-                            queued.add(y)
-            if end not in via:
-                return
-            path, y = [], end
-            while y != start:
-                path.append(via[y])
-                y = self.arcs[via[y] ^ 1][0]
-            room = min(self.arcs[i][1] for i in path)
-            for i in path:
-                self.arcs[i][1] -= room
-                self.arcs[i ^ 1][1] += room
+        return self.room[i ^ 1]
+
+    def _depths(self, start, end) -> dict:
+        depth, queue = {start: 0}, deque([start])
+        while queue:
+            x = queue.popleft()
+            for i in self.out[x]:
+                y = self.ends[i]
+                if self.room[i] > 0 and y not in depth:
+                    depth[y] = depth[x] + 1
+                    queue.append(y)
+        return depth
+
+    def send(self, start, end) -> None:
+        while end in (depth := self._depths(start, end)):
+            at, path, x = defaultdict(int), [], start
+            while True:
+                if x == end:
+                    least = min(self.room[i] for i in path)
+                    for i in path:
+                        self.room[i] -= least
+                        self.room[i ^ 1] += least
+                    full = next(k for k, i in enumerate(path) if not self.room[i])
+                    x = self.ends[path[full] ^ 1]
+                    del path[full:]
+                arcs = self.out[x]
+                while at[x] < len(arcs) and not (self.room[arcs[at[x]]] > 0 and depth.get(self.ends[arcs[at[x]]]) == depth[x] + 1):
+                    at[x] += 1
+                if at[x] < len(arcs):
+                    path.append(arcs[at[x]])
+                    x = self.ends[path[-1]]
+                elif path:
+                    x = self.ends[path.pop() ^ 1]
+                    at[x] += 1
+                else:
+                    break
 
 
 def readings(distinct: int, most: int) -> list[int]:
@@ -111,14 +125,18 @@ def route(words: dict, distinct: dict, quotas: dict, repeats: int = 3) -> dict:
     times its words, at the least cost."""
     net, links, total = Flow(), {}, defaultdict(int)
     for (p, s), n in words.items():
-        links[p, s] = net.arc(("p", p), ("s", s), repeats * n, 0)
+        links[p, s] = net.arc(("p", p), ("s", s), repeats * n)
         total[p] += repeats * n
-    for p, most in total.items():
-        for cost, width in enumerate(readings(distinct[p], most)):
-            net.arc("start", ("p", p), width, cost)
     for s, q in quotas.items():
-        net.arc(("s", s), "end", round(q), 0)
-    net.run("start", "end")
+        net.arc(("s", s), "end", round(q))
+    steps = {p: readings(distinct[p], most) for p, most in total.items()}
+    # Only the arcs into patterns cost, a step as much as its number, and what patterns can send is a
+    # polymatroid: to send all that goes through at one cost before the next is of least cost in all.
+    for step in range(max(map(len, steps.values()), default=0)):
+        for p, widths in steps.items():
+            if step < len(widths):
+                net.arc("start", ("p", p), widths[step])
+        net.send("start", "end")
     return {k: net.used(i) for k, i in links.items()}
 
 

@@ -482,6 +482,24 @@ def test_targets():
     assert mixing.cycled_weights(["b", None, "a", "c"]) == {"a": 5, "b": 2, "c": 1, None: 5}
 
 
+def test_every_pattern_of_many_is_routed(spark):
+    """325 patterns, each pair of 26 sources with two texts of its own: sources end within a document of their targets."""
+    rng, rows = random.Random(12), []
+    for a, b in itertools.combinations("abcdefghijklmnopqrstuvwxyz", 2):
+        for k in range(2):
+            text = f"{a}{b}{k} " + " ".join(rng.choice(WORDS) for _ in range(rng.randint(5, 49)))
+            rows += [(len(rows), text, a), (len(rows) + 1, text, b)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4), F.col("source")).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["size"] * r["copies"]
+        target[r["source"]] = r["target"]
+    assert len(got) == len(rows) and max(r["copies"] for r in got) <= 3
+    # A stretch ends within half a document of its place, and a source has a stretch in each of 25 patterns.
+    assert all(abs(taken[s] - t) <= 25 * 25 for s, t in target.items())
+    assert sum(abs(taken[s] - t) for s, t in target.items()) <= 26 * 50
+
+
 def test_mixing(docs, rows, empty):
     def run():
         return mixing.mix(docs, F.col("source")).collect()
