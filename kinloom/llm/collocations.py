@@ -108,6 +108,17 @@ class Words:
             yield at, pa.array([words(i).decode("utf-8", "surrogatepass") for i in first[at]], pa.utf8())
 
 
+def _unique(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each different value a place where it is and its count; and for each place the value's number."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], np.diff(np.append(np.flatnonzero(new), len(x))), number
+
+
 def _joined(h: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Hash of a phrase lengthened by a word or phrase."""
     return mixed(h * _NEXT + more)
@@ -176,7 +187,7 @@ def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], longest: int
                     columns = [pa.array(w.langs.tolist(), pa.utf8()).take(pa.array(w.lang[first[at]])), text, pa.array(np.full(len(at), k, np.int32)), pa.array(counts[at])]
                     yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "c"])
 
-            _, first, own, n = np.unique(w.h, return_index=True, return_inverse=True, return_counts=True)
+            first, n, own = _unique(w.h)
             if words_too:
                 yield from emit(first, n, 1)
             # own: the exact number of the phrase of k words at word `at` here; h: its hash.
@@ -190,41 +201,41 @@ def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], longest: int
                 # A longer phrase is told by its first subphrase and the next, which shares all but the ends.
                 key = own[both].astype(np.int64) << 32 | own[both + 1]
                 active = new[both] | new[both + 1]
-                found, first, n = np.unique(key[active], return_index=True, return_counts=True)
-                if len(found):
+                first, n, _ = _unique(key[active])
+                if len(first):
                     yield from emit(at[both][active][first], n, k + 1)
-                own = np.unique(key, return_inverse=True)[1]
+                own = _unique(key)[2]
                 at, h, k = at[both], _joined(h[both], w.h[at[both] + k]), k + 1
 
     return run
 
 
-def _meta() -> Column:
-    """since, begun (scans) and seen (bits of shards) of a counter in one number, which is above zero."""
-    since = F.coalesce(F.col("since") + 1, F.lit(0)).cast("long")
-    return (since * F.lit(1 << 48) + (F.col("begun") + 1).cast("long") * F.lit(1 << 32) + F.col("seen")).alias("meta")
+#: What a counter's meta holds besides its number of words, by the bits above which it stands: seen (bits of the
+#: shards counted), begun (the scan first counted in, plus 1), since (the scan after which a >= least, plus 1).
+_SEEN, _BEGUN, _SINCE = 5, 36, 48
+
+
+def _bits(name: str, low: int, high: int = 63) -> Column:
+    return F.shiftright(name, low) % F.lit(1 << high - low)
 
 
 def _added(old: DataFrame | None, new: DataFrame, shards: int, step: int, least: int) -> DataFrame:
-    """Counters (lang, phrase, k, a, seen: bits of the shards counted, begun: the scan first counted in, since:
-    the scan after which a >= least) after scan `step` with the counts c of `new`. Of pairs first counted in scan 1,
-    which are most, those that stayed below go after a circle: up to there filters only grow, so what one of
-    them let pass, rightly or not, was counted in every scan since."""
-    rows = new.select("lang", "phrase", "k", F.lit(0).cast("long").alias("a"), "c", F.lit(0).cast("long").alias("meta"))
+    """Counters (lang, phrase, a, meta, k, since) after scan `step` with the counts c of `new`. Of pairs first
+    counted in scan 1, which are most, those that stayed below go after a circle: up to there filters only grow,
+    so what one of them let pass, rightly or not, was counted in every scan since."""
+    rows = new.select("lang", "phrase", F.lit(0).cast("long").alias("a"), "c", F.col("k").cast("long").alias("meta"))
     if old is not None:
-        rows = rows.unionByName(old.select("lang", "phrase", "k", "a", F.lit(0).cast("long").alias("c"), _meta()))
-    sums = rows.groupBy("lang", "phrase", "k").agg(F.sum("a").alias("a"), F.sum("c").alias("c"), F.max("meta").alias("meta"))
-    bit = F.lit(1 << step % shards)
-    seen = (F.col("meta") % F.lit(1 << 32)).cast("int")
-    fresh = (F.col("c") > 0) & (seen.bitwiseAND(bit) == 0)
-    begun = (F.shiftright("meta", 32) % F.lit(1 << 16)).cast("int") - 1
-    sums = sums.select(
-        "lang", "phrase", "k", (F.col("a") + F.when(fresh, F.col("c")).otherwise(0)).alias("a"), F.when(fresh, seen.bitwiseOR(bit)).otherwise(seen).alias("seen"),
-        F.when(begun < 0, F.lit(step)).otherwise(begun).alias("begun"), (F.shiftright("meta", 48).cast("int") - 1).alias("since"),
-    )
-    since = F.when(F.col("since") >= 0, F.col("since")).when(F.col("a") >= least, F.lit(step))
-    out = sums.withColumn("since", since)
-    return out.where((F.col("k") != 2) | (F.col("begun") != 1) | F.col("since").isNotNull()) if step == shards else out
+        rows = rows.unionByName(old.select("lang", "phrase", "a", F.lit(0).cast("long").alias("c"), "meta"))
+    # The meta of an old counter is above that of a new count, which is its number of words alone.
+    sums = rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.sum("c").alias("c"), F.max("meta").alias("meta"))
+    bit = F.lit(1 << _SEEN + step % shards)
+    fresh = (F.col("c") > 0) & (F.col("meta").bitwiseAND(bit) == 0)
+    first = F.when(F.col("meta") < 1 << _BEGUN, F.lit((step + 1) << _BEGUN)).otherwise(F.lit(0))
+    sums = sums.select("lang", "phrase", (F.col("a") + F.when(fresh, F.col("c")).otherwise(0)).alias("a"), (F.col("meta") + F.when(fresh, bit).otherwise(F.lit(0)) + first).alias("meta"))
+    now = (F.col("a") >= least) & (F.col("meta") < 1 << _SINCE)
+    sums = sums.withColumn("meta", F.col("meta") + F.when(now, F.lit((step + 1) << _SINCE)).otherwise(F.lit(0)))
+    out = sums.withColumn("k", _bits("meta", 0, _SEEN).cast("int")).withColumn("since", (_bits("meta", _SINCE) - 1).cast("int"))
+    return out.where((F.col("k") != 2) | (_bits("meta", _BEGUN, _SINCE) != 2) | (F.col("since") >= 0)) if step == shards else out
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: int) -> str:
@@ -246,14 +257,16 @@ def _dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: i
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS) -> tuple[dict[int, DataFrame], int]:
     """Counters (lang, phrase, a) by number of words, and the scans it took: of all words, and of longer phrases
     that occur `least` times or more. To be called within a scratch(), as its files go with that."""
-    if not 1 <= shards <= 31:
-        raise ValueError("counters have bits for 31 shards")
+    if not (1 <= shards <= 31 and 1 <= longest <= 31):
+        raise ValueError("counters have bits for 31 shards and phrases of 31 words")
     spark = docs.sparkSession
     folder = _dealt(docs, id_col, text_col, lang_col, shards)
-    kinds, paths, often, n_bits = "lang string, phrase string, a long, seen int, begun int, since int", {}, {}, {}
+    kinds, paths, often, n_bits = "lang string, phrase string, a long, meta long, k int, since int", {}, {}, {}
 
-    def table(k: int) -> DataFrame:
-        return spark.read.schema(kinds).parquet(paths[k]).withColumn("k", F.lit(k))
+    def tables(lengths: list[int]) -> DataFrame | None:
+        """Counters of some lengths; a scan's counters of all lengths lie together."""
+        found = [spark.read.schema(kinds).parquet(p).where(F.col("k").isin(*[k for k in lengths if paths.get(k) == p])) for p in sorted({paths[k] for k in lengths if k in paths})]
+        return reduce(DataFrame.unionByName, found) if found else None
 
     for step in count():
         known = {}
@@ -270,20 +283,18 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 known[k] = (_filter(often[k], k, n_bits[k]), Filter(np.zeros(512, np.uint8)))
         shard = f"{folder}/shard={step % shards}"
         scanned = spark.read.schema("lang string, text binary").parquet(shard) if _exists(spark, shard) else spark.createDataFrame([], "lang string, text binary")
-        old = [table(k) for k in grown if k in paths]
         new = scanned.mapInArrow(_scan(step < shards, known, longest), _KINDS)
-        path = fresh_path(spark, "counters")
-        write(_added(reduce(DataFrame.unionByName, old) if old else None, new, shards, step, least), path, ("k",))
-        remove(spark, [paths.pop(k) for k in grown if k in paths])
+        path, before = fresh_path(spark, "counters"), set(paths.values())
+        write(_added(tables(grown), new, shards, step, least), path)
+        paths |= dict.fromkeys(grown, path)
+        remove(spark, sorted(before - set(paths.values())))
+        reached = written(tables(grown).where((F.col("since") >= 0) & (F.col("k") < longest)).select("lang", "phrase", "k", "since"), "often")
         for k in grown:
-            if _exists(spark, f"{path}/k={k}"):
-                paths[k] = f"{path}/k={k}"
-                if k < longest:
-                    often[k] = written(table(k).where("since IS NOT NULL").select("lang", "phrase", "since"), "often")
-                    if k not in n_bits:
-                        n_bits[k] = _n_bits(often[k])
-    empty = spark.createDataFrame([], "lang string, phrase string, a long")
-    out = {k: (table(k).select("lang", "phrase", "a") if k in paths else empty) for k in range(1, longest + 1)}
+            if k < longest:
+                often[k] = reached.where(F.col("k") == k)
+                n_bits[k] = n_bits.get(k) or _n_bits(often[k])
+    empty = spark.createDataFrame([], kinds)
+    out = {k: (tables([k]) if k in paths else empty).select("lang", "phrase", "a") for k in range(1, longest + 1)}
     return {k: df if k == 1 else df.where(F.col("a") >= least) for k, df in out.items()}, step
 
 
