@@ -56,3 +56,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         h, u = found.select("h", "u").orderBy("h", "u").limit(max_rows).agg(F.max(F.struct("h", "u")).alias("m")).select("m.*").first()
         found = found.where((F.col("h") < h) | ((F.col("h") == h) & (F.col("u") <= u)))
     return found.select("id", "y", "x")
+
+
+#: Copies of one row that a task makes at once.
+COPIES = 4096
+
+
+def repeated(df: DataFrame, n: str, copy: str) -> DataFrame:
+    """Each row of df as often as its column n says, with `copy` from 0. Rows are dealt out in pieces
+    of at most COPIES before they are made, so no task makes all copies of a row."""
+    pieces = df.withColumn(copy, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1, F.lit(COPIES).cast("long"))))
+    dealt = pieces.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.withColumn(copy, F.explode(F.sequence(F.col(copy), F.least(F.col(copy) + COPIES, F.col(n)) - 1)))

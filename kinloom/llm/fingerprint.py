@@ -22,7 +22,7 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.common import words
+from kinloom.llm.common import repeated, words
 from kinloom.shared import written
 
 #: Words of a k-mer; circles of hashes, and parts of a signature that begin on one; each part takes two elements.
@@ -151,7 +151,20 @@ def _edges(keys: DataFrame) -> list[tuple[int, int]]:
     return [tuple(least), *sorted(cuts - {tuple(least)})]
 
 
-def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window]:
+def _folded(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, bool]:
+    """rows with copies, and whether any were folded: of rows equal in k and h that occur more than twice two stay, of which the
+    first stands for all but the last. What follows a copy is a copy, so those are alike."""
+    many = keys.groupBy("k", "h").agg(F.count("*").alias("n")).where("n > 2")
+    if many.isEmpty():  # as it should be: no rows are equal in id and text
+        return rows.withColumn("copies", F.lit(1).cast("long")), False
+    joined = rows.join(written(many, "many"), ["k", "h"], "left")
+    kinds = joined.where("n IS NOT NULL").groupBy("k", "h", "doc_id").agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    weights = F.filter(F.array(F.col("n") - 1, F.lit(1).cast("long")), lambda x: x > 0)
+    folded = kinds.select("doc_id", "text", "k", "h", F.explode(weights).alias("copies"))
+    return joined.where("n IS NULL").select("doc_id", "text", "k", "h", F.lit(1).cast("long").alias("copies")).unionByName(folded), True
+
+
+def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Window, bool]:
     """Rows dealt to stretches of neighbours in the order of id and text hash, and the window over a stretch.
 
     Stretches begin at rows that occur. The row at which the next stretch begins is dealt to the
@@ -160,7 +173,9 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("k")).withColumn("h", F.xxhash64("text"))
-    edges = _edges(written(rows.select("k", "h"), "keys"))
+    keys = written(rows.select("k", "h"), "keys")
+    edges = _edges(keys)
+    rows, folded = _folded(rows, keys)
     # Found in two steps, among every 100th edge and then among 100.
     groups = [edges[i : i + 100] for i in range(0, len(edges), 100)]
     listed = lambda pick, kind: F.from_json(F.lit(json.dumps(pick)), kind)
@@ -175,8 +190,8 @@ def _neighbours(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
         F.when(begins & (F.col("own") > 0), F.struct((F.col("own") - 1).alias("stretch"), F.lit(1).alias("ghost"))),
         F.when(begins & (F.col("own") == 0), F.struct(F.lit(len(edges) - 1).alias("stretch"), F.lit(2).alias("ghost"))),
     )
-    dealt = rows.select("doc_id", "text", "k", "h", F.explode(F.array_compact(places)).alias("p")).select("doc_id", "text", "k", "h", "p.*")
-    return dealt, Window.partitionBy("stretch").orderBy("ghost", "k", "h")
+    dealt = rows.select("doc_id", "text", "k", "h", "copies", F.explode(F.array_compact(places)).alias("p")).select("doc_id", "text", "k", "h", "copies", "p.*")
+    return dealt, Window.partitionBy("stretch").orderBy("ghost", "k", "h", F.desc("copies")), folded
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,19 +200,20 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many (or
     all) of the next row's, in the order of doc_id; after the last row comes the first. Null ids
     come first and rows that share an id follow each other by a hash of their text. A null text is
-    the empty text. Rows equal in id and text are alike and follow each other, in one task. An empty
-    table gives an empty result; other columns are not read.
+    the empty text. Rows equal in id and text follow each other: two are fingerprinted, and the first
+    of them is made again for the others at the end. An empty table gives an empty result; other columns are not read.
     """
-    dealt, stretch = _neighbours(docs, id_col, text_col)
+    dealt, stretch, folded = _neighbours(docs, id_col, text_col)
     quarter = F.floor(F.length("text") / 4).cast("int")
     both = dealt.withColumn("next", F.lead("text").over(stretch)).select(
-        "doc_id", "stretch", "ghost", "k", "h", F.length("text").cast("long").alias("n_chars"), "text",
+        "doc_id", "stretch", "ghost", "k", "h", "copies", F.length("text").cast("long").alias("n_chars"), "text",
         F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring(F.coalesce("next", F.lit("")), F.lit(1), quarter)).alias("edited"),
     )
     both = both.withColumn("edited_sha256", F.sha2("edited", 256))
     signed = signatures(both, {"sig": "text", "edited_sig": "edited"})
     signed = signed.withColumn("next_sig", F.lead("sig").over(stretch)).where("ghost = 0")
-    return signed.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
+    out = signed.select(
+        "copies", "doc_id", "n_chars", "edited_sha256", as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
     )
+    return repeated(out, "copies", "copy").drop("copies", "copy") if folded else out.drop("copies")

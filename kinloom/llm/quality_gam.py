@@ -3,8 +3,8 @@
 Each text is summarised by the features below. Boosting visits the features in turn; each step
 fits a shallow tree on one feature's bins to the gradient of the logistic loss and adds it, shrunk,
 to that feature's lookup table. Then the pairs that explain most of what is left get
-two-dimensional tables in the same way. A score is a sum of table entries, looked up for whole
-batches at once.
+two-dimensional tables, of which every cell takes a shrunk Newton step of its own, visited in turn
+as well. A score is a sum of table entries, looked up for whole batches at once.
 
 Features are computed and scored by tasks, a batch at a time. Only the features (not the texts) of
 at most ``max_rows`` labelled rows reach the driver, where the tables, a few kilobytes, are fitted.

@@ -53,8 +53,8 @@ def _repeat_words(w: Column) -> Column:
     """Words covered by the three-word windows that occur at least twice.
 
     Windows are compared by a hash of 64 bits less those that number the words of the text; sorting
-    the packed longs brings equal windows together in their order in the text. Neighbours of equal
-    hash are then compared by their words.
+    the packed longs brings equal windows together in their order in the text. Where neighbours of
+    equal hash differ in their words, the text's windows are sorted by their words instead.
     """
     n = F.size(w) - 2
     bits = F.ceil(F.log2(n + 1)).cast("int")
@@ -80,14 +80,22 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("r.bits")) - 1
     place = lambda x: x.bitwiseAND(mask).cast("int")
     alike = lambda x, y: functools.reduce(lambda a, b: a & b, [F.get("w", place(x) + k) == F.get("w", place(y) + k) for k in range(3)])
-    same = lambda i, j: (over(F.get("s", i)) == over(F.get("s", j))) & alike(F.get("s", i), F.get("s", j))
-    twice = F.filter("s", lambda x, i: F.coalesce(same(i, i - 1), F.lit(False)) | F.coalesce(same(i, i + 1), F.lit(False)))
+    hashed = lambda of, x, j: F.coalesce(over(F.get(of, j)) == over(x), F.lit(False))
+    twice = F.filter("s", lambda x, i: hashed("s", x, i - 1) | hashed("s", x, i + 1))
     base = base.withColumn("twice", F.when(F.size("s") > 0, twice))
-    base = base.withColumn("at", F.sort_array(F.transform("twice", lambda x: x.bitwiseAND(mask))))
+    # A run of equal hashes is whole in `twice`, so unlike windows of one hash are neighbours somewhere in it.
+    unlike = F.exists(F.sequence(F.lit(1), F.size("twice") - 1), lambda i: hashed("twice", F.get("twice", i), i - 1) & ~alike(F.get("twice", i - 1), F.get("twice", i)))
+    base = base.withColumn("unlike", F.when(F.size("twice") > 1, unlike).otherwise(F.lit(False)))
+    window = lambda i: F.struct(*[F.get("w", i + k).alias(f"w{k}") for k in range(3)], i.cast("long").alias("i"))
+    base = base.withColumn("v", F.when(F.col("unlike"), F.sort_array(F.transform(F.sequence(F.lit(0), F.size("w") - 3), window))))
+    equal = lambda x, j: F.coalesce(functools.reduce(lambda a, b: a & b, [F.get("v", j)[f"w{k}"] == x[f"w{k}"] for k in range(3)]), F.lit(False))
+    worded = F.transform(F.filter("v", lambda x, i: equal(x, i - 1) | equal(x, i + 1)), lambda x: x["i"])
+    at = F.when(F.col("unlike"), worded).otherwise(F.transform("twice", lambda x: x.bitwiseAND(mask)))
+    base = base.withColumn("at", F.sort_array(at))
     # A window covers three words, or as many as there are to the next window's beginning.
     gaps = F.transform("at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get("at", i + 1) - x, F.lit(3))))
     base = base.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long"))
-    return base.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("r", "s", "twice", "at", "w")
+    return base.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("r", "s", "twice", "unlike", "v", "at", "w")
 
 
 def line_fault(x: Column, tokens: Column, phrases: bool = True) -> Column:

@@ -15,6 +15,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinloom.llm.common import repeated
 from kinloom.shared import written
 
 #: Ranges in which slots are numbered, so that no task numbers a whole shard.
@@ -36,7 +37,8 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, bundles: int = 10_240,
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, under the law `bytes`.
 
     A null text counts as the empty text (size 16, crc32 0) and shares its group. Repeated rows are
-    rows of their own with slots of their own. An empty table gives an empty result. Other columns
+    rows of their own with slots of their own; they are counted, numbered as one and made again in
+    pieces, so a row that a third of all repeat fills no task. An empty table gives an empty result. Other columns
     of docs are not read. Shards differ by one bundle at most, unless one group exceeds a shard.
     """
     spark = docs.sparkSession
@@ -65,17 +67,16 @@ def shard_documents(docs: DataFrame, n_shards: int = 40, bundles: int = 10_240,
         .join(F.broadcast(big), ["g1", "g2"], "left")  # fewer than `bundles` rows
         .join(F.broadcast(rest), "b", "left")  # `bundles` rows at most
         .select("doc_id", "size", "text_crc32", "g1", "g2", F.coalesce("own", "bundled").alias("shard"))
+        .groupBy("shard", "doc_id", "size", "text_crc32", "g1", "g2").agg(F.count("*").alias("n"))
         .withColumn("range", F.pmod(F.xxhash64("doc_id", "g1"), F.lit(SLOT_RANGES)).cast("int"))
     )
     before = (
-        put.groupBy("shard", "range").agg(F.count("*").alias("n"))
+        put.groupBy("shard", "range").agg(F.sum("n").alias("n"))
         .select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("before"))
     )
-    in_range = Window.partitionBy("shard", "range").orderBy(F.col("doc_id").asc_nulls_first(), "g1", "g2")
-    return (
-        put.withColumn("i", F.row_number().over(in_range)).join(before, ["shard", "range"])
-        .select(
-            "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("before") + F.col("i") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        )
+    in_range = Window.partitionBy("shard", "range").orderBy(F.col("doc_id").asc_nulls_first(), "g1", "g2").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = put.withColumn("first", F.sum("n").over(in_range) - F.col("n")).join(before, ["shard", "range"])
+    return repeated(kinds, "n", "copy").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+        (F.col("before") + F.col("first") + F.col("copy")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )

@@ -434,11 +434,22 @@ def test_line_rules_in_four_languages(spark):
     assert got[1]["kept"] and got[2]["kept"] and got[1]["lost"] == 0 < got[3]["lost"] and not got[5]["kept"]
 
 
-def test_repeats_are_verified_by_their_words(spark, monkeypatch):
-    monkeypatch.setattr(quality_rules, "HASH_BITS", 16)  # dozens of windows of unlike words then share a hash
+@pytest.mark.parametrize("bits", [4, 8, 16, 64])
+def test_repeats_are_verified_by_their_words(spark, monkeypatch, bits):
+    """With few bits dozens of unlike windows share a hash and alternate in the text."""
+    monkeypatch.setattr(quality_rules, "HASH_BITS", bits)
+    rng = random.Random(bits)
     once = " ".join(f"w{i}" for i in range(3000))
-    got = quality_rules.apply_rules(spark.createDataFrame([(1, once), (2, once + " w7 w8 w9 w10")], "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {1: 0, 2: 8}
+    texts = [once, once + " w7 w8 w9 w10", "", "a", "a a", "a a a", "a a a a", *[" ".join(f"v{rng.randrange(9)}" for _ in range(rng.randint(3, 400))) for _ in range(20)]]
+
+    def plain(text):
+        w = text.split()
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        n = collections.Counter(windows)
+        return len({i + k for i, x in enumerate(windows) if n[x] > 1 for k in range(3)})
+
+    got = quality_rules.apply_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in got} == {i: plain(t) for i, t in enumerate(texts)}
 
 
 def best_flow(words, distinct, quotas, repeats):
@@ -680,6 +691,33 @@ def test_shards_are_balanced(spark):
     assert len(load) == 8 and max(load) < 1.01 * sum(load) / 8
 
 
+def test_rows_repeated_in_shards(spark, monkeypatch):
+    """A row that half of all repeat is made again in pieces; slots stay gapless."""
+    monkeypatch.setattr(common, "COPIES", 100)
+    made = [(7, "hot")] * 1500 + [(None, None)] * 3 + [(i, f"text {i}") for i in range(1500)]
+    got = sharding.shard_documents(spark.createDataFrame(made, "doc_id long, text string"), n_shards=5, bundles=64).collect()
+    assert collections.Counter(r["doc_id"] for r in got) == collections.Counter(r[0] for r in made)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_fingerprints_of_repeated_rows(spark, monkeypatch):
+    """Folded rows have the results of a plain walk through the rows in order."""
+    monkeypatch.setattr(common, "COPIES", 10)
+    long = lambda n: " ".join(f"n{n} m{i}" for i in range(40))
+    made = [(5, long(5))] * 45 + [(None, "")] * 4 + [(9, long(9))] * 2 + [(i, long(i)) for i in (1, 3, 4, 6, 8, 12)]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    rows = sorted(made, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = collections.Counter()
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        q = len(text) // 4
+        want[i, len(text), hashlib.sha256((text[: len(text) - q] + after[:q]).encode()).hexdigest()] += 1
+    assert collections.Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert sum(r["near_next"] == 1.0 for r in got if r["doc_id"] == 5) == 44
+
+
 def test_lpt():
     got = sharding.lpt([(7, ("a",)), (5, ("b",)), (4, ("c",)), (3, ("d",))], 2)
     assert got == {("a",): 0, ("b",): 1, ("c",): 1, ("d",): 0}
