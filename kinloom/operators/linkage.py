@@ -76,9 +76,21 @@ def get_submission(submissions: DataFrame, submission_id: int) -> DataFrame:
     return submissions.where(F.col("submission_id") == submission_id)
 
 
-def insert_submission(row: DataFrame, path: str) -> None:
-    """K5: append rows to the table of submissions."""
-    row.write.mode("append").parquet(path)
+def insert_submission(rows: DataFrame, path: str) -> None:
+    """K5, D3: append those rows whose submission_id the table at path lacks, so a batch that is sent
+    twice is stored once; of equal new ids one. Rows without an id are appended as they are.
+
+    Only the table's row groups between the least and the largest new id are read. One writer at a time.
+    """
+    spark = rows.sparkSession
+    new = written(rows, "submissions")
+    fresh = new.where("submission_id IS NOT NULL").dropDuplicates(["submission_id"])
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        low, high = new.agg(F.min("submission_id"), F.max("submission_id")).first()
+        known = spark.read.schema(new.schema).parquet(path).where(F.col("submission_id").between(low, high)).select("submission_id")
+        fresh = fresh.join(known, "submission_id", "left_anti")
+    fresh.unionByName(new.where("submission_id IS NULL")).write.mode("append").parquet(path)
 
 
 def display_submissions(listed: DataFrame) -> DataFrame:
@@ -98,13 +110,19 @@ def with_skills(people: DataFrame, person_skills: DataFrame, skills: DataFrame)
 
 
 def list_people(people: DataFrame, person_skills: DataFrame, skills: DataFrame, limit=100, untagged: bool = False) -> DataFrame:
-    """At most `limit` people by id; untagged: those with skills and no category."""
-    out = with_skills(people, person_skills, skills)
+    """At most `limit` people by id; untagged: those with skills and no category.
+
+    The page is found first; skills are gathered for the people on it alone.
+    """
+    page = people
     if untagged:
-        out = out.where("skill_category IS NULL AND skills <> ''")
+        named = person_skills.join(skills.where("canonical_name <> ''").select("skill_id"), "skill_id", "left_semi")
+        page = page.where("skill_category IS NULL").join(named, "person_id", "left_semi")
     n = clamp_limit(limit)
-    out = out.select("person_id", "full_name", "city", "skill_category", "skills").orderBy("person_id")
-    return out if n is None else out.limit(n)
+    if n is not None:
+        page = written(page.select("person_id", "full_name", "city", "skill_category").orderBy("person_id").limit(n), "page")
+        person_skills = person_skills.join(F.broadcast(page.select("person_id")), "person_id", "left_semi")  # a page: at most 500 ids
+    return with_skills(page, person_skills, skills).select("person_id", "full_name", "city", "skill_category", "skills").orderBy("person_id")
 
 
 def sanitise_reply(reply: Column) -> Column:
@@ -133,39 +151,70 @@ def apply_tags(people: DataFrame, outcomes: DataFrame, order: str | None = None)
 
 @dataclass(frozen=True)
 class TagFlow:
-    """L1: how a run of the tagging flow goes: people a run (-1: all), tries of a batch."""
+    """L1: how a run of the tagging flow goes: people a run (-1: all), tries of a person, seconds between them."""
 
     limit: int = 10
     tries: int = 4
+    wait: float = 2.0
 
 
 def tag_untagged(people: DataFrame, person_skills: DataFrame, skills: DataFrame, classify, flow: TagFlow = TagFlow()) -> tuple[DataFrame, DataFrame]:
     """(people with new categories, outcomes of the run) of the first untagged people by id."""
     asked = list_people(people, person_skills, skills, limit=flow.limit, untagged=True)
-    outcomes = tag_outcomes(classify_untagged(asked, classify, flow.tries).where("valid").select("person_id", "skill_category"), people)
+    replies = classify_untagged(asked, classify, flow.tries, flow.wait)
+    outcomes = tag_outcomes(replies.where("valid").select("person_id", "skill_category"), people)
     outcomes = written(outcomes, "tag-outcomes")  # a reply is asked for once
     return apply_tags(people, outcomes), outcomes
 
 
-def classify_untagged(people: DataFrame, classify, tries: int = 4) -> DataFrame:
-    """person_id, raw_reply, skill_category, valid. classify: function from a pandas frame
-    with full_name and skills to a series of replies, run on batches in tasks; a batch that keeps
-    failing gets empty replies, so those people are skipped and not lost."""
+def classify_untagged(people: DataFrame, classify, tries: int = 4, wait: float = 2.0) -> DataFrame:
+    """person_id, raw_reply, skill_category, valid, tries, error. classify: function from a
+    pandas frame with full_name and skills to a series of replies, run on batches in tasks.
+
+    A batch that fails is asked for again person by person, after `wait` seconds and until each has
+    been tried `tries` times. Who keeps failing has an empty reply and the last error (see
+    `dead_letters`); the others of the batch are not lost.
+    """
+    import time
+
     import pandas as pd
 
+    def asked(pdf):
+        """Replies, or the error."""
+        try:
+            replies = list(classify(pdf))
+            if len(replies) != len(pdf):
+                raise ValueError(f"{len(replies)} replies to {len(pdf)} people")
+            return replies, None
+        except Exception as e:  # noqa: BLE001  an outside service
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches):
         for pdf in batches:
-            for _ in range(tries):
-                try:
-                    replies = classify(pdf)
+            replies, error = asked(pdf)
+            out = pd.DataFrame({"person_id": pdf["person_id"], "raw_reply": replies or [""] * len(pdf), "tries": 1, "error": error})
+            open_ = [] if error is None else list(range(len(pdf)))
+            for n in range(2, tries + 1):
+                if not open_:
                     break
-                except Exception:  # noqa: BLE001  an outside service
-                    replies = pd.Series([""] * len(pdf))
-            yield pd.DataFrame({"person_id": pdf["person_id"], "raw_reply": list(replies)})
-
-    said = people.select("person_id", "full_name", "skills").mapInPandas(run, "person_id long, raw_reply string")
+                time.sleep(wait)
+                left = []
+                for i in open_:
+                    replies, error = asked(pdf.iloc[i : i + 1])
+                    out.loc[out.index[i], ["raw_reply", "tries", "error"]] = ["" if error else replies[0], n, error]
+                    if error:
+                        left.append(i)
+                open_ = left
+            yield out
+
+    said = people.select("person_id", "full_name", "skills").mapInPandas(run, "person_id long, raw_reply string, tries long, error string")
     category = sanitise_reply(F.col("raw_reply"))
-    return said.withColumn("skill_category", category).withColumn("valid", F.col("skill_category").isNotNull())
+    return said.select("person_id", "raw_reply", category.alias("skill_category"), category.isNotNull().alias("valid"), "tries", "error")
+
+
+def dead_letters(replies: DataFrame) -> DataFrame:
+    """L4: people whose every try failed, with the last error."""
+    return replies.where("error IS NOT NULL").select("person_id", "tries", "error")
 
 
 def stats(people: DataFrame, submissions: DataFrame, issues: DataFrame) -> DataFrame:

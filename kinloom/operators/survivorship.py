@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinloom.functions.values import number_text
@@ -19,8 +19,18 @@ OWNERS = {
     "experience_years": "applicants", "ctc_inr": "applicants", "applied_date": "applicants", "rate_per_hour": "gig_workers",
     "rate_raw": "gig_workers", "is_verified": "contacts", "projects_completed": "contacts",
 }
-#: V9: the fields whose conflicts are logged, and their names in the result.
-LOGGED = {"experience_years": "experience_years", "ctc_inr": "current_ctc_inr", "city": "city"}
+#: V5 to V9: fields whose conflicts are logged: name in the log, type, severity, detail.
+DISAGREE = "sources disagree; all values stay in the lineage"
+LOGGED = {
+    "name": ("name", "name_variants_merged", "low", "one person's name written in more than one way"),
+    "email": ("email", "multiple_emails_one_person", "medium", "one person with several emails, all kept as identifiers"),
+    "phone": ("phone", "multiple_phones_one_person", "medium", "one person with several phones, all kept as identifiers"),
+    "experience_years": ("experience_years", "field_conflict", "medium", DISAGREE),
+    "ctc_inr": ("current_ctc_inr", "field_conflict", "medium", DISAGREE),
+    "city": ("city", "field_conflict", "medium", DISAGREE),
+}
+#: Variants of a person, and records of a variant, that an issue names; of the others it tells the number.
+SHOWN = 20
 
 
 @dataclass
@@ -111,40 +121,50 @@ def build_golden(records: DataFrame, members: DataFrame, clusters: DataFrame) ->
     return Golden(people, ids.drop("first"), sources, known, linked, conflicts(rows, people))
 
 
-def conflicts(rows: DataFrame, people: DataFrame) -> DataFrame:
-    """V5 to V9: what was merged although it differed; located at the person's first record."""
-    order = F.struct("priority", "record_id")
-    at = rows.groupBy("person_id").agg(F.min_by("source_file", order).alias("source_file"), F.min_by("source_row", order).alias("source_row"))
+def variants(rows: DataFrame) -> DataFrame:
+    """person_id, field, n and vs for each field in which a person has several values: the first SHOWN
+    values with the first SHOWN records of each, and how many there are.
+
+    Ranks up to SHOWN are pruned before rows are moved, and counts are combined there, so a person
+    with a third of all rows gives as many rows to a task as any other.
+    """
+    shown = lambda f: number_text(F.col(f).cast("double")) if f in ("experience_years", "ctc_inr") else F.col(f)
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v"), shown(f).alias("text")) for f in LOGGED])
     label = F.concat_ws(":", "source_file", F.col("source_row").cast("string"))
+    long = rows.select("person_id", F.struct("priority", "record_id").alias("o"), label.alias("l"), F.explode(each).alias("i"))
+    long = long.select("person_id", "o", "l", "i.*").where("v IS NOT NULL AND v <> ''")
+    value = ["person_id", "field", "v"]
+    counted = long.groupBy(*value).agg(F.count("*").alias("records"), F.min("o").alias("f"), F.min("text").alias("text"))
+    several = counted.groupBy("person_id", "field").agg(F.count("*").alias("n")).where("n > 1")
+    rank = lambda by, order: F.row_number().over(Window.partitionBy(*by).orderBy(order))
+    first = counted.withColumn("rn", rank(["person_id", "field"], "f")).where(F.col("rn") <= SHOWN).drop("rn").join(several, ["person_id", "field"])
+    labels = long.withColumn("rn", rank(value, "o")).where(F.col("rn") <= SHOWN)
+    labels = labels.groupBy(*value).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "l"))), lambda x: x["l"]).alias("where"))
+    vs = F.array_sort(F.collect_list(F.struct("f", "text", "where", "records")))
+    return first.join(labels, value).groupBy("person_id", "field").agg(F.first("n").alias("n"), vs.alias("vs"))
 
-    def variants(field: str, shown: Column) -> DataFrame:
-        v = rows.where(F.col(field).isNotNull() & (F.col(field).cast("string") != "")).groupBy("person_id", F.col(field).alias("v"),
-            shown.alias("text")).agg(F.min(order).alias("f"),
-            F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), label.alias("l")))), lambda x: x["l"]).alias("where"))
-        v = v.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("f", "text", "where"))).alias("vs")).where(F.size("vs") > 1)
-        return v.join(people, "person_id").join(at, "person_id")
-
-    def said(df: DataFrame, column: str, kind: str, severity: str, raw: Column, kept: Column, detail: str) -> DataFrame:
-        return df.select("source_file", "source_row", F.lit(column).alias("column_name"), F.lit(kind).alias("issue_type"),
-            F.lit(severity).alias("severity"), raw.alias("raw_value"), F.concat(F.lit("kept "), kept).alias("action_taken"), F.lit(detail).alias("detail"))
-
-    listed = F.array_join(F.transform("vs", lambda x: x["text"]), " / ")
-    full = F.array_join(F.transform("vs", lambda x: F.concat(x["text"], F.lit(" ("), F.array_join(x["where"], ", "), F.lit(")"))), " vs ")
-    named = variants("name", F.col("name"))
-    whose = rows.select(F.col("person_id").alias("p"), F.col("name").alias("n"), "priority", "record_id", F.col("source_file").alias("sf"),
-        F.col("source_row").alias("sr"))
-    # A name's issue is located at the record whose name won.
-    winner = named.select("person_id", "full_name").join(whose,
-        (F.col("person_id") == F.col("p")) & (F.col("full_name") == F.col("n"))).groupBy("person_id").agg(F.min_by("sf", order).alias("sf"),
-        F.min_by("sr", order).alias("sr"))
-    named = named.join(winner, "person_id").withColumns({"source_file": F.col("sf"), "source_row": F.col("sr")})
-    out = said(named, "name", "name_variants_merged", "low", listed, F.col("full_name"), "one person's name written in more than one way")
-    out = out.unionByName(said(variants("email", F.col("email")), "email", "multiple_emails_one_person", "medium", listed, F.col("primary_email"),
-        "one person with several emails, all kept as identifiers"))
-    out = out.unionByName(said(variants("phone", F.col("phone")), "phone", "multiple_phones_one_person", "medium", listed, F.col("primary_phone"),
-        "one person with several phones, all kept as identifiers"))
-    for field, column in LOGGED.items():
-        show = F.col(field) if field == "city" else number_text(F.col(field).cast("double"))
-        kept = F.col(column) if field == "city" else number_text(F.col(column).cast("double"))
-        out = out.unionByName(said(variants(field, show), column, "field_conflict", "medium", full, kept, "sources disagree; all values stay in the lineage"))
-    return out
+
+def conflicts(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """V5 to V9: what was merged although it differed; located at the person's first record, for a
+    name at the first record that has the name that won."""
+    order = F.struct("priority", "record_id")
+    place = F.struct("source_file", "source_row")
+    found = written(variants(rows), "variants")
+    whose = rows.join(found.select("person_id").distinct(), "person_id", "left_semi").join(people.select("person_id", "full_name"), "person_id")
+    at = whose.groupBy("person_id").agg(F.min_by(place, order).alias("at"),
+        F.min_by(F.when(F.col("name") == F.col("full_name"), place), F.when(F.col("name") == F.col("full_name"), order)).alias("named_at"))
+    found = found.join(people, "person_id").join(at, "person_id")
+    more = lambda n, shown: F.when(n > shown, F.format_string(" and %d more", n - shown)).otherwise("")
+    listed = F.concat(F.array_join(F.transform("vs", lambda x: x["text"]), " / "), more(F.col("n"), F.size("vs")))
+    told = F.transform("vs", lambda x: F.concat(x["text"], F.lit(" ("), F.array_join(x["where"], ", "), more(x["records"], F.size(x["where"])), F.lit(")")))
+    full = F.concat(F.array_join(told, " vs "), more(F.col("n"), F.size("vs")))
+    won = {"name": F.col("full_name"), "email": F.col("primary_email"), "phone": F.col("primary_phone"), "city": F.col("city"),
+        "experience_years": number_text(F.col("experience_years").cast("double")), "ctc_inr": number_text(F.col("current_ctc_inr").cast("double"))}
+    by_field = lambda values: F.coalesce(*[F.when(F.col("field") == f, c) for f, c in values.items()])
+    said = lambda i: by_field({f: F.lit(x[i]) for f, x in LOGGED.items()})
+    found = found.withColumns({"where": F.when(F.col("field") == "name", F.col("named_at")).otherwise(F.col("at")), "issue_type": said(1)})
+    return found.select(
+        "where.source_file", "where.source_row", said(0).alias("column_name"), "issue_type", said(2).alias("severity"),
+        F.when(F.col("issue_type") == "field_conflict", full).otherwise(listed).alias("raw_value"),
+        F.concat(F.lit("kept "), by_field(won)).alias("action_taken"), said(3).alias("detail"),
+    )

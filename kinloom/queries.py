@@ -228,16 +228,18 @@ def dup_first_wins(spark, sf_dir):
 
 # --- three sources of people with known truth ---
 
-#: k: record, p: person, r: source (0 applicants, 1 gig workers, 2 contacts), t: what befalls the person.
+#: k: record, p: person, r: source (0 applicants, 1 gig workers, 2 contacts), t: what befalls the person; applicants
+#: that would bridge the other two where they shall not meet are people of their own (t = 8).
 _TRUTH = f"""
 SELECT k, p, r, t, base, concat('Asha N', {_ABC.format('base')}) AS full_name, concat('asha n', {_ABC.format('base')}) AS name_key,
   CASE WHEN t = 1 AND r = 1 THEN 'Noida' WHEN base % 3 = 0 THEN 'Pune' WHEN base % 3 = 1 THEN 'Gurugram' ELSE 'Bengaluru' END AS city,
   CASE WHEN r = 2 THEN NULL WHEN t IN (1, 5) AND r = 1 THEN concat('alt.u', CAST(p AS STRING), '@ex.org') ELSE concat('u', CAST(p AS STRING), '@ex.org') END AS email,
   CASE WHEN r = 1 THEN NULL WHEN t = 1 AND r = 2 THEN concat('+91', {_CORE.format('(p + 500000)')}) ELSE concat('+91', {_CORE.format('p')}) END AS phone,
   CASE WHEN r = 2 THEN '' WHEN t = 7 AND p % 16 >= 8 THEN 'react' WHEN t IN (6, 7) THEN 'docker,sql' ELSE 'python,sql' END AS skill_keys
-FROM (SELECT k, p, r, t, CASE WHEN t IN (4, 7) THEN p - 1 ELSE p END AS base FROM
-  (SELECT c_custkey AS k, CAST(floor(c_custkey / 3) AS BIGINT) AS p, c_custkey % 3 AS r, CAST(floor(c_custkey / 3) AS BIGINT) % 8 AS t FROM customer) AS a) AS b
-WHERE NOT (r = 0 AND t IN (2, 3, 4, 6))
+FROM (SELECT k, CASE WHEN lone THEN 1000000 + p ELSE p END AS p, r, CASE WHEN lone THEN 8 ELSE t END AS t,
+  CASE WHEN lone THEN 1000000 + p WHEN t IN (4, 7) THEN p - 1 ELSE p END AS base FROM
+  (SELECT k, p, r, p % 8 AS t, r = 0 AND p % 8 IN (2, 3, 4, 6) AS lone FROM
+    (SELECT c_custkey AS k, CAST(floor(c_custkey / 3) AS BIGINT) AS p, c_custkey % 3 AS r FROM customer) AS c) AS a) AS b
 """
 _RECORDS_RAW = f"""
 SELECT r, CAST(k + 2 AS INT) AS source_row,
@@ -289,9 +291,21 @@ def _source_rows(spark, sf_dir) -> dict[str, DataFrame]:
     }
 
 
-@lru_cache(maxsize=1)
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of customer: what is kept for them does not outlive them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/customer.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    listed = [path] if fs.getFileStatus(path).isFile() else [f.getPath() for f in fs.listStatus(path)]
+    return tuple((str(f), (x := fs.getFileStatus(f)).getLen(), x.getModificationTime()) for f in listed)
+
+
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staged records, written to the shared folder once for all queries of a session."""
+    return _staged(spark, sf_dir, _files(spark, sf_dir))
+
+
+@lru_cache(maxsize=1)
+def _staged(spark: SparkSession, sf_dir: str, files: tuple) -> DataFrame:
     return written(stage_all(_source_rows(spark, sf_dir)), "staged")
 
 
@@ -301,9 +315,13 @@ def union_staged(spark, sf_dir):
         F.array_join(F.transform("skills", lambda s: s["match_key"]), ",").alias("skill_keys"))
 
 
-@lru_cache(maxsize=1)
 def _merge(spark: SparkSession, sf_dir: str) -> merge.Merged:
     """The merge, written to the shared folder once for all queries of a session."""
+    return _merged(spark, sf_dir, _files(spark, sf_dir))
+
+
+@lru_cache(maxsize=1)
+def _merged(spark: SparkSession, sf_dir: str, files: tuple) -> merge.Merged:
     return merge.merge_staged(staged(spark, sf_dir))
 
 
