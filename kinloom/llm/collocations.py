@@ -38,7 +38,11 @@ SLICE, PIECE = 512, 1 << 16
 
 _MAP = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c for c in range(256))
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
-_KINDS = "lang string, phrase string, k int, c long"
+#: What a counter's meta holds besides its number of words, by the bits above which it stands: seen (bits of the
+#: shards counted), let in (of pairs the first scan whose filters let them pass), since (the scan after which
+#: a >= least, plus 1).
+_SEEN, _LET_IN, _SINCE = 5, 36, 48
+_KINDS = "lang string, phrase string, meta long, c long"
 
 
 def _chunks(batches):
@@ -171,9 +175,14 @@ def _filter(phrases: DataFrame, k: int, n_bits: int) -> Filter | None:
     return Filter(bits.view(np.uint8))
 
 
-def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], longest: int):
-    """A task's counts of active phrases: lang, phrase, k, c. known: for each length k with longer phrases
-    active, the filters of its phrases over the threshold, and of those that are so newly."""
+def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], let: list[Filter], longest: int):
+    """A task's counts of active phrases: lang, phrase, meta, c. known: for each length k with longer phrases
+    active, the filters of its phrases over the threshold, and of those that are so newly. let: the filters
+    of words of the scans from 1 on, each of which lets pass what the one before did."""
+
+    def scan_of(h: np.ndarray) -> np.ndarray:
+        """The first scan whose filter a word passes."""
+        return len(let) + 1 - sum((f.has(h).astype(np.int64) for f in let), np.zeros(len(h), np.int64))
 
     def run(batches):
         roller = Roller(13)
@@ -182,14 +191,15 @@ def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], longest: int
             if not len(w.begin):
                 continue
 
-            def emit(first, counts, k):
+            def emit(first, counts, k, let_in):
                 for at, text in w.texts(first, k):
-                    columns = [pa.array(w.langs.tolist(), pa.utf8()).take(pa.array(w.lang[first[at]])), text, pa.array(np.full(len(at), k, np.int32)), pa.array(counts[at])]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "k", "c"])
+                    meta = k + (let_in[at] << _LET_IN)
+                    columns = [pa.array(w.langs.tolist(), pa.utf8()).take(pa.array(w.lang[first[at]])), text, pa.array(meta), pa.array(counts[at])]
+                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "meta", "c"])
 
             first, n, own = _unique(w.h)
             if words_too:
-                yield from emit(first, n, 1)
+                yield from emit(first, n, 1, np.zeros(len(first), np.int64))
             # own: the exact number of the phrase of k words at word `at` here; h: its hash.
             at, h, k = np.arange(len(w.begin)), w.h, 1
             while k < longest and k in known and len(at):
@@ -203,16 +213,15 @@ def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], longest: int
                 active = new[both] | new[both + 1]
                 first, n, _ = _unique(key[active])
                 if len(first):
-                    yield from emit(at[both][active][first], n, k + 1)
+                    one = both[active][first]
+                    let_in = np.maximum(scan_of(h[one]), scan_of(h[one + 1])) if k == 1 else np.zeros(len(one), np.int64)
+                    yield from emit(at[one], n, k + 1, let_in)
                 own = _unique(key)[2]
                 at, h, k = at[both], _joined(h[both], w.h[at[both] + k]), k + 1
 
     return run
 
 
-#: What a counter's meta holds besides its number of words, by the bits above which it stands: seen (bits of the
-#: shards counted), begun (the scan first counted in, plus 1), since (the scan after which a >= least, plus 1).
-_SEEN, _BEGUN, _SINCE = 5, 36, 48
 
 
 def _bits(name: str, low: int, high: int = 63) -> Column:
@@ -220,22 +229,25 @@ def _bits(name: str, low: int, high: int = 63) -> Column:
 
 
 def _added(old: DataFrame | None, new: DataFrame, shards: int, step: int, least: int) -> DataFrame:
-    """Counters (lang, phrase, a, meta, k, since) after scan `step` with the counts c of `new`. Of pairs first
-    counted in scan 1, which are most, those that stayed below go after a circle: up to there filters only grow,
-    so what one of them let pass, rightly or not, was counted in every scan since."""
-    rows = new.select("lang", "phrase", F.lit(0).cast("long").alias("a"), "c", F.col("k").cast("long").alias("meta"))
+    """Counters (lang, phrase, a, meta, k, since) after scan `step` with the counts c of `new`.
+
+    Pairs that stayed below go once the circle since they were let in is over, whichever scan they were first
+    seen in. They are complete then, if both words reach the threshold at all: up to scan `shards` filters
+    only grow, so a pair let in, rightly or not, was counted in every scan since; and as all words are known
+    by then, a pair that is active in a later scan became so by scan `shards`, so it stays active meanwhile.
+    What a filter lets pass again afterwards has no more than its true count, which is below."""
+    rows = new.select("lang", "phrase", F.lit(0).cast("long").alias("a"), "c", "meta")
     if old is not None:
         rows = rows.unionByName(old.select("lang", "phrase", "a", F.lit(0).cast("long").alias("c"), "meta"))
-    # The meta of an old counter is above that of a new count, which is its number of words alone.
+    # The meta of an old counter is above that of a new count, as that has seen no shard.
     sums = rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.sum("c").alias("c"), F.max("meta").alias("meta"))
     bit = F.lit(1 << _SEEN + step % shards)
     fresh = (F.col("c") > 0) & (F.col("meta").bitwiseAND(bit) == 0)
-    first = F.when(F.col("meta") < 1 << _BEGUN, F.lit((step + 1) << _BEGUN)).otherwise(F.lit(0))
-    sums = sums.select("lang", "phrase", (F.col("a") + F.when(fresh, F.col("c")).otherwise(0)).alias("a"), (F.col("meta") + F.when(fresh, bit).otherwise(F.lit(0)) + first).alias("meta"))
+    sums = sums.select("lang", "phrase", (F.col("a") + F.when(fresh, F.col("c")).otherwise(0)).alias("a"), (F.col("meta") + F.when(fresh, bit).otherwise(F.lit(0))).alias("meta"))
     now = (F.col("a") >= least) & (F.col("meta") < 1 << _SINCE)
     sums = sums.withColumn("meta", F.col("meta") + F.when(now, F.lit((step + 1) << _SINCE)).otherwise(F.lit(0)))
     out = sums.withColumn("k", _bits("meta", 0, _SEEN).cast("int")).withColumn("since", (_bits("meta", _SINCE) - 1).cast("int"))
-    return out.where((F.col("k") != 2) | (_bits("meta", _BEGUN, _SINCE) != 2) | (F.col("since") >= 0)) if step == shards else out
+    return out.where((F.col("k") != 2) | (_bits("meta", _LET_IN, _SINCE) > step - shards + 1) | (F.col("since") >= 0)) if step >= shards else out
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: int) -> str:
@@ -268,6 +280,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         found = [spark.read.schema(kinds).parquet(p).where(F.col("k").isin(*[k for k in lengths if paths.get(k) == p])) for p in sorted({paths[k] for k in lengths if k in paths})]
         return reduce(DataFrame.unionByName, found) if found else None
 
+    let: list[Filter] = []
     for step in count():
         known = {}
         for k in often:
@@ -276,6 +289,8 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 known[k] = (newly if step <= shards else _filter(often[k], k, n_bits[k]), newly)
         if step >= shards and not known:
             break
+        if 1 <= step <= shards:
+            let.append(known[1][0] if 1 in known else Filter(np.zeros(512, np.uint8)))
         grown = ([1] if step < shards else []) + [k + 1 for k in known]
         # Phrases of k + 1 words are looked for among those of k, so lengths below go along without new ones of their own.
         for k in range(1, max(known, default=1)):
@@ -283,7 +298,7 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 known[k] = (_filter(often[k], k, n_bits[k]), Filter(np.zeros(512, np.uint8)))
         shard = f"{folder}/shard={step % shards}"
         scanned = spark.read.schema("lang string, text binary").parquet(shard) if _exists(spark, shard) else spark.createDataFrame([], "lang string, text binary")
-        new = scanned.mapInArrow(_scan(step < shards, known, longest), _KINDS)
+        new = scanned.mapInArrow(_scan(step < shards, known, list(let), longest), _KINDS)
         path, before = fresh_path(spark, "counters"), set(paths.values())
         write(_added(tables(grown), new, shards, step, least), path)
         paths |= dict.fromkeys(grown, path)
