@@ -27,9 +27,9 @@ from kinloom.shared import written
 #: A hash has BITS * LEVELS bits; a histogram that reaches the driver has 2^BITS counts for each end of a stretch.
 BITS, LEVELS = 5, 12
 HASHES = 1 << BITS * LEVELS
-#: The bound on patterns of two and more sources, the largest; rows of others count as of their own source alone.
-#: With so many over 40 sources the flow takes the driver half a second, with four times as many five seconds.
-MAX_PATTERNS = 1 << 12
+#: The bound on pairs of a pattern and one of its sources, which the driver routes. All of them are routed;
+#: a mix that has more is refused, as to route only some would give other results.
+MAX_PAIRS = 1 << 17
 
 
 def fill_targets(sizes: dict, weights: dict, total: float, cap: float = 3.0) -> dict:
@@ -209,14 +209,13 @@ def _plan(docs: DataFrame, source: Column, quotas, repeats: int, seed: int, id_c
     )
     held = slim.groupBy("g").agg(F.max("size").alias("size"), F.array_sort(F.collect_set("s")).alias("all"))
     held = written(held.select("g", "size", F.to_json("all").alias("pattern"), (F.size("all") > 1).alias("shared")), "held")
-    largest = held.where("shared").groupBy("pattern").agg(F.sum("size").alias("n")).orderBy(F.desc("n"), "pattern").limit(MAX_PATTERNS)
-    shared = written(held.where("shared").join(F.broadcast(largest.select("pattern")), "pattern").select("g", "pattern"), "shared")  # MAX_PATTERNS rows
-    own = F.to_json(F.array("s"))
-    slim = written(_with_pattern(slim, shared, own), "patterns")
-    sums = {(r["pattern"], r["s"]): r for r in slim.groupBy("pattern", "s").agg(F.sum("size").alias("n"), F.first("source").alias("source")).collect()}
-    # A text of a pattern beyond the bound counts for each of its sources.
-    once = slim.select("pattern", "g", "size").groupBy("pattern", "g").agg(F.max("size").alias("size"))
-    distinct = {r["pattern"]: r["n"] for r in once.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    shared = held.where("shared").select("g", "pattern")
+    slim = written(_with_pattern(slim, shared, F.to_json(F.array("s"))), "patterns")
+    pairs = slim.groupBy("pattern", "s").agg(F.sum("size").alias("n"), F.first("source").alias("source"))
+    sums = {(r["pattern"], r["s"]): r for r in pairs.limit(MAX_PAIRS + 1).collect()}
+    if len(sums) > MAX_PAIRS:
+        raise ValueError(f"more than {MAX_PAIRS} pairs of a membership pattern and a source; group sources before mixing them")
+    distinct = {r["pattern"]: r["n"] for r in held.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}  # at most as many
     name = {s: r["source"] for (_, s), r in sums.items()}
     sizes: dict = defaultdict(int)
     for (_, s), r in sums.items():
@@ -251,7 +250,8 @@ def mix(docs: DataFrame, source: Column, quotas=None, repeats: int = 3, seed: in
     `repeats` times its source. A null or empty text has size 0. Rows equal in id and text share
     their fate. Each stretch of the flow ends within half a document of its quota, and a source has
     as many stretches as it has patterns. An empty table gives an empty result. Other columns of docs
-    are not read. What reaches the driver has a row for each source and pattern.
+    are not read. What reaches the driver has a row for each pattern and source of it, MAX_PAIRS at
+    most; more are an error.
     """
     slim, _, plan = _plan(docs, source, quotas, repeats, seed, id_col, text_col)
     return slim.join(F.broadcast(plan), ["pattern", "s"]).select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
@@ -268,5 +268,5 @@ def mixed_documents(docs: DataFrame, seed: int = 13) -> DataFrame:
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _hash(seed, F.col("doc_id"), F.col("text")).alias("h"), F.xxhash64("text").alias("g"), _key(F.col("source").cast("string")).alias("s")
     )
     rows = _with_pattern(rows, shared, F.to_json(F.array("s")))
-    taken = rows.join(F.broadcast(plan), ["pattern", "s"]).select("doc", _copies().alias("n"))  # a row for each pattern and source
+    taken = rows.join(F.broadcast(plan), ["pattern", "s"]).select("doc", _copies().alias("n"))  # MAX_PAIRS rows
     return taken.select("doc", F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))))).select("doc.*")
