@@ -511,6 +511,15 @@ def test_every_pattern_of_many_is_routed(spark):
     assert sum(abs(taken[s] - t) for s, t in target.items()) <= 26 * 50
 
 
+def test_a_mix_of_too_many_pairs_is_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, "a b", "y"), (3, "c", "z")], "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "MAX_PAIRS", 3)
+    assert mixing.mix(docs, F.col("source")).count() == 3
+    monkeypatch.setattr(mixing, "MAX_PAIRS", 2)
+    with pytest.raises(ValueError, match="pairs"):
+        mixing.mix(docs, F.col("source"))
+
+
 def test_mixing(docs, rows, empty):
     def run():
         return mixing.mix(docs, F.col("source")).collect()
