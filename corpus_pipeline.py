@@ -34,8 +34,9 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by five-word Jaccard 0.8 or more the one with the smallest id stays:
-    null ids come last, and of rows that share the id one stays. Texts without a word, nulls included,
+    """Of each group of linked texts the one with the smallest id stays. Candidates are what operator 4's ball hashing
+    links on SimHashes of five-word shingles, and what shares a key of minima; those of Jaccard 0.8 or more are
+    links. Null ids come last, and of rows that share the id one stays. Texts without a word, nulls included,
     are one group."""
     _few_at_once(spark)
     return simhash.deduplicated(docs, near_text.components)

@@ -1,13 +1,15 @@
-"""Near-duplicates by verified Jaccard similarity of word shingles, candidates by banded MinHash.
+"""Near-duplicates by SimHash ball hashing, with keys of MinHash beside it and a check of every pair.
 
 A text is the set of its shingles of `n` words; two texts are near if their Jaccard similarity is at
-least `percent` of a hundred. Texts with the same words are one node. Each node has BANDS keys, every key a hash of
-ROWS minima; a pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, which is
+least `percent` of a hundred. Texts with the same words are one node. Candidates come from two sides. Operator 4
+fingerprints the shingles and links what differs in three bits or fewer (simhash.links); of the texts of one
+fingerprint the smallest node stands for it. Near texts of similarity 0.8 often differ in more bits, which no ball
+reaches; so each node also has BANDS keys, every key a hash of ROWS minima; a pair of similarity s shares a key with probability 1 - (1 - s^ROWS)^BANDS, which is
 1 - 3e-6 for s = 0.8. Nodes that share a key are held against the smallest of them, so a key
-gives no more pairs than it has nodes. All pairs are verified on whole texts, exactly.
+gives no more pairs than it has nodes. All pairs of both sides are verified on whole texts, exactly.
 
-Recall is below one by what the keys miss, and where two near texts are both not near the smallest
-node of every key that they share; the README has measured figures.
+Recall is below one by what both miss, and where two near texts are both not near the smallest
+node of every key and fingerprint that they share; the README has measured figures.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinloom.llm import simhash
 from kinloom.operators.components import connected_components
 from kinloom.shared import written
 
@@ -27,8 +30,8 @@ BANDS, ROWS = 32, 5
 BLOCK = 1 << 12
 
 
-def shingles(text: str | None, n: int) -> tuple[int, np.ndarray]:
-    """(hash of all words, distinct hashes of the shingles); a text of 1 to n - 1 words is one shingle."""
+def hashed(text: str | None, n: int) -> tuple[int, np.ndarray]:
+    """(hash of all words, hashes of all shingles, repeats included); a text of 1 to n - 1 words is one shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -40,7 +43,13 @@ def shingles(text: str | None, n: int) -> tuple[int, np.ndarray]:
         ends = np.cumsum([len(w) + 1 for w in words])
         starts = np.concatenate([[0], ends[:-1]])[: len(words) - n + 1].tolist()
         found = [digest(line[a:b], 42) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist())]
-    return digest(line, 7), np.unique(np.array(found, np.uint64))
+    return digest(line, 7), np.array(found, "<u8")
+
+
+def shingles(text: str | None, n: int) -> tuple[int, np.ndarray]:
+    """(hash of all words, distinct hashes of the shingles)."""
+    whole, found = hashed(text, n)
+    return whole, np.unique(found)
 
 
 @lru_cache(maxsize=1)
@@ -66,29 +75,43 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, n: int) -> DataFrame:
-    """id, t (text hash), node, size, bands of every row."""
-    names = ["id", "t", "node", "size", "bands"]
+    """id, t (text hash), node, size, bands, fp (signed SimHash) of every row."""
+    names = ["id", "t", "node", "size", "bands", "fp"]
+    step = simhash.BLOCK
 
     def run(batches):
         for batch in batches:
-            node, size, keys = [], [], []
+            node, size, keys, fps = [], [], [], []
             for text in batch.column("text").to_pylist():
-                whole, hashes = shingles(text, n)
+                whole, found = hashed(text, n)
+                hashes = np.unique(found)
                 node.append(whole)
                 size.append(len(hashes))
                 keys.append(bands(hashes))
-            node = pa.array(np.array(node, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), node, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names)
+                fps.append(simhash.sign(found[k : k + step] for k in range(0, len(found), step)))
+            node, fps = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fps))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("t"), node, pa.array(size, pa.int64()), pa.array(keys, pa.list_(pa.int64())), fps], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("t"), F.col("text").alias("text"))
-    return rows.mapInArrow(run, "id long, t long, node long, size long, bands array<long>")
+    return rows.mapInArrow(run, "id long, t long, node long, size long, bands array<long>, fp long")
+
+
+def _ball(nodes: DataFrame) -> DataFrame:
+    """src, dst (nodes): the smallest node of a fingerprint with its others, and with those of fingerprints in its ball."""
+    centre = written(nodes.groupBy("fp").agg(F.min("node").alias("src")), "fingerprints")
+    linked = written(simhash.links(centre.select("fp")), "ball", tidy=True)  # its shuffle is the stage's largest
+    node = lambda fp, name: centre.select(F.col("fp").alias(fp), F.col("src").alias(name)).hint("merge")
+    across = linked.withColumnsRenamed({"src": "a", "dst": "b"}).join(node("a", "src"), "a").join(node("b", "dst"), "b").select("src", "dst")
+    same = nodes.select("node", "fp").join(centre.hint("merge"), "fp").where("node <> src").select("src", F.col("node").alias("dst"))
+    return same.unionByName(across).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """src, dst (nodes, distinct pairs) that share a key and whose sizes allow the similarity."""
+    """src, dst (nodes, distinct pairs) that the ball links or that share a key, and whose sizes allow the similarity."""
     keys = nodes.select("node", F.explode("bands").alias("key"))
     centre = keys.groupBy("key").agg(F.min("node").alias("src"), F.count("*").alias("n")).where("n > 1").select("key", "src")
-    met = keys.join(centre.hint("merge"), "key").where("node <> src").select("src", F.col("node").alias("dst")).distinct()
+    met = keys.join(centre.hint("merge"), "key").where("node <> src").select("src", F.col("node").alias("dst"))
+    met = met.unionByName(_ball(nodes)).distinct()
     sizes = nodes.select("node", "size")
     sized = met.join(sizes.select(F.col("node").alias("src"), F.col("size").alias("m")).hint("merge"), "src")
     sized = sized.join(sizes.select(F.col("node").alias("dst"), F.col("size").alias("k")).hint("merge"), "dst")
@@ -121,8 +144,8 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFram
     Texts without a word are one node, null texts included.
     """
     rows = written(_rows(docs, n), "shingled")
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "t", "size", "bands")  # size and bands follow from the text
-    nodes = written(rows.groupBy("node").agg(F.min(order).alias("k")).select("node", F.struct("k.last", "k.id", "k.t").alias("k"), "k.size", "k.bands"), "nodes")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "t", "size", "bands", "fp")  # these three follow from the text
+    nodes = written(rows.groupBy("node").agg(F.min(order).alias("k")).select("node", F.struct("k.last", "k.id", "k.t").alias("k"), "k.size", "k.bands", "k.fp"), "nodes")
     pairs = written(_candidates(nodes, percent), "pairs")
     wanted = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     wanted = wanted.join(nodes, "node").select("node", F.col("k.id").alias("id"), F.col("k.t").alias("t"))

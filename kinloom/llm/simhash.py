@@ -19,6 +19,8 @@ fingerprints at most, however many documents share them. Links are deduplicated
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,8 +33,17 @@ from kinloom.shared import written
 BLOCK = 1 << 16
 
 
+def sign(blocks: Iterable[np.ndarray]) -> int:
+    """The SimHash of shingle hashes that come in blocks, unsigned: a bit is 1 if more than half of them have it."""
+    total, count = np.zeros(64, np.int64), 0
+    for h in blocks:
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        count += len(h)
+    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, n: int = 3) -> int:
-    """The SimHash of one whole text, unsigned: a bit is 1 if more than half the shingles have it."""
+    """The SimHash of one whole text, unsigned."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone, and x20, x09-x0D
@@ -44,11 +55,8 @@ def fingerprint(text: str | None, n: int = 3) -> int:
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate([[0], ends[:-1]])[: len(words) - n + 1].tolist()
     ends = (ends[n - 1 :] - 1).tolist()
-    digest, total, count = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(starts)
-    for k in range(0, count, BLOCK):
-        h = np.array([digest(line[a:b], 42) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK])], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > count, bitorder="little").view("<u8")[0])
+    digest = xxhash.xxh64_intdigest
+    return sign(np.array([digest(line[a:b], 42) for a, b in zip(starts[k : k + BLOCK], ends[k : k + BLOCK])], "<u8") for k in range(0, len(starts), BLOCK))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
