@@ -18,7 +18,7 @@ from kinloom.operators import audio, linkage, quantile, resolve, samples, struct
 from kinloom.operators.components import connected_components
 from kinloom.operators.staging import stage_all
 from kinloom.plans import merge, report, store
-from kinloom.shared import written
+from kinloom.shared import dealt, written
 from kinloom.sources.specs import APPLICANTS, CONTACTS, GIG_WORKERS
 
 _S = "CAST({} AS STRING)"
@@ -103,9 +103,11 @@ _BUILDERS = {
 _RAW = {"integer": "raw_int", "real": "raw_real"}
 
 
-def _sql(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
+def _sql(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...], deal: bool = False) -> DataFrame:
+    """`deal`: rows are dealt out before the columns are made of them, for costly ones."""
     for t in tables:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"kinloom_{t}")
+        df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        (dealt(df) if deal else df).createOrReplaceTempView(f"kinloom_{t}")
         sql = sql.replace(f"FROM {t}", f"FROM kinloom_{t}").replace(f"JOIN {t}", f"JOIN kinloom_{t}")
     return spark.sql(sql)
 
@@ -115,7 +117,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, MESSY, ("customer",))
+    return _sql(spark, sf_dir, MESSY, ("customer",), deal=True)
 
 
 def _normaliser(field: str):
