@@ -280,7 +280,7 @@ named AS (SELECT person_id, size, CASE WHEN size = 1 THEN 'single-source' WHEN w
 
 
 def _source_rows(spark, sf_dir) -> dict[str, DataFrame]:
-    raw = _sql(spark, sf_dir, _RECORDS_RAW, ("customer",))
+    raw = _sql(spark, sf_dir, _RECORDS_RAW, ("customer",), deal=True)
     columns = {
         APPLICANTS: ("raw_name", "raw_email", "raw_phone", "raw_city", "raw_years", "raw_ctc", "raw_date", "raw_skills"),
         GIG_WORKERS: ("raw_email", "raw_name", "raw_rate", "raw_city", "raw_status", "raw_skills"),

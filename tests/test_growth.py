@@ -19,3 +19,9 @@ def test_normalisers_share_one_row_group(spark, one_row_group, query):
     sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
     assert len([n for n in sizes if n]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+def test_stagers_share_one_row_group(spark, one_row_group):
+    for rows in own._source_rows(spark, one_row_group).values():
+        sizes = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        assert sum(sizes) == 300 and len([n for n in sizes if n]) == int(spark.conf.get("spark.sql.shuffle.partitions"))
