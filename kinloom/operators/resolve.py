@@ -28,13 +28,13 @@ def star_edges(records: DataFrame, key: str) -> DataFrame:
     """
     keyed = records.where(F.col(key).isNotNull() & (F.col(key) != "")).select("record_id", F.col(key).alias("value"))
     first = keyed.groupBy("value").agg(F.min("record_id").alias("src"))
-    return keyed.join(first, "value").where("record_id > src").select("src", F.col("record_id").alias("dst"), "value")
+    return keyed.join(first.hint("merge"), "value").where("record_id > src").select("src", F.col("record_id").alias("dst"), "value")
 
 
 def labelled(records: DataFrame, parts: DataFrame, node: str = "record_id", name: str = "cluster") -> DataFrame:
     """(node, name): each record's component by parts (node, component), itself if it has none."""
     parts = parts.select(F.col("node").alias(node), F.col("component").alias("_c"))
-    return records.select(node).join(parts, node, "left").select(node, F.coalesce("_c", node).alias(name))
+    return records.select(node).join(parts.hint("merge"), node, "left").select(node, F.coalesce("_c", node).alias(name))
 
 
 def forest(edges: DataFrame, rank: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -124,13 +124,13 @@ def describe(records: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFram
     skills, '' for none); names and cities: cluster and one of its values. Names with initials and
     unknown cities do not count. A cluster's values stay rows, however many share a phone.
     """
-    rows = records.join(labels, "record_id")
+    rows = records.join(labels.hint("merge"), "record_id")
     email, phone = (F.max(F.col(c).isNotNull() & (F.col(c) != "")) for c in ("email", "phone"))
     side = F.when(F.col("_e") & F.col("_p"), "both").when(F.col("_e"), "email").when(F.col("_p"), "phone").otherwise("none")
     skills = rows.select("cluster", F.explode(F.transform("skills", lambda s: s["match_key"])).alias("k")).distinct()
     skills = skills.groupBy("cluster").agg(F.concat_ws(":", F.count("*"), F.bit_xor(F.xxhash64("k")), F.bit_xor(F.xxhash64(F.lit(7), "k"))).alias("signature"))
     clusters = rows.groupBy("cluster").agg(F.min("record_id").alias("first_record"), F.count("*").alias("n"), email.alias("_e"),
-        phone.alias("_p")).join(skills, "cluster", "left")
+        phone.alias("_p")).join(skills.hint("merge"), "cluster", "left")
     clusters = clusters.select("cluster", "first_record", "n", side.alias("side"), F.coalesce("signature", F.lit("")).alias("signature"))
     names = rows.where("name_key IS NOT NULL AND NOT has_initial").select("cluster", "name_key").distinct()
     cities = rows.where("city IS NOT NULL AND city_canonical").select("cluster", "city").distinct()
@@ -144,7 +144,7 @@ def bridge_candidates(clusters: DataFrame, names: DataFrame, cities: DataFrame)
     'join'. e and p: the clusters with emails only and with phones only. seen: the key's rank. Only
     counts and minima are taken of a key's clusters.
     """
-    keyed = clusters.join(names, "cluster").join(cities, "cluster")
+    keyed = clusters.join(names.hint("merge"), "cluster").join(cities.hint("merge"), "cluster")
     only = lambda side, c: F.min(F.when(F.col("side") == side, F.col(c)))
     groups = keyed.groupBy("name_key", "city").agg(
         F.count("*").alias("n"), F.count_if(F.col("side") == "email").alias("n_email"), F.count_if(F.col("side") == "phone").alias("n_phone"),
@@ -154,10 +154,10 @@ def bridge_candidates(clusters: DataFrame, names: DataFrame, cities: DataFrame)
         only("both", "first_record").alias("other"),
     ).where("n >= 2")
     both = keyed.where("side = 'both'").select("name_key", "city", F.col("signature").alias("s"))
-    claimed = groups.where("n_email = 1 AND n_phone = 1 AND e_signature <> ''").join(both,
+    claimed = groups.where("n_email = 1 AND n_phone = 1 AND e_signature <> ''").join(both.hint("merge"),
         ["name_key", "city"]).where("s = e_signature").select("name_key", "city").distinct().withColumn("claim", F.lit(True))
     verdict = F.when((F.col("n_email") != 1) | (F.col("n_phone") != 1), "ambiguous").when(F.col("claim"), "claimed").otherwise("join")
-    return groups.join(claimed, ["name_key", "city"], "left").select(
+    return groups.join(claimed.hint("merge"), ["name_key", "city"], "left").select(
         "name_key", "city", F.concat_ws(" / ", "name_key", "city").alias("name_city"), "n", "n_email", "n_phone", "n_both", "e", "p", "other",
         F.struct("first_record", "name_key", "city").alias("seen"), "first_record", verdict.alias("verdict"),
     )
@@ -258,4 +258,5 @@ def resolve(records: DataFrame) -> Resolution:
     sure = F.exists("why", lambda r: r.startswith("tier1") | r.startswith("tier2"))
     confidence = F.when(F.col("size") == 1, "single-source").when(sure, "high").when(F.size("why") > 0, "medium").otherwise("single-source")
     text = F.when(F.size("why") > 0, F.array_join("why", "; ")).otherwise("only appears in one source")
-    return Resolution(members, per.select("person_id", "size", confidence.alias("match_confidence"), text.alias("match_reason")), issues, review, candidates)
+    clusters = per.select("person_id", "size", confidence.alias("match_confidence"), text.alias("match_reason"))
+    return Resolution(members, written(clusters, "reasons"), written(issues, "match-issues"), review, candidates)

@@ -117,7 +117,7 @@ def build_golden(records: DataFrame, members: DataFrame, clusters: DataFrame) ->
         F.min_by("canonical_name", F.struct("person_id", "place")).alias("canonical_name"))
     known = numbered(by_key, "at", "skill_id").select("skill_id", "canonical_name", "match_key")
     known = written(known, "skills")
-    linked = per_person.join(known.select("skill_id", "match_key"), "match_key").select("person_id", "skill_id")
+    linked = written(per_person.join(known.select("skill_id", "match_key"), "match_key").select("person_id", "skill_id"), "skill-links")
     return Golden(people, ids.drop("first"), sources, known, linked, conflicts(rows, people))
 
 

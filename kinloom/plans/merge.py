@@ -12,7 +12,7 @@ from kinloom.operators.staging import stage_all, staged_issues
 from kinloom.operators.structural import clean_source
 from kinloom.operators.survivorship import build_golden
 from kinloom.plans import report, store
-from kinloom.shared import scratch, written
+from kinloom.shared import scratch, sorted_joins, written
 from kinloom.sources.ragged import read_ragged
 from kinloom.sources.specs import SOURCES, SourceSpec
 
@@ -31,6 +31,11 @@ class Merged:
 
 def merge_staged(staged: DataFrame, structural_issues: DataFrame | None = None) -> Merged:
     """Staged records to tables. U2: issues of all steps are one table."""
+    with sorted_joins(staged.sparkSession):
+        return _merge_staged(staged, structural_issues)
+
+
+def _merge_staged(staged: DataFrame, structural_issues: DataFrame | None) -> Merged:
     staged = written(staged, "staged")
     found = resolve(staged)
     golden = build_golden(staged, found.members, found.clusters)

@@ -42,7 +42,7 @@ def repeated_keys(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def orphans(df: DataFrame, column: str, parent: DataFrame, key: str | None = None) -> DataFrame:
-    return df.where(F.col(column).isNotNull()).join(parent.select(F.col(key or column).alias(column)), column, "left_anti")
+    return df.where(F.col(column).isNotNull()).join(parent.select(F.col(key or column).alias(column)).hint("merge"), column, "left_anti")
 
 
 def out_of_range(df: DataFrame, column: str, allowed: tuple) -> DataFrame:

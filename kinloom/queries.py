@@ -18,7 +18,7 @@ from kinloom.operators import audio, linkage, quantile, resolve, samples, struct
 from kinloom.operators.components import connected_components
 from kinloom.operators.staging import stage_all
 from kinloom.plans import merge, report, store
-from kinloom.shared import dealt, written
+from kinloom.shared import dealt, sorted_joins, written
 from kinloom.sources.specs import APPLICANTS, CONTACTS, GIG_WORKERS
 
 _S = "CAST({} AS STRING)"
@@ -339,7 +339,8 @@ def components(spark, sf_dir):
     """M1 over the edges of both tiers."""
     records = staged(spark, sf_dir)
     edges = tier1_edges(spark, sf_dir).unionByName(tier2_edges(spark, sf_dir))
-    return resolve.labelled(records, connected_components(edges))
+    with sorted_joins(spark):
+        return resolve.labelled(records, connected_components(edges))
 
 
 def person_ids(spark, sf_dir):
@@ -680,7 +681,9 @@ f AS (SELECT p, d, min(c) AS src FROM k GROUP BY p, d), e AS (SELECT DISTINCT sr
 def customer_components(spark, sf_dir):
     """M1 at length: components of customers who share part and day of a shipment, over all lines."""
     edges = _sql(spark, sf_dir, f"WITH {_PARTNERS} SELECT src, dst FROM e", ("orders", "lineitem"))
-    return connected_components(edges).groupBy("component").agg(F.count("*").alias("customers"))
+    with sorted_joins(spark):
+        parts = connected_components(edges)
+    return parts.groupBy("component").agg(F.count("*").alias("customers"))
 
 
 _COMPONENT_SQL = f"""WITH RECURSIVE {_PARTNERS}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
