@@ -109,7 +109,10 @@ def _sql(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...], de
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         (dealt(df) if deal else df).createOrReplaceTempView(f"kinloom_{t}")
         sql = sql.replace(f"FROM {t}", f"FROM kinloom_{t}").replace(f"JOIN {t}", f"JOIN kinloom_{t}")
-    return spark.sql(sql)
+    made = spark.sql(sql)
+    for t in tables:  # the views are in the plan by now
+        spark.catalog.dropTempView(f"kinloom_{t}")
+    return made
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -49,3 +49,8 @@ def test_sorted_joins_puts_back_what_was_set(spark):
         assert spark.conf.get(name) == "-1" and spark.range(9).join(spark.range(9), "id")._jdf.queryExecution().toString().count("SortMergeJoin")
         raise KeyError
     assert spark.conf.get(name) == old
+
+
+def test_queries_leave_no_views(spark, one_row_group):
+    assert own.queries()["phone_normalize"](spark, one_row_group).count() == 900
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("kinloom_")]
