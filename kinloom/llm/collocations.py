@@ -6,10 +6,16 @@ active in the scan after both of its subphrases (without its last, without its f
 threshold, and stays active for one full circle, so that every shard is counted once for it, however late
 it began. A phrase can only reach the threshold if both subphrases do, so none is missed.
 
-Scans tell active phrases by two bit filters of bounded size over hashes of phrases: those that have reached
-the threshold, and of these those that did so within the last circle, one of which an active phrase must
-hold. What a filter lets pass wrongly is counted needlessly, never twice: counters know the shards that they
-have seen. Counters are grouped by their text after a task has summed its own.
+Scans tell active phrases by bit filters of bounded size over hashes of phrases: for each scan before which
+phrases of a length reached the threshold, those that had by then. A phrase is let in by the first scan whose
+filters hold both subphrases, rightly or not, and as filters only grow, it is counted in that scan and the others
+of one circle, and in none after. So what a filter lets pass wrongly is counted needlessly, never twice, and a
+counter that is below the threshold when its circle is over goes.
+
+Most counters are of longer phrases that occur a few times, so these have no text: a counter's key is two hashes of
+64 bits, of the phrase without its last word and of that word with its language. Words are counted by their text, and
+what reaches the threshold gets its own from the subphrase and the word. Should two words have one hash, the
+count begins again with other hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinloom.llm.rolling import REACH, Roller, mixed
+from kinloom.llm.rolling import REACH, Roller, mixed, signed
 from kinloom.shared import fresh_path, remove, scratch, write, written
 
 LEAST = 10
@@ -38,11 +44,13 @@ SLICE, PIECE = 512, 1 << 16
 
 _MAP = bytes(c + 32 if 65 <= c <= 90 else 10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c in b" \t" else c for c in range(256))
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
-#: What a counter's meta holds besides its number of words, by the bits above which it stands: seen (bits of the
-#: shards counted), let in (of pairs the first scan whose filters let them pass), since (the scan after which
-#: a >= least, plus 1).
-_SEEN, _LET_IN, _SINCE = 5, 36, 48
-_KINDS = "lang string, phrase string, meta long, c long"
+#: Seeds and bits of the hashes of words; the next are taken if two words have one hash.
+HASHES = ((13, 64), (17, 64), (19, 64))
+#: What a counter's meta holds besides its number of words, by the bits above which it stands: let in (the first scan
+#: whose filters let it pass), since (the scan after which a >= least, plus 1).
+_LET_IN, _SINCE = 5, 24
+_KEY = "p long, w long, a long, meta long"
+_KINDS = "lang string, phrase string, " + _KEY
 
 
 def _chunks(batches):
@@ -69,7 +77,7 @@ def _chunks(batches):
 class Words:
     """The words of some texts: begin, end, lang (number), piece, and h, a hash of word and lang."""
 
-    def __init__(self, langs: list[str], texts: list[bytes], roller: Roller):
+    def __init__(self, langs: list[str], texts: list[bytes], roller: Roller, bits: int = 64):
         import xxhash
 
         self.data = d = np.frombuffer(b"".join(texts), np.uint8)
@@ -92,7 +100,7 @@ class Words:
                 for k in np.flatnonzero(end - begin >= block):  # it may reach beyond the sums
                     h[a + k] = xxhash.xxh3_64_intdigest(d[self.begin[a + k] : self.end[a + k]].tobytes())
         seeds = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in self.langs], np.uint64)
-        self.h = mixed(mixed(h) ^ seeds[self.lang])
+        self.h = mixed(mixed(h) ^ seeds[self.lang]) >> np.uint64(64 - bits)
 
     def texts(self, first: np.ndarray, k: int):
         """Arrow strings of the phrases of k words that begin at word `first`, and their places in it."""
@@ -146,108 +154,93 @@ class Filter:
         return out
 
 
-def _n_bits(phrases: DataFrame) -> int:
-    n_bits, n = 1 << 12, phrases.count()
+def _n_bits(n: int) -> int:
+    n_bits = 1 << 12
     while n_bits < min(BITS_EACH * n, MOST_BITS):
         n_bits *= 2
     return n_bits
 
 
-def _filter(phrases: DataFrame, k: int, n_bits: int) -> Filter | None:
-    """Of phrases (lang, phrase) of k words; None if there are none. Its bits, MOST_BITS at most, reach the driver."""
+def _hash_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Hashes of the phrases whose counters (p, w, meta) are in a batch."""
+    p, w, meta = (batch.column(c).to_numpy() for c in ("p", "w", "meta"))
+    return np.where(meta % (1 << _LET_IN) == 1, w.view(np.uint64), _joined(p.view(np.uint64), w.view(np.uint64)))
+
+
+def _filter(phrases: DataFrame, n_bits: int, before: Filter | None) -> Filter:
+    """Of phrases (p, w, meta) and of those before. Its bits, MOST_BITS at most, reach the driver."""
 
     def run(batches):
-        roller = Roller(13)
         for batch in batches:
-            words = Words(batch.column("lang").to_pylist(), [p.encode("utf-8", "surrogatepass") + b"\n" for p in batch.column("phrase").to_pylist()], roller)
-            h = words.h.reshape(-1, k)
-            out = h[:, 0]
-            for j in range(1, k):
-                out = _joined(out, h[:, j])
-            at = np.unique(Filter.places(out, n_bits).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["w", "b"])
-
-    found = phrases.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    if not found.num_rows:
-        return None
-    bits = np.zeros(n_bits // 64, np.int64)
-    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+            at = np.unique(Filter.places(_hash_of(batch), n_bits).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> 6).astype(np.int32)), pa.array((np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64))], ["at", "b"])
+
+    found = phrases.select("p", "w", "meta").mapInArrow(run, "at int, b long").groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = before.bits.view(np.int64).copy() if before else np.zeros(n_bits // 64, np.int64)
+    bits[found.column("at").to_numpy()] |= found.column("b").to_numpy()
     return Filter(bits.view(np.uint8))
 
 
-def _scan(words_too: bool, known: dict[int, tuple[Filter, Filter]], let: list[Filter], longest: int):
-    """A task's counts of active phrases: lang, phrase, meta, c. known: for each length k with longer phrases
-    active, the filters of its phrases over the threshold, and of those that are so newly. let: the filters
-    of words of the scans from 1 on, each of which lets pass what the one before did."""
+def _scan(step: int, words_too: bool, known: dict[int, list[tuple[int, Filter]]], longest: int, shards: int, seed: int, n: int):
+    """A task's counts (lang and phrase of words, p, w, a, meta) of active phrases. known: for each length with longer
+    phrases to look for, the filters and the scans from which they hold. n: bits of a word's hash."""
 
-    def scan_of(h: np.ndarray) -> np.ndarray:
-        """The first scan whose filter a word passes."""
-        return len(let) + 1 - sum((f.has(h).astype(np.int64) for f in let), np.zeros(len(h), np.int64))
+    def let_in(h: np.ndarray, filters: list[tuple[int, Filter]]) -> np.ndarray:
+        """The first scan whose filter a phrase passes, or -1."""
+        out = np.full(len(h), -1)
+        for scan, f in reversed(filters):  # each passes what the one before does
+            out[f.has(h)] = scan
+        return out
 
     def run(batches):
-        roller = Roller(13)
+        roller = Roller(seed)
         for langs, texts in _chunks(batches):
-            w = Words(langs, texts, roller)
-            if not len(w.begin):
+            words = Words(langs, texts, roller, n)
+            if not len(words.begin):
                 continue
-
-            def emit(first, counts, k, let_in):
-                for at, text in w.texts(first, k):
-                    meta = k + (let_in[at] << _LET_IN)
-                    columns = [pa.array(w.langs.tolist(), pa.utf8()).take(pa.array(w.lang[first[at]])), text, pa.array(meta), pa.array(counts[at])]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "meta", "c"])
-
-            first, n, own = _unique(w.h)
+            first, c, own = _unique(words.h)
             if words_too:
-                yield from emit(first, n, 1, np.zeros(len(first), np.int64))
-            # own: the exact number of the phrase of k words at word `at` here; h: its hash.
-            at, h, k = np.arange(len(w.begin)), w.h, 1
+                for at, text in words.texts(first, 1):
+                    one = first[at]
+                    columns = [pa.array(words.langs.tolist(), pa.utf8()).take(pa.array(words.lang[one])), text, np.zeros(len(at), np.int64), signed(words.h[one]), c[at], np.ones(len(at), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["lang", "phrase", "p", "w", "a", "meta"])
+            # own: the exact number of the phrase of k words at word `at` here, first at `first`; h: its hash.
+            at, h, k = np.arange(len(words.begin)), words.h, 1
             while k < longest and k in known and len(at):
-                often, newly = known[k]
-                passes = often.has(h)
-                at, h, own, new = at[passes], h[passes], own[passes], newly.has(h[passes])
+                let = let_in(h[first], known[k])[own]
+                passes = np.flatnonzero(let >= 0)
+                at, h, own, let = at[passes], h[passes], own[passes], let[passes]
                 both = np.flatnonzero(np.diff(at) == 1)
-                both = both[w.piece[at[both]] == w.piece[at[both] + k]] if len(both) else both
+                both = both[words.piece[at[both]] == words.piece[at[both] + k]] if len(both) else both
                 # A longer phrase is told by its first subphrase and the next, which shares all but the ends.
-                key = own[both].astype(np.int64) << 32 | own[both + 1]
-                active = new[both] | new[both + 1]
-                first, n, _ = _unique(key[active])
-                if len(first):
-                    one = both[active][first]
-                    let_in = np.maximum(scan_of(h[one]), scan_of(h[one + 1])) if k == 1 else np.zeros(len(one), np.int64)
-                    yield from emit(at[one], n, k + 1, let_in)
-                own = _unique(key)[2]
-                at, h, k = at[both], _joined(h[both], w.h[at[both] + k]), k + 1
+                first, c, own = _unique(own[both].astype(np.int64) << 32 | own[both + 1])
+                let = np.maximum(let[both], let[both + 1])
+                p, w, at, k = h[both], words.h[at[both] + k], at[both], k + 1
+                active = let[first] > step - shards
+                one = first[active]
+                if len(one):
+                    text = [pa.nulls(len(one), pa.utf8())] * 2 if words_too else []
+                    columns = [signed(p[one]), signed(w[one]), c[active], k + (let[one] << _LET_IN)]
+                    yield pa.RecordBatch.from_arrays([*text, *map(pa.array, columns)], ["lang", "phrase"][: len(text)] + ["p", "w", "a", "meta"])
+                h = _joined(p, w)
 
     return run
 
 
-
-
 def _bits(name: str, low: int, high: int = 63) -> Column:
     return F.shiftright(name, low) % F.lit(1 << high - low)
 
 
-def _added(old: DataFrame | None, new: DataFrame, shards: int, step: int, least: int) -> DataFrame:
-    """Counters (lang, phrase, a, meta, k, since) after scan `step` with the counts c of `new`.
-
-    Pairs that stayed below go once the circle since they were let in is over, whichever scan they were first
-    seen in. They are complete then, if both words reach the threshold at all: up to scan `shards` filters
-    only grow, so a pair let in, rightly or not, was counted in every scan since; and as all words are known
-    by then, a pair that is active in a later scan became so by scan `shards`, so it stays active meanwhile.
-    What a filter lets pass again afterwards has no more than its true count, which is below."""
-    rows = new.select("lang", "phrase", F.lit(0).cast("long").alias("a"), "c", "meta")
-    if old is not None:
-        rows = rows.unionByName(old.select("lang", "phrase", "a", F.lit(0).cast("long").alias("c"), "meta"))
-    # The meta of an old counter is above that of a new count, as that has seen no shard.
-    sums = rows.groupBy("lang", "phrase").agg(F.sum("a").alias("a"), F.sum("c").alias("c"), F.max("meta").alias("meta"))
-    bit = F.lit(1 << _SEEN + step % shards)
-    fresh = (F.col("c") > 0) & (F.col("meta").bitwiseAND(bit) == 0)
-    sums = sums.select("lang", "phrase", (F.col("a") + F.when(fresh, F.col("c")).otherwise(0)).alias("a"), (F.col("meta") + F.when(fresh, bit).otherwise(F.lit(0))).alias("meta"))
+def _k() -> Column:
+    return _bits("meta", 0, _LET_IN)
+
+
+def _added(counters: DataFrame, shards: int, step: int, least: int) -> DataFrame:
+    """The sums of counters after scan `step`. Longer phrases that stayed below go once their circle is over."""
+    sums = counters.groupBy(*[c for c in counters.columns if c not in ("a", "meta")]).agg(F.sum("a").alias("a"), F.max("meta").alias("meta"))
     now = (F.col("a") >= least) & (F.col("meta") < 1 << _SINCE)
     sums = sums.withColumn("meta", F.col("meta") + F.when(now, F.lit((step + 1) << _SINCE)).otherwise(F.lit(0)))
-    out = sums.withColumn("k", _bits("meta", 0, _SEEN).cast("int")).withColumn("since", (_bits("meta", _SINCE) - 1).cast("int"))
-    return out.where((F.col("k") != 2) | (_bits("meta", _LET_IN, _SINCE) > step - shards + 1) | (F.col("since") >= 0)) if step >= shards else out
+    return sums.where((_k() == 1) | (F.col("a") >= least) | (_bits("meta", _LET_IN, _SINCE) > step - shards + 1))
 
 
 def _dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str, shards: int) -> str:
@@ -270,47 +263,75 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """Counters (lang, phrase, a) by number of words, and the scans it took: of all words, and of longer phrases
     that occur `least` times or more. To be called within a scratch(), as its files go with that."""
     if not (1 <= shards <= 31 and 1 <= longest <= 31):
-        raise ValueError("counters have bits for 31 shards and phrases of 31 words")
-    spark = docs.sparkSession
+        raise ValueError("shards and words of a phrase are 31 at most")
     folder = _dealt(docs, id_col, text_col, lang_col, shards)
-    kinds, paths, often, n_bits = "lang string, phrase string, a long, meta long, k int, since int", {}, {}, {}
+    for hashes in HASHES:
+        found = _scanned(docs.sparkSession, folder, least, longest, shards, *hashes)
+        if found:
+            return found
+    raise ValueError("two words have one hash in each of HASHES")
 
-    def tables(lengths: list[int]) -> DataFrame | None:
+
+def _scanned(spark: SparkSession, folder: str, least: int, longest: int, shards: int, seed: int, n: int) -> tuple[dict[int, DataFrame], int] | None:
+    """What counted() returns; None if two words have one hash."""
+    paths: dict[int, str] = {}
+    known: dict[int, list[tuple[int, Filter]]] = {}
+    words, reached = spark.createDataFrame([], _KINDS), None
+
+    def tables(lengths: list[int], columns: list[str]) -> DataFrame | None:
         """Counters of some lengths; a scan's counters of all lengths lie together."""
-        found = [spark.read.schema(kinds).parquet(p).where(F.col("k").isin(*[k for k in lengths if paths.get(k) == p])) for p in sorted({paths[k] for k in lengths if k in paths})]
+        found = [spark.read.schema(_KINDS).parquet(p).select(columns).where(_k().isin(*[k for k in lengths if paths.get(k) == p])) for p in sorted({paths[k] for k in lengths if k in paths})]
         return reduce(DataFrame.unionByName, found) if found else None
 
-    let: list[Filter] = []
     for step in count():
-        known = {}
-        for k in often:
-            newly = _filter(often[k].where(F.col("since") >= step - shards), k, n_bits[k])
-            if newly:
-                known[k] = (newly if step <= shards else _filter(often[k], k, n_bits[k]), newly)
-        if step >= shards and not known:
+        for k, new in {r["k"]: r["n"] for r in reached.groupBy("k").agg(F.count("*").alias("n")).collect()}.items() if reached else ():
+            before = known[k][-1][1] if k in known else None
+            known.setdefault(k, []).append((step, _filter(reached.where(F.col("k") == k), 8 * len(before.bits) if before else _n_bits(new), before)))
+        active = [k for k in known if known[k][-1][0] > step - shards]
+        if step >= shards and not active:
             break
-        if 1 <= step <= shards:
-            let.append(known[1][0] if 1 in known else Filter(np.zeros(512, np.uint8)))
-        grown = ([1] if step < shards else []) + [k + 1 for k in known]
-        # Phrases of k + 1 words are looked for among those of k, so lengths below go along without new ones of their own.
-        for k in range(1, max(known, default=1)):
-            if k not in known:
-                known[k] = (_filter(often[k], k, n_bits[k]), Filter(np.zeros(512, np.uint8)))
+        grown, columns = [k + 1 for k in active], _names(_KEY)
+        if step < shards:
+            grown, columns = [1, *grown], _names(_KINDS)
         shard = f"{folder}/shard={step % shards}"
         scanned = spark.read.schema("lang string, text binary").parquet(shard) if _exists(spark, shard) else spark.createDataFrame([], "lang string, text binary")
-        new = scanned.mapInArrow(_scan(step < shards, known, list(let), longest), _KINDS)
+        # Phrases of k + 1 words are looked for among those of k, so lengths below go along without new ones of their own.
+        along = {k: known[k] for k in known if k <= max(active, default=0)}
+        rows = scanned.mapInArrow(_scan(step, step < shards, along, longest, shards, seed, n), _KINDS if step < shards else _KEY)
+        old = tables(grown, columns)
         path, before = fresh_path(spark, "counters"), set(paths.values())
-        write(_added(tables(grown), new, shards, step, least), path)
+        write(_added(rows.unionByName(old) if old is not None else rows, shards, step, least), path)
         paths |= dict.fromkeys(grown, path)
+        if step == shards - 1:
+            words = written(tables([1], _names(_KINDS)), "words")
+            paths.pop(1)
+            if not words.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+                return None
         remove(spark, sorted(before - set(paths.values())))
-        reached = written(tables(grown).where((F.col("since") >= 0) & (F.col("k") < longest)).select("lang", "phrase", "k", "since"), "often")
-        for k in grown:
-            if k < longest:
-                often[k] = reached.where(F.col("k") == k)
-                n_bits[k] = n_bits.get(k) or _n_bits(often[k])
-    empty = spark.createDataFrame([], kinds)
-    out = {k: (tables([k]) if k in paths else empty).select("lang", "phrase", "a") for k in range(1, longest + 1)}
-    return {k: df if k == 1 else df.where(F.col("a") >= least) for k, df in out.items()}, step
+        new = spark.read.schema(_KINDS).parquet(path).where((_bits("meta", _SINCE) == step + 1) & (_k() < longest))
+        reached = written(new.select("p", "w", "meta", _k().cast("int").alias("k")), "reached")
+    out = {1: words.select("lang", "phrase", "a")}
+    often = words.where(F.col("a") >= least)
+    heads, tails = often.select("lang", F.col("phrase").alias("head"), F.col("w").alias("p")), often.select(F.col("phrase").alias("tail"), "w")
+    for k in range(2, longest + 1):
+        if k not in paths:
+            out[k] = spark.createDataFrame([], "lang string, phrase string, a long")
+            continue
+        found = tables([k], _names(_KEY)).where(F.col("a") >= least).join(heads.hint("merge"), "p").join(tails.hint("merge"), "w")
+        found = written(found.select("lang", F.concat_ws(" ", "head", "tail").alias("phrase"), "p", "w", "a", "meta"), "texts", tidy=True)
+        out[k] = found.select("lang", "phrase", "a")
+        heads = found.mapInArrow(_headed, "lang string, head string, p long")
+    return out, step
+
+
+def _names(kinds: str) -> list[str]:
+    return [x.split()[0] for x in kinds.split(", ")]
+
+
+def _headed(batches):
+    """Phrases and their hashes, as the beginnings of longer ones."""
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("phrase"), pa.array(signed(_hash_of(batch)))], ["lang", "head", "p"])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -245,6 +245,33 @@ def test_filters_miss_nothing_and_crowded_ones_change_nothing(spark, monkeypatch
     assert sorted(map(tuple, got.collect())) == plain_phrases(rows, 10, 3, 150)
 
 
+def test_counters_of_longer_phrases_have_no_text_and_go_when_their_circle_is_over(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    df, rows = phrased(spark)
+    write, left = collocations.write, []
+
+    def watched(written, path, by=()):
+        write(written, path, by)
+        if "counters" in path:
+            found = spark.read.parquet(path).withColumn("k", F.expr("meta % 32")).where("k > 1")
+            assert "phrase" not in found.columns or found.where("phrase IS NOT NULL").count() == 0
+            left.append(dict(found.where("a < 10").groupBy("k").count().collect()))
+
+    monkeypatch.setattr(collocations, "write", watched)
+    assert sorted(map(tuple, collocations.collocations(df, top=150).collect())) == plain_phrases(rows, 10, 3, 150)
+    assert any(3 in x for x in left) and not left[-1]
+
+
+def test_words_of_one_hash_are_counted_with_another(spark, monkeypatch):
+    df, rows = phrased(spark)
+    monkeypatch.setattr(collocations, "HASHES", ((13, 4), (17, 64)))
+    assert sorted(map(tuple, collocations.collocations(df, top=150).collect())) == plain_phrases(rows, 10, 3, 150)
+    monkeypatch.setattr(collocations, "HASHES", ((13, 4),))
+    with pytest.raises(ValueError, match="one hash"):
+        collocations.collocations(df, top=150)
+
+
 def test_long_texts_are_cut_between_pieces(monkeypatch):
     monkeypatch.setattr(collocations, "CHUNK", 50)
     import pyarrow as pa
