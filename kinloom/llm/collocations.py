@@ -205,17 +205,18 @@ def _scan(step: int, words_too: bool, known: dict[int, list[tuple[int, Filter]]]
                     columns = [pa.array(words.langs.tolist(), pa.utf8()).take(pa.array(words.lang[one])), text, np.zeros(len(at), np.int64), signed(words.h[one]), c[at], np.ones(len(at), np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["lang", "phrase", "p", "w", "a", "meta"])
             # own: the exact number of the phrase of k words at word `at` here, first at `first`; h: its hash.
-            at, h, k = np.arange(len(words.begin)), words.h, 1
+            at, h, k, since = np.arange(len(words.begin)), words.h, 1, np.zeros(len(words.begin), np.int64)
             while k < longest and k in known and len(at):
                 let = let_in(h[first], known[k])[own]
                 passes = np.flatnonzero(let >= 0)
-                at, h, own, let = at[passes], h[passes], own[passes], let[passes]
+                # A filter may pass a phrase wrongly before its own words or subphrases were let in.
+                at, h, own, let = at[passes], h[passes], own[passes], np.maximum(let, since)[passes]
                 both = np.flatnonzero(np.diff(at) == 1)
                 both = both[words.piece[at[both]] == words.piece[at[both] + k]] if len(both) else both
                 # A longer phrase is told by its first subphrase and the next, which shares all but the ends.
                 first, c, own = _unique(own[both].astype(np.int64) << 32 | own[both + 1])
                 let = np.maximum(let[both], let[both + 1])
-                p, w, at, k = h[both], words.h[at[both] + k], at[both], k + 1
+                p, w, at, k, since = h[both], words.h[at[both] + k], at[both], k + 1, let
                 active = let[first] > step - shards
                 one = first[active]
                 if len(one):
@@ -287,7 +288,7 @@ def _scanned(spark: SparkSession, folder: str, least: int, longest: int, shards:
         for k, new in {r["k"]: r["n"] for r in reached.groupBy("k").agg(F.count("*").alias("n")).collect()}.items() if reached else ():
             before = known[k][-1][1] if k in known else None
             known.setdefault(k, []).append((step, _filter(reached.where(F.col("k") == k), 8 * len(before.bits) if before else _n_bits(new), before)))
-        active = [k for k in known if known[k][-1][0] > step - shards]
+        active = [k for k in known if max(known[j][-1][0] for j in known if j <= k) > step - shards]
         if step >= shards and not active:
             break
         grown, columns = [k + 1 for k in active], _names(_KEY)
