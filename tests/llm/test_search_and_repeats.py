@@ -97,6 +97,32 @@ def test_no_texts_no_spans(spark):
         suffix_dedup.repeated_spans(empty, length=5, q=6)
 
 
+def test_cells_of_a_common_passage_are_split_among_tasks(spark, monkeypatch):
+    low = {"skewJoin.skewedPartitionThresholdInBytes": "1k", "skewJoin.skewedPartitionFactor": "2", "advisoryPartitionSizeInBytes": "1k"}
+    plans = []
+
+    def noted(df, *args, **kwargs):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0])
+        return spark.createDataFrame(rows, df.schema)
+
+    monkeypatch.setattr(suffix_dedup, "written", noted)
+    for k, v in low.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        one = "if(id < 3000, 0, id)"
+        cells = spark.range(0, 4000, 1, 8).selectExpr("id AS t1", "0 AS t2", "id AS pos", "0 AS lo", "9 AS hi", f"{one} AS key", f"{one} AS u")
+        assert noted(suffix_dedup._shared(cells, ["key"])).where("key = 0").count() == 3000
+        repeated, rest = suffix_dedup._classes(cells)
+        assert (repeated.count(), rest.count(), rest.where("key = 0").count()) == (3000, 1001, 1)
+    finally:
+        for k in low:
+            spark.conf.unset(f"spark.sql.adaptive.{k}")
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert len(joins) == 2
+    assert all("skew=true" in p for p in joins)
+
+
 # --- 12: ranked search
 
 
